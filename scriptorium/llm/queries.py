@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import chat, ogg, url_rules
+from scriptorium.llm import bpe, chat, ogg, packing, url_rules
 from scriptorium.llm.common import table
 
 #: (verdict, host, path)
@@ -50,6 +50,30 @@ FROM written GROUP BY conv_id
 """
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_bpe(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode_bpe(encoded, ranks).drop("decoded")
+
+
+def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_documents(documents: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.token_pieces(
+        documents,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        pattern=public_tokenizers.PATTERN,
+    )
+    return packing.pack_pieces(pieces)
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, URL_RULES))
 
@@ -77,6 +101,8 @@ FROM split
 QUERIES = {
     "op1_ogg_media": op1_ogg_media,
     "op2_chat_round_trip": op2_chat_round_trip,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_pattern_packing": op7_pattern_packing,
     "op9_url_rules": op9_url_rules,
 }
 ORACLES = {"op2_chat_round_trip": OP2_SQL, "op9_url_rules": OP9_SQL}
