@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, ogg, packing, url_rules
+from scriptorium.llm import bpe, chat, ogg, packing, toxicity, url_rules
 from scriptorium.llm.common import table
 
 #: (verdict, host, path)
@@ -74,6 +75,14 @@ def pack_documents(documents: DataFrame) -> DataFrame:
     return packing.pack_pieces(pieces)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(documents, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, URL_RULES))
 
@@ -103,6 +112,7 @@ QUERIES = {
     "op2_chat_round_trip": op2_chat_round_trip,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_pattern_packing": op7_pattern_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_url_rules": op9_url_rules,
 }
 ORACLES = {"op2_chat_round_trip": OP2_SQL, "op9_url_rules": OP9_SQL}
