@@ -4,11 +4,13 @@ Confirmed toxic documents are the positive sample; an unlabelled sample of all d
 prior (the share of toxic documents) corrects the risk: with losses of the positives as positive (Rp+) and as negative (Rp-),
 and of the unlabelled as negative (Ru-), the risk is prior * Rp+ + max(0, Ru- - prior * Rp-); where
 the second part falls below 0, the step goes against its gradient instead. The classifier is linear
-over hashed features of a document's distinct words: the word and its first four and five letters.
+over a document's distinct words: the word itself and its first four, five and six letters, as 32-bit hashes. Only features
+that stand out among the positives take part, so that rare words carry no noise.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,13 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
-BITS = 18
+#: Standard errors by which a feature's share of the positives must exceed its share of the unlabelled, its least number of positives, and how many features there may be.
+STANDS_OUT, LEAST_POSITIVE, MOST_FEATURES = 7.0, 3, 20_000
+#: Share of the prior that may score over one half, so that errors fall on the side of keeping a document.
+CAREFUL = 0.97
 #: Distinct words whose features or weights a task keeps at once.
 KEPT_WORDS = 500_000
 
 
-def _bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode()) & ((1 << BITS) - 1)
+def _number(feature: str) -> int:
+    return zlib.crc32(feature.encode())
 
 
 class _Memo(dict):
@@ -42,8 +47,13 @@ class _Memo(dict):
         return out
 
 
-def word_features(word: str) -> tuple[int, int, int]:
-    return _bucket("w" + word), _bucket("4" + word[:4]), _bucket("5" + word[:5])
+def word_features(word: str) -> tuple[int, ...]:
+    return tuple(map(_number, ["w" + word] + [f"{n}{word[:n]}" for n in (4, 5, 6) if len(word) >= n]))
+
+
+def document_features(words: set[str], features) -> np.ndarray:
+    """The distinct features of a document's words."""
+    return np.unique(np.fromiter((x for w in words for x in features[w]), np.uint32))
 
 
 def words_of(text: str) -> set[str]:
@@ -52,27 +62,45 @@ def words_of(text: str) -> set[str]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights over the hashed features, and the bias; `score` is the logistic of their sum over distinct words."""
+    """Weights of the chosen features, and the bias; `score` is the logistic of their sum over a document's distinct features."""
 
-    weights: np.ndarray
+    weights: dict[int, float]
     bias: float
 
-    def word_weight(self, word: str) -> float:
-        return float(self.weights[list(word_features(word))].sum())
+    def chosen(self, word: str) -> tuple[int, ...]:
+        return tuple(x for x in word_features(word) if x in self.weights)
+
+    def score(self, words: set[str], chosen) -> float:
+        found = sorted({x for w in words for x in chosen[w]})
+        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, sum(self.weights[x] for x in found) + self.bias))))
+
 
-    def score(self, total: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(total + self.bias, -30, 30)))
+def choose_features(documents: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
+    """The features, sorted, whose share of the positive documents exceeds that of the others by STANDS_OUT standard errors."""
+    numbers, column = np.unique(np.concatenate(documents), return_inverse=True)
+    of = np.repeat(positive, [len(d) for d in documents])
+    with_positive = np.bincount(column[of], minlength=len(numbers))
+    n, m = positive.sum(), (~positive).sum()
+    p, u = with_positive / n, np.bincount(column[~of], minlength=len(numbers)) / m
+    pooled = (p * n + u * m) / (n + m)
+    z = (p - u) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n + 1 / m))
+    z[with_positive < LEAST_POSITIVE] = 0
+    best = np.argsort(-z, kind="stable")[:MOST_FEATURES]
+    return np.sort(numbers[best[z[best] >= STANDS_OUT]])
 
 
 def train_nnpu(
-    documents: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 12, batch: int = 512, rate: float = 0.02, decay: float = 1e-4, seed: int = 7
+    documents: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.03, decay: float = 1e-3, seed: int = 7
 ) -> ToxicityModel:
-    """Fits a model to sampled documents, each an array of feature numbers; `positive` marks the confirmed ones and
-    the rest are unlabelled. The loss is logistic and the steps are Adam's; with no positives all scores are 0."""
-    size = 1 << BITS
+    """Fits a model to sampled documents, each an array of its features; `positive` marks the confirmed ones and
+    the rest are unlabelled. The loss is logistic and the steps are Adam's. Last, the bias is moved so that up to
+    CAREFUL times the prior of the unlabelled, and no more, score over one half. With no positives all scores are near 0."""
     if not positive.any() or positive.all() or not 0 < prior < 1:
-        return ToxicityModel(np.zeros(size, np.float32), -30.0)
+        return ToxicityModel({}, -30.0)
+    chosen = choose_features(documents, positive)
+    size = len(chosen)
     rng = np.random.default_rng(seed)
+    documents = [np.flatnonzero(np.isin(chosen, d, assume_unique=True)) for d in documents]
     counts = np.array([len(d) for d in documents])
     ends = np.cumsum(counts)
     flat = np.concatenate(documents)
@@ -109,7 +137,12 @@ def train_nnpu(
             first = 0.9 * first + 0.1 * gradient
             second = 0.999 * second + 0.001 * gradient * gradient
             weights -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return ToxicityModel(weights[:-1].astype(np.float32), float(weights[-1]))
+    row_of = np.repeat(np.arange(len(documents)), counts)
+    totals = np.sort(np.bincount(row_of, weights[flat], len(documents))[rest])[::-1]
+    upper = totals[totals > totals[min(int(CAREFUL * prior * len(rest)), len(rest) - 1)]]
+    lower = totals[len(upper)]
+    bias = -(upper[-1] + lower) / 2 if len(upper) else -lower - 1.0
+    return ToxicityModel(dict(zip(chosen.tolist(), weights[:-1].tolist())), float(bias))
 
 
 def held_out(doc_id) -> F.Column:
@@ -123,9 +156,7 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "toxic": rows["toxic"],
-                "features": [
-                    np.array([memo[w] for w in sorted(words_of(t or ""))], "<i4").ravel().tobytes() for t in rows["text"]
-                ],
+                "features": [document_features(words_of(t or ""), memo).tobytes() for t in rows["text"]],
             }
         )
 
@@ -150,21 +181,21 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int = 40
     rows = sample.mapInPandas(_features, "toxic int, features binary").toPandas()
     order = rows["features"].map(zlib.crc32).argsort(kind="stable") if len(rows) else []
     rows = rows.iloc[order]  # the same order however the rows arrived
-    return train_nnpu([np.frombuffer(x, "<i4") for x in rows["features"]], rows["toxic"].to_numpy() == 1, share)
+    return train_nnpu([np.frombuffer(x, np.uint32) for x in rows["features"]], rows["toxic"].to_numpy() == 1, share)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """All columns of `documents`, with `score` (double, 0 to 1) and `predicted` (score >= threshold) appended,
     replacing columns of these names. Each row's whole text is read; null and empty texts have the bias's score.
     Equal texts have equal scores, and repeated rows are kept."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the input
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # MOST_FEATURES weights at most
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        memo = _Memo(own.word_weight)
+        chosen = _Memo(own.chosen)
         for texts in parts:
-            yield pd.Series(own.score(np.array([sum(map(memo.__getitem__, sorted(words_of(t or "")))) for t in texts], float)))
+            yield pd.Series([own.score(words_of(t or ""), chosen) for t in texts], dtype=float)
 
     scored = documents.withColumn("score", score(F.col("text").cast("string")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
