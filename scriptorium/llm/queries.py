@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, ogg, packing, toxicity, url_rules
+from scriptorium.llm import bpe, chat, ogg, packing, topk, toxicity, url_rules
 from scriptorium.llm.common import table
 
 #: (verdict, host, path)
@@ -107,6 +107,24 @@ SELECT page_id, host, path,
 FROM split
 """
 
+def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), k=5, divisor=50, scale=256)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
 QUERIES = {
     "op1_ogg_media": op1_ogg_media,
     "op2_chat_round_trip": op2_chat_round_trip,
@@ -114,5 +132,6 @@ QUERIES = {
     "op7_pattern_packing": op7_pattern_packing,
     "op8_toxicity": op8_toxicity,
     "op9_url_rules": op9_url_rules,
+    "op10_top_products": op10_top_products,
 }
-ORACLES = {"op2_chat_round_trip": OP2_SQL, "op9_url_rules": OP9_SQL}
+ORACLES = {"op2_chat_round_trip": OP2_SQL, "op9_url_rules": OP9_SQL, "op10_top_products": OP10_SQL}
