@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 #: No pair.
 NEVER = np.int64(1 << 40)
 #: Words that a task keeps; more are forgotten and replayed when they come again.
-KEPT_WORDS = 400_000
-#: Bytes of text whose tokens are laid out at once.
-LAID_OUT = 4_000_000
+KEPT_WORDS = 200_000
+#: Characters of text whose words are numbered, and whose new words are replayed, at once (a longer text alone).
+TAKEN = 8_000_000
+#: Characters of text whose tokens are laid out at once.
+LAID_OUT = 2_000_000
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -222,6 +224,20 @@ class Encoder:
             at = end
 
 
+def taken(column: pa.Array) -> Iterator[list[str]]:
+    """A column's texts, null as empty, in runs of up to TAKEN characters."""
+    texts, size = [], 0
+    for value in column:
+        text = value.as_py() or ""
+        if texts and size + len(text) > TAKEN:
+            yield texts
+            texts, size = [], 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield texts
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(load_vocabulary(path), pattern)
@@ -237,13 +253,13 @@ def encode_bpe(documents: DataFrame, vocabulary_path: str, pattern: str) -> Data
     def run(batches):
         encoder = _encoder(vocabulary_path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch["text"].to_pylist()]
             at = 0
-            for ids, counts in encoder.encode(texts):
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(counts)), lists], ["doc_id", "ids"])
-                at += len(counts)
+            for texts in taken(batch["text"]):
+                for ids, counts in encoder.encode(texts):
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(counts)), lists], ["doc_id", "ids"])
+                    at += len(counts)
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
