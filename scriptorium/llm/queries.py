@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, ogg, packing, topk, toxicity, url_rules
+from scriptorium.llm import bpe, chat, ngram_join, ogg, packing, topk, toxicity, url_rules
 from scriptorium.llm.common import table
 
 #: (verdict, host, path)
@@ -51,6 +51,28 @@ FROM written GROUP BY conv_id
 """
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.999)
+    return found.select("doc_id", "class_id", "n_links")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared s JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE s.n >= 0.8 * (p.n + q.n - s.n)
+  UNION ALL SELECT x.doc_id, y.doc_id FROM words x JOIN words y ON len(x.w) = 0 AND len(y.w) = 0 AND x.doc_id <> y.doc_id
+), reach(a, b) AS (SELECT doc_id, doc_id FROM words UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, min(b) AS class_id, (SELECT count(*) FROM links l WHERE l.a = r.a) AS n_links FROM reach r GROUP BY a
+"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -128,10 +150,11 @@ FROM s QUALIFY rank <= 5
 QUERIES = {
     "op1_ogg_media": op1_ogg_media,
     "op2_chat_round_trip": op2_chat_round_trip,
+    "op3_ngram_join": op3_ngram_join,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_toxicity": op8_toxicity,
     "op9_url_rules": op9_url_rules,
     "op10_top_products": op10_top_products,
 }
-ORACLES = {"op2_chat_round_trip": OP2_SQL, "op9_url_rules": OP9_SQL, "op10_top_products": OP10_SQL}
+ORACLES = {"op2_chat_round_trip": OP2_SQL, "op3_ngram_join": OP3_SQL, "op9_url_rules": OP9_SQL, "op10_top_products": OP10_SQL}
