@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, ngram_join, ogg, packing, topk, toxicity, url_rules
+from scriptorium.llm import bpe, chat, line_dedup, ngram_join, ogg, packing, topk, toxicity, url_rules
 from scriptorium.llm.common import table
 
 #: (verdict, host, path)
@@ -73,6 +73,15 @@ SELECT a AS doc_id, min(b) AS class_id, (SELECT count(*) FROM links l WHERE l.a
 """
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup_units(documents.withColumn("n_chars", F.length(F.coalesce("text", F.lit("")))))
+    return found.select(
+        "doc_id", "n_chars", (F.col("n_chars") - F.length(F.coalesce("text", F.lit("")))).alias("n_removed"), F.size("removed_spans").alias("n_spans"),
+        F.to_json("removed_spans").alias("removed_spans"), "text",
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -151,6 +160,7 @@ QUERIES = {
     "op1_ogg_media": op1_ogg_media,
     "op2_chat_round_trip": op2_chat_round_trip,
     "op3_ngram_join": op3_ngram_join,
+    "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_toxicity": op8_toxicity,
