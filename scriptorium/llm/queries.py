@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, line_dedup, ngram_join, ogg, packing, topk, toxicity, url_rules
+from scriptorium.llm import bpe, chat, line_dedup, ngram_join, ogg, packing, suffix_dedup, topk, toxicity, url_rules
 from scriptorium.llm.common import table
 
 #: (verdict, host, path)
@@ -90,6 +90,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode_bpe(encoded, ranks).drop("decoded")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -162,6 +166,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_toxicity": op8_toxicity,
     "op9_url_rules": op9_url_rules,
