@@ -139,11 +139,8 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
     odd = np.zeros(len(words), bool)
     while heap:
         rank = heapq.heappop(heap)
-        found = index.pop(rank)
-        places = found[0] if len(found) == 1 else np.concatenate(found)
-        places = places[rank_at[places] == rank]
-        if len(found) > 1:
-            places = np.unique(places)
+        places = np.concatenate(index.pop(rank))
+        places = np.unique(places[rank_at[places] == rank])
         if not len(places):
             continue
         right = after[places]
@@ -152,10 +149,14 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
             start = np.flatnonzero(np.concatenate([[True], ~chained]))
             nth = np.arange(len(places)) - np.repeat(start, np.diff([*start.tolist(), len(places)]))
             places, right = places[nth % 2 == 0], right[nth % 2 == 0]
+        beyond = after[right]
+        # the leftmost merges first, and its pair with a neighbour that is still unmerged may come before the next one
+        near = places[beyond >= 0]
+        early = vocabulary.pair_ranks(np.full(len(near), rank), tokens[beyond[beyond >= 0]]) <= rank
+        odd[word_of[near[early]]] = True
         tokens[places] = rank
         tokens[right] = -1
         rank_at[right] = NEVER
-        beyond = after[right]
         after[places] = beyond
         before[beyond[beyond >= 0]] = places[beyond >= 0]
         rank_at[places] = NEVER
@@ -163,8 +164,8 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
         touched = np.concatenate([left[left >= 0], places[beyond >= 0]])
         ranks = vocabulary.pair_ranks(tokens[touched], tokens[after[touched]])
         rank_at[touched] = ranks
-        if (ranks < rank).any():
-            odd[word_of[touched[ranks < rank]]] = True  # such a word's order of merges is its own
+        if (ranks <= rank).any():
+            odd[word_of[touched[ranks <= rank]]] = True  # such a word's order of merges is its own
         add(touched, ranks)
     kept = tokens >= 0
     counts = np.bincount(word_of[kept], minlength=len(words)).astype(np.int64)

@@ -140,6 +140,8 @@ def read_ogg(media: bytes) -> dict:
 
     Packets are put in order by their time (granule position over rate), then by stream."""
     streams, pages = demultiplex(media)
+    if not streams:
+        raise OggError("no stream")
     timed, total, rate = [], 0, RATE
     for packets in streams.values():
         magic, k, count, rate, _, total = HEAD.unpack(packets[0][0])
