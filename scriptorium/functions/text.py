@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,33 +42,29 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
+#: As many single characters as `sequence_edits` can tell words apart: the unified ideographs, a block without gaps.
+SYMBOLS = "".join(map(chr, range(0x4E00, 0x9FA6)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with `value` computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sequence_edits(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of strings: one row of the table at a time. For short arrays; a row is copied at each step."""
-    start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j)
-
-    def next_row(row: Column, x: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.array(F.element_at(row, 1) + 1),
-            lambda new, j: F.concat(
-                new,
-                F.array(
-                    F.least(
-                        F.element_at(new, -1) + 1,
-                        F.element_at(row, (j + 1).cast("int")) + 1,
-                        F.element_at(row, j.cast("int")) + F.when(F.element_at(b, j.cast("int")) == x, 0).otherwise(1),
-                    )
-                ),
-            ),
-        )
+    """Edit distance of two arrays of strings: each distinct string becomes one character, and these texts are compared. For
+    arrays with up to len(SYMBOLS) distinct strings, and best for some hundreds (see `wer_long`)."""
+
+    def spelt(words: Column, known: Column) -> Column:
+        return F.array_join(F.transform(words, lambda w: F.substring(F.lit(SYMBOLS), F.array_position(known, w).cast("int"), F.lit(1))), "")
 
-    return F.when(F.size(b) == 0, F.size(a)).otherwise(F.element_at(F.aggregate(a, start, next_row), -1))
+    return bound(F.array_distinct(F.concat(a, b)), lambda known: F.levenshtein(spelt(a, known), spelt(b, known)))
 
 
 def wer(predicted: Column, reference: Column) -> Column:
-    """Word error rate in percent, as `cer` over words; for texts of some dozens of words (see `wer_long`)."""
+    """Word error rate in percent, as `cer` over words; for texts of up to some hundreds of words (see `wer_long`)."""
     p, r = tokens(predicted), tokens(reference)
-    return F.when(F.size(r) == 0, F.lit(0.0)).otherwise(percent(sequence_edits(p, r), F.size(r)))
+    return bound(F.struct(p.alias("p"), r.alias("r")), lambda x: F.when(F.size(x["r"]) == 0, F.lit(0.0)).otherwise(percent(sequence_edits(x["p"], x["r"]), F.size(x["r"]))))
 
 
 def _word_edits(predicted: pd.Series, reference: pd.Series) -> pd.Series:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import bound
+
 #: A base this sure only merges with its own variants, and a merge into these gets the bonus.
 LOCKED, BONUS = 95.0, 2.0
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    raised = F.transform(logits, lambda v: F.exp((v - top).cast("double")))
-    return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda a, x: a + x))
+    raised = lambda top: F.transform(logits, lambda v: F.exp((v - top).cast("double")))
+    shares = lambda r: bound(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(r, lambda v: v / total))
+    return bound(bound(F.array_max(logits), raised), shares)
 
 
 def top_classes(logits: Column, k: int = 5) -> Column:
