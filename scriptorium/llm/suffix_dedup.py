@@ -139,14 +139,30 @@ def anchor_rows(keyed: DataFrame, whole: bool) -> DataFrame:
     return keyed.mapInArrow(run, "gram long" + ", hull long, doc_id long, text_key int, place long" * whole)
 
 
-def _hulls(rows: DataFrame, keys: list[str], weight) -> tuple[DataFrame, DataFrame]:
+class _Stored:
+    """Tables written for one run. Joins with them are dealt anew on both sides, so that Spark can split a frequent key's partitions."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = stored(df, name)
+        self.paths.append(path)
+        return df
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_stored(self.spark, path)
+
+
+def _hulls(rows: DataFrame, keys: list[str], weight, keep: _Stored) -> tuple[DataFrame, DataFrame]:
     """Of rows with names `keys` and `hull`: (hulls that occur more than once, one row for each hull of a
     group that holds several hulls and among them a single one). Occurrences are sums of `weight`."""
     carried = [c for c in rows.columns if c not in (*keys, "hull", "n")]
-    hulls = cut(rows.groupBy(*keys, "hull").agg(F.sum(weight).alias("n"), F.min(F.struct(*carried)).alias("row")))
+    hulls = keep(rows.groupBy(*keys, "hull").agg(F.sum(weight).alias("n"), F.min(F.struct(*carried)).alias("row")), "hulls")
     mixed = hulls.groupBy(*keys).agg(F.count("*").alias("c"), F.min("n").alias("m")).filter("c > 1 AND m = 1").select(*keys)
-    open_rows = hulls.join(mixed, keys, "left_semi").select(*keys, "n", "row.*")
-    return hulls.filter("n > 1").select(*keys, "hull"), open_rows
+    open_rows = hulls.join(keep(mixed, "mixed"), keys, "left_semi").select(*keys, "n", "row.*")
+    return keep(hulls.filter("n > 1").select(*keys, "hull"), "repeated"), open_rows
 
 
 def document_filter(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -261,17 +277,17 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     in order, that covers exactly the bytes in a string of LENGTH bytes that also starts elsewhere, in the same document or
     another. text_key is hash(text). Null text counts as empty. Rows equal in id and text have one row here; each is
     the other's elsewhere."""
-    spark = documents.sparkSession
+    keep = _Stored(documents.sparkSession)
     keyed = _keyed(documents)
     grams = anchor_rows(keyed, False).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    anchors, anchors_path = stored(anchor_rows(keyed, True).join(grams, "gram", "left_semi"), "anchors")
-    repeated, items = _hulls(anchors, ["gram"], F.lit(1))
-    items, items_path = stored(item_bytes(keyed, items), "items")
+    anchors = keep(anchor_rows(keyed, True).join(keep(grams, "grams"), "gram", "left_semi"), "anchors")
+    repeated, items = _hulls(anchors, ["gram"], F.lit(1), keep)
+    items = keep(item_bytes(keyed, items), "items")
     start, end = place_span(F.col("place"))
     found = anchors.join(repeated, ["gram", "hull"], "left_semi").select("doc_id", "text_key", start.alias("start"), end.alias("end"))
 
-    cells, cells_path = stored(cell_rows(items), "cells")
-    repeated, open_cells = _hulls(cells, ["gram", "core"], F.col("n"))
+    cells = keep(cell_rows(items), "cells")
+    repeated, open_cells = _hulls(cells, ["gram", "core"], F.col("n"), keep)
     start, end = place_span(F.col("cell"))
     settled = cells.filter("n = 1").join(repeated, ["gram", "core", "hull"], "left_semi")
     found = found.unionByName(settled.select("doc_id", "text_key", start.alias("start"), end.alias("end")))
@@ -280,7 +296,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         items.select("doc_id", "text_key", "place", "bytes").alias("i"),
         F.col("c.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("c.text_key") == F.col("i.text_key")) & (F.col("c.place") == F.col("i.place")),
     )
-    strings, strings_path = stored(string_rows(open_cells.select("gram", "n", "c.doc_id", "c.text_key", "c.place", "cell", "bytes")), "strings")
+    strings = keep(string_rows(open_cells.select("gram", "n", "c.doc_id", "c.text_key", "c.place", "cell", "bytes")), "strings")
     repeated = strings.groupBy("gram", "name").agg(F.sum("n").alias("n")).filter("n > 1").select("gram", "name")
     last = strings.filter("n = 1").join(repeated, ["gram", "name"], "left_semi")
     found = found.unionByName(last.select("doc_id", "text_key", "start", (F.col("start") + LENGTH).alias("end")))
@@ -295,8 +311,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
 
     spans = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = cut(spans.mapInArrow(merge, "doc_id long, text_key int, spans array<struct<start:bigint,end:bigint>>"))
-    for path in (anchors_path, items_path, cells_path, strings_path):
-        drop_stored(spark, path)
+    keep.drop()
     return spans
 
 
