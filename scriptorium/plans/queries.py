@@ -1,7 +1,8 @@
 """The registered queries over the provided tables, each with the SQL that gives the same rows in DuckDB.
 
 Recognition data are stood in for by tables of the same shape: names as recognised and true text, events as ink
-profiles and gaps, order dates as intervals, vectors as logits. All rows of the tables take part.
+profiles and gaps, order dates as intervals, vectors as logits. All rows of the tables take part, but where a query's SQL takes
+part of them: q02_wer_pairs is the comparison of `wer` with SQL on short texts, and q02b_wer_whole rates whole texts of all documents.
 """
 
 from __future__ import annotations
@@ -91,6 +92,14 @@ def q02_wer_pairs(spark, sf_dir):
     return ranked.join(other, "k").select("doc_id", T.wer(F.col("pred"), F.col("ref")).alias("wer"))
 
 
+@query()
+def q02b_wer_whole(spark, sf_dir):
+    """Each document's whole text rated against that of the next by doc_id; a document without words to compare with has 0."""
+    ranked = numbered(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred")), "doc_id")
+    other = ranked.select((F.col("k") - 1).alias("k"), F.col("pred").alias("ref"))
+    return ranked.join(other, "k").select("doc_id", T.wer_long(F.col("pred"), F.col("ref")).alias("wer"))
+
+
 def numbered(rows: DataFrame, order: str) -> DataFrame:
     """`rows` with k, their rank by a unique `order`, without bringing them to one task: ranks within ranges, after the earlier ranges' counts."""
     width = F.floor(F.col(order) / 1024)

@@ -1,9 +1,13 @@
+import random
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.plans import queries as plans
 
 
 def one(spark, column, **values):
@@ -88,3 +92,22 @@ def test_three_tokens(spark):
 def test_snap_takes_the_first_of_ties(spark):
     row = spark.range(1).select(T.snap(F.lit(98.0), [95.0, 97.0, 99.0]).alias("a"), T.snap(F.lit(50.0), [95.0, 97.0]).alias("b")).first()
     assert (row.a, row.b) == (97.0, 95.0)
+
+
+def test_edit_distance_of_long_sequences():
+    rng = random.Random(4)
+    for n, m, letters in ((0, 0, "a"), (0, 70, "ab"), (150, 90, "abc"), (65, 200, "abcdefgh"), (130, 130, "ab")):
+        a, b = ([rng.choice(letters) for _ in range(k)] for k in (n, m))
+        assert T.edit_distance(a, b) == T.edit_distance(b, a) == edits(a, b)
+
+
+def test_wer_of_whole_texts(spark, tmp_path):
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choice(["ab", "é\u00a0è", "c\u3000d", "straße", "x"]) for _ in range(n))
+    texts = [some(40), "a b " + some(90), None, some(13), "", f"{some(12)}\n\t{some(30)}", "ÉÈ", some(60) + " end", "x"]
+    rows = [(k * 700, t, ("en", "fr", "de")[k % 3]) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [[w for w in re.split("[ \t\n]+", t or "") if w] for t in texts]
+    want = {k * 700: round(edits(p, r) / len(r) * 100, 2) if r else 0.0 for k, (p, r) in enumerate(zip(words, words[1:]))}
+    got = {r.doc_id: r.wer for r in plans.q02b_wer_whole(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.011 for k in want)
