@@ -1,6 +1,6 @@
-"""Substring deduplication by hashing lines and the sentences in them.
+"""Substring deduplication by hashing paragraphs, lines, the sentences in them, and short ones joined with their neighbours.
 
-Each unit, a line or one of several sentences of a line, is normalised and hashed with its offsets. Digests are grouped
+Each unit (see `units` and `joined_units`) is normalised and hashed with its offsets. Digests are grouped
 over all documents; the occurrence that ranks first (least doc_id, then text key, then offset) stays,
 and the others are cut out of their texts. What was cut is told as offsets into the original text.
 """
@@ -10,34 +10,78 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SENTENCE_END = re.compile(r"[.!?]+\s+")
+SENTENCE_END = re.compile(r"[.!?]+\s+|[。！？]+\s*")
+#: Thai, Lao, Myanmar, Khmer, kana and ideographs: scripts without spaces, each character of which counts as a word.
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 ROWS = 512
 
 
+def count_words(words: list[str]) -> int:
+    joined = "".join(words)
+    return len(words) if joined.isascii() else len(words) + len(SPACELESS.findall(joined))
+
+
 def units(text: str, min_words: int) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised) of each unit with at least `min_words` words. A line's span is without its line break."""
     at = 0
     for line in text.split("\n"):
         end = at + len(line)
         words = line.lower().split()
-        if len(words) >= min_words:
+        if count_words(words) >= min_words:
             yield at, end, " ".join(words)
             ends = [m.end() for m in SENTENCE_END.finditer(line)]
             if ends and ends != [len(line)]:
                 for a, b in zip([0, *ends], [*ends, len(line)], strict=True):
                     own = line[a:b].lower().split()
-                    if len(own) >= min_words:
+                    if count_words(own) >= min_words:
                         yield at + a, at + b, " ".join(own)
         at = end + 1
 
 
-def unit_digests(documents: DataFrame, min_words: int) -> DataFrame:
+def joined_units(text: str, min_words: int, run_words: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised) of what lies across lines and sentences: each paragraph of several lines, and for each sentence under
+    `min_words` words (or line of one sentence) the shortest runs of neighbours that begin or end with it and have `run_words` words.
+
+    Each sentence in a shared stretch of sentences with twice `run_words` words is so in a unit that the stretch holds."""
+    pieces: list[tuple[int, int, str, int]] = []
+    first, n_lines, at = 0, 0, 0
+    for line in [*text.split("\n"), ""]:
+        words = line.split()
+        if words:
+            n_lines += 1
+            ends = [m.end() for m in SENTENCE_END.finditer(line)]
+            for a, b in zip([0, *ends], [*ends, len(line)], strict=True):
+                own = line[a:b].lower().split()
+                if own:
+                    pieces.append((at + a, at + b, " ".join(own), count_words(own)))
+        else:
+            held = pieces[first:]
+            if n_lines > 1 and sum(p[3] for p in held) >= min_words:
+                yield held[0][0], held[-1][1], " ".join(p[2] for p in held)
+            first, n_lines = len(pieces), 0
+        at += len(line) + 1
+    runs = set()
+    for k, piece in enumerate(pieces):
+        if piece[3] < min_words:
+            for step in (1, -1):
+                n, to = piece[3], k
+                while n < run_words and 0 <= to + step < len(pieces):
+                    to += step
+                    n += pieces[to][3]
+                if n >= run_words:
+                    runs.add((min(k, to), max(k, to)))
+    for a, b in runs:
+        yield pieces[a][0], pieces[b][1], " ".join(p[2] for p in pieces[a : b + 1])
+
+
+def unit_digests(documents: DataFrame, min_words: int, run_words: int) -> DataFrame:
     """(doc_id, text_key, start, end, digest) of each unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +90,7 @@ def unit_digests(documents: DataFrame, min_words: int) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 of, starts, ends, digests = [], [], [], []
                 for k, text in enumerate(part["text"].to_pylist()):
-                    for start, end, unit in units(text or "", min_words):
+                    for start, end, unit in chain(units(text or "", min_words), joined_units(text or "", min_words, run_words)):
                         of.append(k)
                         starts.append(start)
                         ends.append(end)
@@ -96,16 +140,17 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": [x[0] for x in found], "spans": [[{"start": a, "end": b} for a, b in x[1]] for x in found]})
 
 
-def dedup_units(documents: DataFrame, min_words: int = 6) -> DataFrame:
+def dedup_units(documents: DataFrame, min_words: int = 6, run_words: int = 25) -> DataFrame:
     """All columns of `documents`, `text` without its repeated units, and `removed_spans` appended: what was cut, as
     [start, end) in characters of the original text (a column of this name is replaced).
 
-    Units are equal if their lower-cased words are; those under `min_words` words stay. Of equal units the
+    Units are equal if their lower-cased words are. A line or sentence under `min_words` words stays where no repeated paragraph
+    or run of `run_words` words holds it. Of equal units the
     first by doc_id (null first), text and offset stays. Equal rows (same id and text) are one document: all of
     them keep or lose the same. Null texts stay null and empty texts empty, with no spans; no row is dropped.
     """
     keyed = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
-    found = unit_digests(keyed, min_words)
+    found = unit_digests(keyed, min_words, run_words)
     place = F.struct("doc_id", "text_key", "start")
     first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("digest", "first")
     repeats = found.join(first, "digest").filter(place > F.col("first"))

@@ -153,6 +153,33 @@ def test_dedup_units(spark):
     assert sorted(r.text for r in line_dedup.dedup_units(twice).collect()) == ["", passage, passage]
 
 
+def without_repeats(spark, *texts):
+    rows = line_dedup.dedup_units(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_dedup_of_short_lines_and_sentences(spark):
+    menu = [f"dish {k}, {k} euro" for k in range(15)]  # 60 words in lines of four
+    verse = [f"Word {k} rhymes. So {k}." for k in range(15)]
+    mixed = [s for k in range(9) for s in (f"Short {k}.", f"A sentence {k} with more than six words in it.")]
+    around = lambda k, passage: f"own {k}\n{passage}\nother {k}"
+    for passage in ("\n".join(menu), "\n".join(verse), " ".join(verse), "\n".join(mixed)):
+        kept = without_repeats(spark, around(1, passage), around(2, passage), around(3, passage))
+        assert kept == [around(1, passage), "own 2\nother 2", "own 3\nother 3"]
+
+
+def test_dedup_of_paragraphs(spark):
+    paragraph = "to the sea\nof the night\ngo we all"  # nine words in three lines
+    assert without_repeats(spark, f"a b\n\n{paragraph}\n\nc", f"d\n\n{paragraph}\n \ne") == [f"a b\n\n{paragraph}\n\nc", "d\n\n \ne"]
+    wrapped = paragraph.replace("\n", " ")
+    assert without_repeats(spark, wrapped, f"x\n\n{paragraph}") == [wrapped, "x\n"]
+
+
+def test_dedup_without_spaces(spark):
+    line, other = "今日は天気がとても良いので散歩に行きました。", "明日は雨が降るかもしれません。"
+    assert without_repeats(spark, line + other, f"{other}\n短い\n短い") == [line + other, "短い\n短い"]
+
+
 def repeats_model(rows, size=200):
     raw = [(t or "").encode() for _, t in rows]
     starts = Counter(t[k : k + size] for t in raw for k in range(len(t) - size + 1))
