@@ -53,10 +53,26 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def text_key(text) -> F.Column:
-    """128 bits that stand for a text; null and empty text have the same key."""
-    whole = F.coalesce(text, F.lit(""))
-    return F.concat_ws(":", F.xxhash64(whole), F.xxhash64(F.lit("second"), whole))
+#: A key is hot if it holds more than one part in HOT of all rows, so at most HOT keys are.
+HOT = 256
+
+
+def hot_keys(sized: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., __pieces) of the hot keys among `sized` (keys..., n: rows with the key); HOT rows at most."""
+    total = sized.agg(F.sum("n").alias("n")).first().n or 0
+    hot = sized.filter(F.col("n") * HOT > total).select(*keys, F.ceil(F.col("n") * HOT / max(total, 1)).cast("int").alias("__pieces"))
+    return sized.sparkSession.createDataFrame(hot.collect(), hot.schema)
+
+
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` joined to `other`, which has one row for each of the `keys`; the rows of hot keys (see `hot_keys`) are
+    dealt over as many pieces as their share asks for, so that none of them fills a task. Other keys meet as in a plain join."""
+    hot = F.broadcast(hot)  # HOT rows at most
+    dealt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__pieces")), F.lit(0)).cast("int")
+    left = rows.join(hot, keys, "left").withColumn("__piece", dealt).drop("__pieces")
+    pieces = F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))
+    right = other.join(hot, keys, "left").withColumn("__piece", pieces).drop("__pieces")
+    return left.join(right, [*keys, "__piece"], how).drop("__piece")
 
 
 def mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:

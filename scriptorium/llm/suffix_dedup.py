@@ -1,19 +1,22 @@
-"""Removal of repeated substrings by prefix doubling over anchor positions.
-
-A string of `LENGTH` bytes is a repeat if it also starts elsewhere. Sorting every position at every doubling moves the whole
-corpus many times over, so positions are first reduced to anchors: of each string of LENGTH bytes, the place of its least
-named substring of `GRAM` bytes. Equal strings have their anchors at equal offsets, and an anchor serves a run
-of consecutive strings. Names of 1, 2, 4, ... 128 bytes come by doubling, a name being that of the pair of its halves'
-names. The rounds then group pairs of (the anchor's name, the name of a longer string around it):
-
-1. anchors whose GRAM bytes stand nowhere else are unique, and so are all their strings;
-2. the hull of an anchor's run (all its strings together): if it repeats, all its strings do;
-3. for what is left, runs cut at a fixed grid of `STEP` offsets: the core that all strings of a cell share
-   (LENGTH - STEP + 1 bytes; if it is unique, so are they), and the cell's hull (if it repeats, all do);
-4. single strings of LENGTH bytes.
-
-After each round, unique and settled positions drop out, and of equal hulls one stays as a source. Names have 64 bits
-and are compared in pairs, so with 128.
+"""Removal of repeated substrings by distributed prefix doubling over sampled positions.
+
+A string of `LENGTH` bytes is a repeat if it also starts elsewhere. Spark sorts pairs (rank so far, name of a longer string at
+the position), numbers the sorted pairs anew, and drops positions once they are unique or past LENGTH bytes. A rank for every
+byte position, at every doubling, would move the corpus some forty times over (a row of 40 bytes for each byte), so the
+positions are sampled first and become single only where that is needed:
+
+1. Of each string of LENGTH bytes, the place of its least named substring of `GRAM` bytes is its anchor. Equal strings have their
+   anchors at equal offsets, and an anchor serves a run of consecutive strings. Anchors are ranked by their
+   GRAM bytes; those that stand nowhere else are unique, and so are all their strings.
+2. Pairs (rank, hull), a hull being all strings of an anchor's run together: if it repeats, all its strings do. Ranks with
+   hulls that differ, one of them single, stay open, and of equal hulls one stays as a source.
+3. Open runs are cut at a fixed grid of `STEP` offsets. Pairs (rank, core), a core being the LENGTH - STEP + 1 bytes that all strings of
+   a cell share: unique ones drop out, and open ones are ranked anew, by pairs (core, hull of the cell).
+4. Pairs (rank, string of LENGTH bytes) for the single positions that are left.
+
+Names of 1, 2, 4, ... 128 bytes come by doubling where the text is read, a name being that of the pair of its halves' names.
+What decides a repeat is named twice with 64 bits, so equality is by 128 bits; texts are told apart by 128 bits (MD5 of
+id and text). A rank, hull or core that holds a great share of all rows is dealt over several tasks (`spread_join`).
 """
 
 from __future__ import annotations
@@ -26,22 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import as_int64, cut, drop_stored, mix, stored
+from scriptorium.llm.common import as_int64, cut, drop_stored, hot_keys, mix, spread_join, stored
 
 LENGTH, GRAM, STEP = 200, 64, 16
 #: Bytes of text that a task names at once; a longer text goes in parts.
 PART = 400_000
 #: Bits of the filter of documents that are read again: a fixed size, so past some number of documents it only lets all pass.
 FILTER_BITS = 26
-_TABLE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
+#: Names of single bytes, for two independent names of each string.
+_TABLES = np.random.default_rng(20240229).integers(0, 2**64, (2, 256), dtype=np.uint64)
 _LOW = np.uint64(20)
 
 
 class Names:
     """64-bit names of the substrings of some bytes."""
 
-    def __init__(self, data: np.ndarray):
-        self.by_size = {1: _TABLE[data]}
+    def __init__(self, data: np.ndarray, which: int = 0):
+        self.by_size = {1: _TABLES[which][data]}
         size = 1
         while size < 128:
             half = self.by_size[size]
@@ -117,26 +121,33 @@ def place_span(place) -> tuple[F.Column, F.Column]:
     return at - F.shiftright(place, 8).bitwiseAND(255), at - place.bitwiseAND(255) + LENGTH
 
 
+def hulls_of(data: np.ndarray, named: Names, starts: np.ndarray, sizes, mark: np.ndarray) -> list[pa.Array]:
+    """The two names of substrings; `mark` is part of the name. `named` holds the first names of `data`."""
+    mark = mark.astype(np.uint64)
+    return [pa.array(as_int64(mix(names.of(starts, sizes), mark))) for names in (named, Names(data, 1))]
+
+
 def anchor_rows(keyed: DataFrame, whole: bool) -> DataFrame:
-    """The anchors' names `gram`; if `whole`, also the hull's name, doc_id, text_key and place."""
+    """The anchors' names `gram`; if `whole`, also the hull's names, key and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch["doc_id"], batch["text_key"]
+            keys = batch["key"] if whole else None
             texts = [(x or "").encode() for x in batch["text"].to_pylist()]
             for data, ends, held in parts(texts):
                 names = Names(data)
                 at, first, last = find_anchors(names, ends)
                 columns = [pa.array(as_int64(names.by_size[GRAM][at]))]
                 if whole:
-                    hull = mix(names.of(first, last - first + LENGTH), (at - first).astype(np.uint64))
+                    columns += hulls_of(data, names, first, last - first + LENGTH, at - first) if len(at) else [pa.array([], pa.int64())] * 2
                     of = np.searchsorted([x[1] for x in held], first, "right") - 1
                     shift = np.array([x[2] - x[1] for x in held])[of]
                     own = pa.array(np.array([x[0] for x in held])[of])
-                    columns += [pa.array(as_int64(hull)), ids.take(own), keys.take(own), pa.array(_place(at + shift, at - first, at - last))]
-                yield pa.RecordBatch.from_arrays(columns, ["gram", "hull", "doc_id", "text_key", "place"][: len(columns)])
+                    columns += [keys.take(own), pa.array(_place(at + shift, at - first, at - last))]
+                yield pa.RecordBatch.from_arrays(columns, ["gram", *HULL, "key", "place"][: len(columns)])
 
-    return keyed.mapInArrow(run, "gram long" + ", hull long, doc_id long, text_key int, place long" * whole)
+    shape = "gram long" + ", hull long, hull2 long, key binary, place long" * whole
+    return (keyed if whole else keyed.select("text")).mapInArrow(run, shape)
 
 
 class _Stored:
@@ -155,20 +166,26 @@ class _Stored:
             drop_stored(self.spark, path)
 
 
+def _ranked(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups (keys..., n) with `ranked`: their place in Spark's sorted order of the keys."""
+    return groups.select(*keys, "n").orderBy(*keys).withColumn("ranked", F.monotonically_increasing_id())
+
+
 def _hulls(rows: DataFrame, keys: list[str], weight, keep: _Stored) -> tuple[DataFrame, DataFrame]:
-    """Of rows with names `keys` and `hull`: (hulls that occur more than once, one row for each hull of a
-    group that holds several hulls and among them a single one). Occurrences are sums of `weight`."""
-    carried = [c for c in rows.columns if c not in (*keys, "hull", "n")]
-    hulls = keep(rows.groupBy(*keys, "hull").agg(F.sum(weight).alias("n"), F.min(F.struct(*carried)).alias("row")), "hulls")
-    mixed = hulls.groupBy(*keys).agg(F.count("*").alias("c"), F.min("n").alias("m")).filter("c > 1 AND m = 1").select(*keys)
-    open_rows = hulls.join(keep(mixed, "mixed"), keys, "left_semi").select(*keys, "n", "row.*")
-    return keep(hulls.filter("n > 1").select(*keys, "hull"), "repeated"), open_rows
+    """Of rows with `keys`, and HULL: the hulls that occur more than once (keys, HULL, n), one row for each hull of a
+    group that holds several hulls and among them a single one, with the group's new rank in place of the keys. Occurrences are sums of `weight`."""
+    carried = [c for c in rows.columns if c not in (*keys, *HULL, "n")]
+    hulls = keep(rows.groupBy(*keys, *HULL).agg(F.sum(weight).alias("n"), F.count("*").alias("n_rows"), F.min(F.struct(*carried)).alias("row")), "hulls")
+    mixed = hulls.groupBy(*keys).agg(F.count("*").alias("n"), F.min("n").alias("m")).filter("n > 1 AND m = 1")
+    mixed = keep(_ranked(mixed, keys), "mixed")
+    open_rows = spread_join(hulls, mixed.drop("n"), keys, hot_keys(mixed, keys)).select(F.col("ranked").alias("rank"), "n", "row.*")
+    return keep(hulls.filter("n > 1").select(*keys, *HULL, F.col("n_rows").alias("n")), "repeated"), open_rows
 
 
 def document_filter(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`keyed` without most of the documents that aren't in `wanted` (doc_id, text_key): by a bitmap of 2 ** FILTER_BITS bits,
+    """`keyed` without most of the documents that aren't in `wanted` (key): by a bitmap of 2 ** FILTER_BITS bits,
     which is all that reaches the driver. It lets all wanted ones pass; a join follows."""
-    bit = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1 << FILTER_BITS))
+    bit = F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS))
     word = wanted.select(F.shiftright(bit, 5).alias("word"), bit.bitwiseAND(31).cast("int").alias("bit"))
     words = word.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     bitmap = np.zeros(1 << (FILTER_BITS - 5), np.int64)
@@ -180,19 +197,18 @@ def document_filter(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
         x = bits.to_numpy(np.int64)
         return bits.__class__((shared.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1)
 
-    return keyed.filter(may(bit))
+    # rows that are equal in id and text are read once
+    return keyed.filter(may(bit)).groupBy("key").agg(F.first("text").alias("text"))
 
 
-ITEM = ["gram", "n", "doc_id", "text_key", "place"]
+HULL = ["hull", "hull2"]
+ITEM = ["rank", "n", "key", "place"]
 
 
 def item_bytes(keyed: DataFrame, items: DataFrame) -> DataFrame:
     """`items` with `bytes`, the bytes under their runs, read from their documents."""
-    wanted = items.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("gram", "n", "place")).alias("items"))
-    wanted = cut(wanted)
-    # rows that are equal in id and text have all their strings repeated, but may be sources: one of them is enough
-    same = [F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("d.text_key") == F.col("w.text_key")]
-    read = document_filter(keyed, wanted).alias("d").join(wanted.alias("w"), same).select("d.doc_id", "d.text_key", "text", "items")
+    wanted = cut(items.groupBy("key").agg(F.collect_list(F.struct("rank", "n", "place")).alias("items")))
+    read = document_filter(keyed, wanted).join(wanted, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,11 +219,11 @@ def item_bytes(keyed: DataFrame, items: DataFrame) -> DataFrame:
                 own = [text[(p >> 16) - (p >> 8 & 255) : (p >> 16) - (p & 255) + LENGTH] for p in places]
                 one = pa.array([k] * len(rows), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["gram"] for x in rows], pa.int64()), pa.array([x["n"] for x in rows], pa.int64()), batch["doc_id"].take(one), batch["text_key"].take(one), pa.array(places, pa.int64()), pa.array(own, pa.binary())],
+                    [pa.array([x["rank"] for x in rows], pa.int64()), pa.array([x["n"] for x in rows], pa.int64()), batch["key"].take(one), pa.array(places, pa.int64()), pa.array(own, pa.binary())],
                     [*ITEM, "bytes"],
                 )
 
-    return read.mapInArrow(run, "gram long, n long, doc_id long, text_key int, place long, bytes binary")
+    return read.mapInArrow(run, "rank long, n long, key binary, place long, bytes binary")
 
 
 def cell_rows(items: DataFrame) -> DataFrame:
@@ -221,20 +237,21 @@ def cell_rows(items: DataFrame) -> DataFrame:
                 before, after = place >> 8 & 255, place & 255
                 low, high = after // STEP, before // STEP
                 of = np.repeat(np.arange(len(part)), high - low + 1)
+                if not len(of):
+                    continue
                 cell = np.arange(len(of)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[of]
                 far, near = np.minimum((cell + 1) * STEP - 1, before[of]), np.maximum(cell * STEP, after[of])
                 anchor = base[of] + before[of]  # the anchor's place in `data`
                 names = Names(data)
-                core = names.of(anchor - cell * STEP, LENGTH - STEP + 1 + 0 * cell) if len(of) else np.zeros(0, np.uint64)
-                core = mix(core, cell.astype(np.uint64))
-                hull = mix(names.of(anchor - far, far - near + LENGTH), (far << 8 | near).astype(np.uint64))
+                core = mix(names.of(anchor - cell * STEP, LENGTH - STEP + 1 + 0 * cell), cell.astype(np.uint64))
+                hulls = hulls_of(data, names, anchor - far, far - near + LENGTH, far << 8 | near)
                 own = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [part["gram"].take(own), pa.array(as_int64(core)), pa.array(as_int64(hull)), part["n"].take(own), part["doc_id"].take(own), part["text_key"].take(own), part["place"].take(own), pa.array(_place(place[of] >> 16, far, near))],
-                    ["gram", "core", "hull", "n", "doc_id", "text_key", "place", "cell"],
+                    [part["rank"].take(own), pa.array(as_int64(core)), *hulls, part["n"].take(own), part["key"].take(own), part["place"].take(own), pa.array(_place(place[of] >> 16, far, near))],
+                    ["rank", "core", *HULL, "n", "key", "place", "cell"],
                 )
 
-    return items.mapInArrow(run, "gram long, core long, hull long, n long, doc_id long, text_key int, place long, cell long")
+    return items.mapInArrow(run, "rank long, core long, hull long, hull2 long, n long, key binary, place long, cell long")
 
 
 def _laid_out(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +262,7 @@ def _laid_out(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def string_rows(cells: DataFrame) -> DataFrame:
-    """The single strings of each cell (with its item's bytes): the name of their LENGTH bytes and their start."""
+    """The single strings of each cell (with its item's bytes): the names of their LENGTH bytes and their start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,50 +273,56 @@ def string_rows(cells: DataFrame) -> DataFrame:
                 far, near, before = cell >> 8 & 255, cell & 255, place >> 8 & 255
                 n = far - near + 1
                 of = np.repeat(np.arange(len(part)), n)
+                if not len(of):
+                    continue
                 offset = far[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
-                names = Names(data)
-                name = mix(names.of(base[of] + before[of] - offset, LENGTH + 0 * offset), offset.astype(np.uint64)) if len(of) else np.zeros(0, np.uint64)
+                named = hulls_of(data, Names(data), base[of] + before[of] - offset, LENGTH + 0 * offset, offset)
                 own = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [part["gram"].take(own), pa.array(as_int64(name)), part["n"].take(own), part["doc_id"].take(own), part["text_key"].take(own), pa.array((place[of] >> 16) - offset)],
-                    ["gram", "name", "n", "doc_id", "text_key", "start"],
+                    [part["rank"].take(own), *named, part["n"].take(own), part["key"].take(own), pa.array((place[of] >> 16) - offset)],
+                    ["rank", "name", "name2", "n", "key", "start"],
                 )
 
-    return cells.mapInArrow(run, "gram long, name long, n long, doc_id long, text_key int, start long")
+    return cells.mapInArrow(run, "rank long, name long, name2 long, n long, key binary, start long")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long"), F.hash("text").alias("text_key"), F.col("text").cast("string"))
+    """(doc_id, text, key); rows equal in id and text have one key."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), text).cast("binary")))
+    return documents.select(F.col("doc_id").cast("long"), text.alias("text"), key.alias("key"))
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans) of the documents with repeats: `spans` is an array of disjoint (start, end) in bytes,
+    """(key, spans) of the documents with repeats: `spans` is an array of disjoint (start, end) in bytes,
     in order, that covers exactly the bytes in a string of LENGTH bytes that also starts elsewhere, in the same document or
-    another. text_key is hash(text). Null text counts as empty. Rows equal in id and text have one row here; each is
-    the other's elsewhere."""
+    another. `key` is MD5 of id and text. Null text counts as empty. Rows equal in id and text have one row here; each is
+    the other's elsewhere. An empty table gives no rows; a text of any length is named in parts of PART bytes;
+    other columns are ignored."""
     keep = _Stored(documents.sparkSession)
-    keyed = _keyed(documents)
-    grams = anchor_rows(keyed, False).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    anchors = keep(anchor_rows(keyed, True).join(keep(grams, "grams"), "gram", "left_semi"), "anchors")
-    repeated, items = _hulls(anchors, ["gram"], F.lit(1), keep)
+    keyed = _keyed(documents).select("key", "text")
+    grams = keep(_ranked(anchor_rows(keyed, False).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), ["gram"]), "grams")
+    anchors = spread_join(anchor_rows(keyed, True), grams.drop("n"), ["gram"], hot_keys(grams, ["gram"]))
+    anchors = keep(anchors.select(F.col("ranked").alias("rank"), *HULL, "key", "place"), "anchors")
+    repeated, items = _hulls(anchors, ["rank"], F.lit(1), keep)
     items = keep(item_bytes(keyed, items), "items")
     start, end = place_span(F.col("place"))
-    found = anchors.join(repeated, ["gram", "hull"], "left_semi").select("doc_id", "text_key", start.alias("start"), end.alias("end"))
+    same = ["rank", *HULL]
+    found = spread_join(anchors, repeated.drop("n"), same, hot_keys(repeated, same)).select("key", start.alias("start"), end.alias("end"))
 
     cells = keep(cell_rows(items), "cells")
-    repeated, open_cells = _hulls(cells, ["gram", "core"], F.col("n"), keep)
+    repeated, open_cells = _hulls(cells, ["rank", "core"], F.col("n"), keep)
     start, end = place_span(F.col("cell"))
-    settled = cells.filter("n = 1").join(repeated, ["gram", "core", "hull"], "left_semi")
-    found = found.unionByName(settled.select("doc_id", "text_key", start.alias("start"), end.alias("end")))
+    same = ["rank", "core", *HULL]
+    settled = spread_join(cells.filter("n = 1"), repeated.drop("n"), same, hot_keys(repeated, same))
+    found = found.unionByName(settled.select("key", start.alias("start"), end.alias("end")))
 
-    open_cells = open_cells.drop("core").alias("c").join(
-        items.select("doc_id", "text_key", "place", "bytes").alias("i"),
-        F.col("c.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("c.text_key") == F.col("i.text_key")) & (F.col("c.place") == F.col("i.place")),
-    )
-    strings = keep(string_rows(open_cells.select("gram", "n", "c.doc_id", "c.text_key", "c.place", "cell", "bytes")), "strings")
-    repeated = strings.groupBy("gram", "name").agg(F.sum("n").alias("n")).filter("n > 1").select("gram", "name")
-    last = strings.filter("n = 1").join(repeated, ["gram", "name"], "left_semi")
-    found = found.unionByName(last.select("doc_id", "text_key", "start", (F.col("start") + LENGTH).alias("end")))
+    open_cells = open_cells.join(items.select("key", "place", "bytes"), ["key", "place"])
+    strings = keep(string_rows(open_cells.select("rank", "n", "key", "place", "cell", "bytes")), "strings")
+    same = ["rank", "name", "name2"]
+    repeated = keep(strings.groupBy(*same).agg(F.sum("n").alias("m"), F.count("*").alias("n")).filter("m > 1").select(*same, "n"), "names")
+    last = spread_join(strings.filter("n = 1").drop("n"), repeated.drop("n"), same, hot_keys(repeated, same))
+    found = found.unionByName(last.select("key", "start", (F.col("start") + LENGTH).alias("end")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -307,10 +330,10 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
                 merged = [merge_spans(x) for x in part["spans"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], pa.array(merged, kind)], ["doc_id", "text_key", "spans"])
+                yield pa.RecordBatch.from_arrays([part["key"], pa.array(merged, kind)], ["key", "spans"])
 
-    spans = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = cut(spans.mapInArrow(merge, "doc_id long, text_key int, spans array<struct<start:bigint,end:bigint>>"))
+    spans = found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = cut(spans.mapInArrow(merge, "key binary, spans array<struct<start:bigint,end:bigint>>"))
     keep.drop()
     return spans
 
@@ -327,11 +350,9 @@ def merge_spans(spans: list[dict]) -> list[dict]:
 
 
 def remove_repeats(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans, kept binary) of the documents with `spans` that keep some bytes: what is left, one after another."""
-    keyed = _keyed(documents).withColumn("n_bytes", F.octet_length("text"))
-    spans = cut(spans)
-    same = [F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("d.text_key") == F.col("s.text_key")]
-    read = document_filter(keyed, spans).alias("d").join(spans.alias("s"), same).select("d.doc_id", "d.text_key", "text", "spans")
+    """(key, spans, kept binary) of the documents with `spans` that keep some bytes: what is left, one after another."""
+    spans = cut(spans.select("key", "spans"))
+    read = document_filter(_keyed(documents).select("key", "text"), spans).join(spans, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,14 +360,14 @@ def remove_repeats(documents: DataFrame, spans: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 kept = []
                 for text, spans in zip(part["text"].to_pylist(), part["spans"].to_pylist(), strict=True):
-                    raw, upto, left = (text or "").encode(), 0, []
+                    raw, upto, left = text.encode(), 0, []
                     for x in spans:
                         left.append(raw[upto : x["start"]])
                         upto = x["end"]
                     kept.append(b"".join(left) + raw[upto:])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], part["spans"], pa.array(kept, pa.binary())], ["doc_id", "text_key", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part["key"], part["spans"], pa.array(kept, pa.binary())], ["key", "spans", "kept"])
 
-    return read.mapInArrow(run, "doc_id long, text_key int, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return read.select("key", "text", "spans").mapInArrow(run, "key binary, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -356,17 +377,18 @@ def repeat_digests(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of `documents`.
 
     Texts that lose nothing or all are digested where they are read; only the others are moved to meet their spans.
+    Null texts count as empty and lose nothing; repeated rows are each the other's elsewhere and all returned; rows without an id
+    are rows. An empty table gives none. Columns other than doc_id and text are ignored, whatever their names.
     """
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    spans = repeated_spans(documents).select("doc_id", "text_key", "spans", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"))
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    base = _keyed(documents).select("doc_id", "text_key", F.length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    some = F.col("b.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("b.text_key") == F.col("s.text_key"))
-    joined = base.alias("b").join(spans.alias("s"), some, "left")
-    partly = joined.filter("n_removed < n_bytes").select("b.doc_id", "b.text_key", "spans")
-    kept = remove_repeats(documents, partly).select("doc_id", "text_key", F.sha2("kept", 256).alias("kept")).dropDuplicates(["doc_id", "text_key"])
-    again = F.col("b.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("b.text_key") == F.col("k.text_key"))
-    digest = F.when(F.col("n_removed").isNull(), F.col("whole")).when(F.col("n_removed") == F.col("n_bytes"), F.lit(EMPTY_SHA256)).otherwise(F.col("k.kept"))
-    return joined.join(kept.alias("k"), again, "left").select(
-        "b.doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), digest.alias("kept_sha256")
+    spans = repeated_spans(documents).select("key", "spans", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"))
+    raw = F.col("text").cast("binary")
+    base = cut(_keyed(documents).select("doc_id", "key", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole")))
+    hot = hot_keys(base.groupBy("key").agg(F.count("*").alias("n")), ["key"])
+    sizes = base.select("key", "n_bytes").distinct()
+    partly = spans.join(sizes, "key").filter("n_removed < n_bytes").select("key", "spans")
+    kept = remove_repeats(documents, partly).select("key", F.sha2("kept", 256).alias("kept"))
+    told = spans.join(kept, "key", "left").select("key", "n_removed", "n_spans", F.coalesce("kept", F.lit(EMPTY_SHA256)).alias("kept"))
+    return spread_join(base, told, ["key"], hot, "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256")
     )

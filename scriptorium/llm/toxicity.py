@@ -4,8 +4,10 @@ Confirmed toxic documents are the positive sample; an unlabelled sample of all d
 prior (the share of toxic documents) corrects the risk: with losses of the positives as positive (Rp+) and as negative (Rp-),
 and of the unlabelled as negative (Ru-), the risk is prior * Rp+ + max(0, Ru- - prior * Rp-); where
 the second part falls below 0, the step goes against its gradient instead. The classifier is linear
-over a document's distinct words: the word itself and its first four, five and six letters, as 32-bit hashes. Only features
-that stand out among the positives take part, so that rare words carry no noise.
+over a document's distinct words: the word itself and its first four, five and six letters, as 32-bit hashes. Features
+are counted in Spark, and those that the two samples tell apart at a fixed false-discovery rate take part, so that the
+gate follows the samples' size. Only these features' marks in the sampled documents, a bitmap each, reach the driver.
+The risk orders the documents; where score one half lies is then calibrated on labelled rows that aren't held out.
 """
 
 from __future__ import annotations
@@ -18,16 +20,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import drop_stored, stored
+
 WORD = re.compile(r"[^\W\d_]+")
-#: Standard errors by which a feature's share of the positives must exceed its share of the unlabelled, its least number of positives, and how many features there may be.
-STANDS_OUT, LEAST_POSITIVE, MOST_FEATURES = 7.0, 3, 20_000
-#: Share of the prior that may score over one half, so that errors fall on the side of keeping a document.
-CAREFUL = 0.97
+#: Share of chance finds allowed among the chosen features (Benjamini and Hochberg).
+FALSE_DISCOVERY = 0.01
+#: Width of the model: the best features by their standard errors. It bounds the driver's bitmaps and the broadcast of weights.
+WIDTH = 4096
 #: Distinct words whose features or weights a task keeps at once.
 KEPT_WORDS = 500_000
+ROWS = 256
 
 
 def _number(feature: str) -> int:
@@ -75,74 +81,73 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, sum(self.weights[x] for x in found) + self.bias))))
 
 
-def choose_features(documents: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
-    """The features, sorted, whose share of the positive documents exceeds that of the others by STANDS_OUT standard errors."""
-    numbers, column = np.unique(np.concatenate(documents), return_inverse=True)
-    of = np.repeat(positive, [len(d) for d in documents])
-    with_positive = np.bincount(column[of], minlength=len(numbers))
-    n, m = positive.sum(), (~positive).sum()
-    p, u = with_positive / n, np.bincount(column[~of], minlength=len(numbers)) / m
-    pooled = (p * n + u * m) / (n + m)
-    z = (p - u) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n + 1 / m))
-    z[with_positive < LEAST_POSITIVE] = 0
-    best = np.argsort(-z, kind="stable")[:MOST_FEATURES]
-    return np.sort(numbers[best[z[best] >= STANDS_OUT]])
-
-
 def train_nnpu(
-    documents: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.03, decay: float = 1e-3, seed: int = 7
-) -> ToxicityModel:
-    """Fits a model to sampled documents, each an array of its features; `positive` marks the confirmed ones and
-    the rest are unlabelled. The loss is logistic and the steps are Adam's. Last, the bias is moved so that up to
-    CAREFUL times the prior of the unlabelled, and no more, score over one half. With no positives all scores are near 0."""
+    marks: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.03, decay: float = 0.03, seed: int = 7
+) -> tuple[np.ndarray, float]:
+    """(weights, bias) from sampled documents. `marks`: a row of packed bits for each document, a bit for each feature;
+    `positive` marks the confirmed ones and the rest are unlabelled. The loss is logistic and the steps are Adam's.
+    Without positives, or with nothing else, all scores are near 0."""
+    size = marks.shape[1] * 8
     if not positive.any() or positive.all() or not 0 < prior < 1:
-        return ToxicityModel({}, -30.0)
-    chosen = choose_features(documents, positive)
-    size = len(chosen)
+        return np.zeros(size), -30.0
     rng = np.random.default_rng(seed)
-    documents = [np.flatnonzero(np.isin(chosen, d, assume_unique=True)) for d in documents]
-    counts = np.array([len(d) for d in documents])
+    found = [np.flatnonzero(np.unpackbits(row)) for row in marks]
+    counts = np.array([len(d) for d in found])
     ends = np.cumsum(counts)
-    flat = np.concatenate(documents)
+    flat = np.concatenate(found)
     marked, rest = np.flatnonzero(positive), np.flatnonzero(~positive)
     weights, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)  # the last is the bias
     weights[-1] = np.log(prior / (1 - prior))
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(rest)
-        for at in range(0, len(order), batch):
-            unlabelled = order[at : at + batch]
-            own = rng.choice(marked, min(len(marked), batch // 2), replace=False)
-            rows = np.concatenate([own, unlabelled])
-            n = counts[rows]
-            begins = np.cumsum(n) - n
-            features = flat[np.repeat(ends[rows] - n - begins, n) + np.arange(n.sum())]
-            row_of = np.repeat(np.arange(len(rows)), n)
-            z = np.bincount(row_of, weights[features], len(rows)) + weights[-1]
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            k = len(own)
-            as_negative = np.logaddexp(0, z)
-            excess = as_negative[k:].mean() - prior * as_negative[:k].mean()
-            slope = np.empty(len(rows))
-            if excess >= 0:
-                slope[:k] = prior * (p[:k] - 1) / k - prior * p[:k] / k
-                slope[k:] = p[k:] / len(unlabelled)
-            else:
-                slope[:k] = prior * p[:k] / k
-                slope[k:] = -p[k:] / len(unlabelled)
-            gradient = np.empty(size + 1)
-            gradient[:-1] = np.bincount(features, slope[row_of], size) + decay * weights[:-1]
-            gradient[-1] = slope.sum()
-            step += 1
-            first = 0.9 * first + 0.1 * gradient
-            second = 0.999 * second + 0.001 * gradient * gradient
-            weights -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    row_of = np.repeat(np.arange(len(documents)), counts)
-    totals = np.sort(np.bincount(row_of, weights[flat], len(documents))[rest])[::-1]
-    upper = totals[totals > totals[min(int(CAREFUL * prior * len(rest)), len(rest) - 1)]]
-    lower = totals[len(upper)]
-    bias = -(upper[-1] + lower) / 2 if len(upper) else -lower - 1.0
-    return ToxicityModel(dict(zip(chosen.tolist(), weights[:-1].tolist())), float(bias))
+    steps = max(epochs * math.ceil(len(rest) / batch), MIN_STEPS)
+    queue = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(queue) < min(batch, len(rest)):
+            queue = np.concatenate([queue, rng.permutation(rest)])
+        unlabelled, queue = queue[:batch], queue[batch:]
+        own = rng.choice(marked, min(len(marked), batch // 2), replace=False)
+        rows = np.concatenate([own, unlabelled])
+        n = counts[rows]
+        begins = np.cumsum(n) - n
+        features = flat[np.repeat(ends[rows] - n - begins, n) + np.arange(n.sum())]
+        row_of = np.repeat(np.arange(len(rows)), n)
+        z = np.bincount(row_of, weights[features], len(rows)) + weights[-1]
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        k = len(own)
+        as_negative = np.logaddexp(0, z)
+        excess = as_negative[k:].mean() - prior * as_negative[:k].mean()
+        slope = np.empty(len(rows))
+        if excess >= 0:
+            slope[:k] = prior * (p[:k] - 1) / k - prior * p[:k] / k
+            slope[k:] = p[k:] / len(unlabelled)
+        else:
+            slope[:k] = prior * p[:k] / k
+            slope[k:] = -p[k:] / len(unlabelled)
+        gradient = np.empty(size + 1)
+        gradient[:-1] = np.bincount(features, slope[row_of], size) + decay * weights[:-1]
+        gradient[-1] = slope.sum()
+        first = 0.9 * first + 0.1 * gradient
+        second = 0.999 * second + 0.001 * gradient * gradient
+        now = rate * min(1.0, 2 * (1 - step / (steps + 1)))  # falls to nothing over the second half
+        weights -= now * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return weights[:-1], float(weights[-1])
+
+
+#: Steps of a training at least, so that a small sample is learned as far as a large one.
+MIN_STEPS = 600
+
+
+def calibrate(totals: np.ndarray, toxic: np.ndarray, bias: float) -> float:
+    """The bias at which the labelled documents' decisions have the best F1. `totals` are their sums of weights.
+    Between two neighbouring totals it lies in the middle; without documents of both labels it stays `bias`."""
+    if not toxic.any() or toxic.all():
+        return bias
+    values = np.unique(totals)[::-1]
+    hits = np.array([np.sum(toxic & (totals >= v)) for v in values])
+    called = np.array([np.sum(totals >= v) for v in values])
+    best = int(np.argmax(2 * hits / (called + toxic.sum())))
+    if best + 1 == len(values):  # all are called toxic: nothing tells them apart
+        return bias
+    return float(-(values[best] + values[best + 1]) / 2)
 
 
 def held_out(doc_id) -> F.Column:
@@ -150,45 +155,100 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo = _Memo(word_features)
-    for rows in frames:
-        yield pd.DataFrame(
-            {
-                "toxic": rows["toxic"],
-                "features": [document_features(words_of(t or ""), memo).tobytes() for t in rows["text"]],
-            }
-        )
-
-
-def fit_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000) -> ToxicityModel:
+def _sample_features(sample: DataFrame) -> DataFrame:
+    """(doc_id, toxic, key, features) of the sampled rows; `key` orders rows of one id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Memo(word_features)
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                found = [document_features(words_of(t or ""), memo).astype(np.int64) for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], part["toxic"], part["key"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "toxic", "key", "features"]
+                )
+
+    found = sample.mapInArrow(run, "doc_id long, toxic int, key long, features array<long>")
+    # one row for each id, however often the id stands in the table
+    return found.groupBy("doc_id", "toxic").agg(F.min(F.struct("key", "features")).alias("row")).select("toxic", "row.key", "row.features")
+
+
+#: The `toxic` column of the sample: confirmed, unlabelled, and labelled as clean (for calibration alone).
+POSITIVE, UNLABELLED, CLEAN = 1, 0, 2
+
+
+def choose_features(sample: DataFrame, n_positive: int, n_other: int) -> np.ndarray:
+    """The features, sorted, that stand in a larger share of the positives than of the others; at most WIDTH of them reach the driver."""
+    if not n_positive or not n_other:
+        return np.zeros(0, np.int64)
+    counts = sample.filter("toxic < 2").select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
+    )
+    n, m = float(n_positive), float(n_other)
+    pooled = (F.col("a") + F.col("b")) / (n + m)
+    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n + 1 / m))
+    stands = counts.withColumn("z", (F.col("a") / n - F.col("b") / m) / error)
+    tested = counts.count()
+    best = stands.filter("a > 1 AND z > 0").orderBy(F.desc("z"), "feature").limit(WIDTH).select("feature", "z").collect()
+    kept = 0
+    for rank, row in enumerate(best, 1):
+        if math.erfc(row.z / math.sqrt(2)) / 2 <= FALSE_DISCOVERY * rank / tested:
+            kept = rank
+    return np.sort(np.array([r.feature for r in best[:kept]], np.int64))
+
+
+def fit_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, max_clean: int = 4000) -> ToxicityModel:
     """Trains on the rows of `documents` that are not held out.
 
     Positives are up to `max_positive` documents with a toxic label of 1, and the unlabelled sample is up to `max_unlabelled`
-    documents whatever their label; both are drawn by a hash of the id, so the sample is bounded, and only
-    it reaches the driver. The prior is the share of toxic among all labelled documents not held out.
-    Labels and ids choose the sample; the features are of the text alone.
+    documents whatever their label; up to `max_clean` documents labelled as not toxic serve the calibration only, with the positives.
+    All are drawn by a hash of the id, and of the rows of one id the text of least hash stands for all. So the sample is bounded in rows, and what reaches the driver in bytes too: WIDTH bits a row.
+    The prior is the share of toxic among all labelled documents not held out; where an id is labelled twice, toxic counts.
+    Labels and ids choose the sample; the features are of the whole texts alone. Null texts count as empty; rows without an id,
+    other columns and null labels take no part. With an empty table, no positives or nothing else, all scores are near 0.
     """
-    docs = documents.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
-    known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    spark = documents.sparkSession
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(~held_out(F.col("doc_id")))
+    known = labels.select(F.col("doc_id").cast("long"), "toxic").filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first().p or 0.0
     drawn = F.xxhash64(F.lit("sample"), "doc_id")
-    toxic_ids = known.filter("toxic = 1").select("doc_id").orderBy(drawn, "doc_id").limit(max_positive)
-    other_ids = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(drawn, "doc_id").limit(max_unlabelled)
-    chosen = toxic_ids.withColumn("toxic", F.lit(1)).unionByName(other_ids.dropDuplicates().withColumn("toxic", F.lit(0)))
-    # the chosen ids are max_positive + max_unlabelled at most
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    rows = sample.mapInPandas(_features, "toxic int, features binary").toPandas()
-    order = rows["features"].map(zlib.crc32).argsort(kind="stable") if len(rows) else []
-    rows = rows.iloc[order]  # the same order however the rows arrived
-    return train_nnpu([np.frombuffer(x, np.uint32) for x in rows["features"]], rows["toxic"].to_numpy() == 1, share)
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    toxic_ids = known.filter("toxic = 1").join(ids, "doc_id", "left_semi").select("doc_id").orderBy(drawn, "doc_id").limit(max_positive)
+    other_ids = ids.orderBy(drawn, "doc_id").limit(max_unlabelled)
+    clean_ids = known.filter("toxic = 0").join(ids, "doc_id", "left_semi").select("doc_id").orderBy(drawn, "doc_id").limit(max_clean)
+    chosen = toxic_ids.withColumn("toxic", F.lit(POSITIVE)).unionByName(other_ids.withColumn("toxic", F.lit(UNLABELLED))).unionByName(clean_ids.withColumn("toxic", F.lit(CLEAN)))
+    # the chosen ids are max_positive + max_unlabelled + max_clean at most
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("key"), "text")
+    sample, path = stored(_sample_features(sample), "toxicity-sample")
+    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    features = choose_features(sample, sizes.get(POSITIVE, 0), sizes.get(UNLABELLED, 0))
+    shared = spark.sparkContext.broadcast(features)  # WIDTH numbers at most
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            rows = [np.packbits(np.isin(own, np.asarray(x, np.int64), assume_unique=True)).tobytes() for x in batch["features"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(rows, pa.binary())], ["toxic", "marks"])
+
+    rows = sample.mapInArrow(mark, "toxic int, marks binary").toArrow().sort_by([("toxic", "ascending"), ("marks", "ascending")])
+    drop_stored(spark, path)  # the order is the same however the rows arrived
+    width = (len(features) + 7) // 8
+    marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(len(rows), width)
+    part = np.array(rows["toxic"].to_pylist(), np.int64)
+    learned = part != CLEAN
+    weights, bias = train_nnpu(marks[learned], part[learned] == POSITIVE, share)
+    labelled = part != UNLABELLED
+    totals = np.array([weights[: 8 * width] @ np.unpackbits(row) for row in marks[labelled]])
+    bias = calibrate(totals, part[labelled] == POSITIVE, bias)
+    return ToxicityModel(dict(zip(features.tolist(), weights.tolist())), bias)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """All columns of `documents`, with `score` (double, 0 to 1) and `predicted` (score >= threshold) appended,
     replacing columns of these names. Each row's whole text is read; null and empty texts have the bias's score.
     Equal texts have equal scores, and repeated rows are kept."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # MOST_FEATURES weights at most
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # WIDTH weights at most
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
