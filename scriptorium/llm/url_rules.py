@@ -1,34 +1,42 @@
 """URL allow and block rules by a sort-merge range join; DataFrame operations only.
 
-The canonical key of a host suffix is its labels in reverse order (`org.example` for
-`example.org`), followed by the path. All paths under a rule are the interval
-[key, key + U+10FFFF], and intervals of prefixes are nested or disjoint. A page is a point under
-each of its host's suffixes that some rule names. Points and interval ends are sorted together
-within a suffix, and the sweep carries the stack of the rules that are open; the longest
-of all the suffixes' innermost rules decides.
+The canonical key of a host is its labels in reverse order, each followed by a dot (`org.example.` for `example.org`), so
+that a rule's host and all its subdomains are one interval of keys, [key, key with its last dot raised to the next
+character). The paths under a rule are, within its host, the interval [path, path + 0xFF) of UTF-8 bytes, which never hold
+0xFF. Intervals of prefixes are nested or disjoint. Two sorted sweeps follow each other: over hosts, for all rules' hosts that
+hold a page's host, and over (rule's host, path), for the longest rule's path that holds the page's. In a
+sweep, points and interval ends are sorted together, a running sum of opened less closed intervals is the height of
+the stack, and the rule at a height is the last one opened to it.
+
+Keys are cut into blocks at bounds from a bounded sample. An interval is told to all blocks it reaches, so each block
+begins with the stack handed over to it. A key that stands at several bounds is dealt over the blocks between them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sorts after every path with the same prefix.
-LAST = "\U0010ffff"
+#: Kinds of events, in their order at one key. An interval ends before what lies at its end.
+CLOSE, OPEN, POINT = 0, 1, 2
+#: Sampled keys for each block, bytes of each, and the most blocks that are cut without being asked for.
+SAMPLED, KEY_BYTES, MOST_BLOCKS = 16, 256, 1024
+#: Equal rows are counted in so many parts, so that none of them is returned by one task.
+GRAINS = 1024
 
 
-def split_url(url) -> tuple[F.Column, F.Column]:
+def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null or a url without `://`."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring(__url, instr(__url, '://') + 3)"))
+    rest = F.when(at > 0, url.substr(at + 3, F.length(url)))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def host_key(host) -> F.Column:
-    return F.array_join(F.reverse(F.split(host, r"\.")), ".")
+def host_key(host: Column) -> Column:
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -36,105 +44,106 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
     return spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
 
 
-def rule_events(rules: DataFrame) -> DataFrame:
-    """Two events for each rule, where its interval opens and closes, each with the stack of the
-    rules that are open after it, innermost last. Rules of one host are as many as its prefixes that
-    matter, not as many as its pages."""
-    rules = rules.groupBy(
-        F.translate(F.coalesce("rule_host", F.lit("")), UPPER, LOWER).alias("rule_host"),
-        F.coalesce("rule_path", F.lit("")).alias("rule_path"),
-    ).agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict")).verdict.alias("verdict"))
-    outer = rules.select("rule_host", F.col("rule_path").alias("outer_path"), F.col("verdict").alias("outer_verdict"))
-    # a rule's prefixes are equal to others' paths: an equi-join, not a comparison of all pairs
-    prefixes = rules.withColumn(
-        "outer_path", F.explode(F.expr("transform(sequence(0, length(rule_path)), n -> substring(rule_path, 1, n))"))
-    )
-    chains = prefixes.join(outer, ["rule_host", "outer_path"]).groupBy("rule_host", "rule_path").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.length("outer_path").alias("depth"),
-                    F.concat("rule_host", "outer_path").alias("rule"),
-                    F.col("outer_verdict").alias("verdict"),
-                )
-            )
-        ).alias("chain")
-    )
-    size = F.size("chain")
-    opening = chains.select(
-        "rule_host", F.col("rule_path").alias("key"), F.lit(1).alias("kind"), size.alias("nest"), F.col("chain").alias("stack")
-    )
-    closing = chains.select(
-        "rule_host",
-        F.concat("rule_path", F.lit(LAST)).alias("key"),
-        F.lit(3).alias("kind"),
-        (-size).alias("nest"),
-        F.slice("chain", F.lit(1), F.greatest(size - 1, F.lit(0))).alias("stack"),
+def _count_below(bounds: list[bytes], key: Column, or_equal: bool) -> Column:
+    """How many of the sorted bounds are below the key (or equal to it): a binary search in steps of halving width."""
+    if not bounds:
+        return F.lit(0)
+    held = F.array(*[F.lit(b) for b in bounds])
+    widths = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+
+    def step(low: Column, width: Column) -> Column:
+        at = F.get(held, low + width - 1)
+        return F.when(F.coalesce(at <= key if or_equal else at < key, F.lit(False)), low + width).otherwise(low)
+
+    return F.aggregate(F.array(*[F.lit(w) for w in widths]), F.lit(0), step)
+
+
+def choose_bounds(keys: list[bytes], blocks: int) -> list[bytes]:
+    """Up to blocks - 1 bounds that deal the sampled keys evenly; a frequent key stands several times."""
+    keys = sorted(keys)
+    return [keys[len(keys) * k // blocks] for k in range(1, blocks)] if keys else []
+
+
+def sweep(points: DataFrame, intervals: DataFrame, bounds: list[bytes], levels: int | None) -> DataFrame:
+    """`points` (with `__key`, binary; null lies in no interval) with `__open`: the rules of the intervals that hold the key. `intervals` are
+    (start, end, rule), nested or disjoint, each once. With `levels`, the stack as an array, outermost first, where
+    `levels` is at least its greatest height; without, its top."""
+    below, upto = _count_below(bounds, F.col("__key"), False), _count_below(bounds, F.col("__key"), True)
+    scatter = F.xxhash64(F.monotonically_increasing_id())
+    block = F.when(F.col("__key").isNull(), F.pmod(scatter, F.lit(len(bounds) + 1))).otherwise(upto - F.pmod(scatter, F.greatest(upto - below, F.lit(1))))
+    points = points.withColumn("__block", block.cast("int"))
+    points = points.withColumns({"__key": F.coalesce("__key", F.lit(b"")), "__kind": F.lit(POINT), "__rule": F.lit(None).cast(intervals.schema["rule"].dataType)})
+    low = F.least(_count_below(bounds, F.col("start"), False) + 1, _count_below(bounds, F.col("start"), True))
+    told = intervals.withColumn("__block", F.explode(F.sequence(low, _count_below(bounds, F.col("end"), False))))
+    ends = F.array(F.struct(F.col("start").alias("key"), F.lit(OPEN).alias("kind")), F.struct(F.col("end").alias("key"), F.lit(CLOSE).alias("kind")))
+    events = told.select("__block", F.explode(ends).alias("e"), F.col("rule").alias("__rule")).select(
+        "__block", F.col("e.key").alias("__key"), F.col("e.kind").alias("__kind"), "__rule"
     )
-    return opening.unionByName(closing).withColumnRenamed("rule_host", "suffix")
+    order = ["__key", "__kind"]
+    run = Window.partitionBy("__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    change = F.when(F.col("__kind") == OPEN, 1).when(F.col("__kind") == CLOSE, -1).otherwise(0)
+    swept = points.unionByName(events, allowMissingColumns=True).withColumn("__height", F.sum(change).over(run))
+    opened = F.when(F.col("__kind") == OPEN, F.col("__rule"))
+    if levels is None:
+        at_height = Window.partitionBy("__block", "__height").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        swept = swept.withColumn("__open", F.when(F.col("__height") > 0, F.last(opened, ignorenulls=True).over(at_height)))
+    else:
+        slots = [F.last(F.when(F.col("__height") == n, opened), ignorenulls=True).over(run) for n in range(1, levels + 1)]
+        stack = F.slice(F.array(*slots), F.lit(1), F.col("__height").cast("int")) if slots else F.array().cast("array<string>")
+        swept = swept.withColumn("__open", stack)
+    return swept.filter(F.col("__kind") == POINT).drop("__block", "__kind", "__rule", "__height")
 
 
-def judge_urls(
-    pages: DataFrame, rules: DataFrame, default: str = "allow", block_rows: int = 256, id_col: str = "page_id"
-) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", blocks: int | None = None, id_col: str = "page_id") -> DataFrame:
     """(id, host, path, rule, verdict) for each row of `pages`: the longest rule (host and path
     together) that fits, else null and `default`.
 
-    Null or malformed urls have an empty host and path and no rule. Repeated rows are judged once and
-    all returned; other columns are ignored. Of two rules with one host and path, block counts. The
-    points of a suffix are dealt over blocks of about `block_rows` (or four times its events, if
-    more), each with the suffix's events, so that a frequent host is swept by many tasks and events are
-    never the larger part.
+    Null or malformed urls have an empty host and path and no rule. Repeated rows are all returned, and rows without an
+    id are rows; other columns are ignored, whatever their names. Texts of any length count whole. Of two rules with one host and path,
+    block counts; a null host or path of a rule is empty. Empty pages give no rows; without rules all rows have the default.
+    `blocks` (as many as shuffle partitions, if not given) changes the plan, not the result.
     """
+    spark = pages.sparkSession
+    blocks = blocks or min(MOST_BLOCKS, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     host, path = split_url(F.col("__url"))
-    pages = pages.select(id_col, F.col("url").alias("__url")).select(id_col, host.alias("host"), path.alias("path"))
-    rules = rules.select("verdict", "rule_host", "rule_path")
-    deepest = rules.select(F.max(F.size(F.split("rule_host", r"\."))).alias("n")).first().n or 1
-    urls = pages.groupBy("host", "path").agg(F.lit(1).alias("one")).select("host", "path")
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(deepest), F.size(labels))),
-        lambda n: F.array_join(F.slice(labels, -n, n), "."),
-    )
-    events = rule_events(rules)
-    sizes = events.groupBy("suffix").agg(F.count("*").alias("n_events"))
-    points = urls.select("host", "path", F.explode(suffixes).alias("suffix"))
-    known = points.join(sizes, "suffix", "left_semi")
-    load = known.groupBy("suffix").agg(F.count("*").alias("n_points")).join(sizes, "suffix")
-    blocks = load.select(
-        "suffix", F.ceil(F.col("n_points") / F.greatest(F.lit(block_rows), 4 * F.col("n_events"))).cast("int").alias("n_blocks")
-    )
-    known = known.join(blocks, "suffix").select(
-        "suffix",
-        F.pmod(F.xxhash64("host", "path"), F.col("n_blocks")).cast("int").alias("block"),
-        F.col("path").alias("key"),
-        F.lit(2).alias("kind"),
-        F.lit(0).alias("nest"),
-        F.lit(None).cast(events.schema["stack"].dataType).alias("stack"),
-        "host",
-        "path",
-    )
-    spread = events.join(blocks, "suffix").select(
-        "suffix",
-        F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"),
-        "key",
-        "kind",
-        "nest",
-        "stack",
-        F.lit(None).cast("string").alias("host"),
-        F.lit(None).cast("string").alias("path"),
-    )
-    sweep = Window.partitionBy("__site", "block").orderBy("key", "kind", "nest").rowsBetween(Window.unboundedPreceding, 0)
-    swept = (
-        known.unionByName(spread)
-        .withColumn("__site", host_key(F.col("suffix")))
-        .withColumn("open", F.last("stack", ignorenulls=True).over(sweep))
-        .filter((F.col("kind") == 2) & (F.size("open") > 0))
-        .select("host", "path", F.element_at("open", -1).alias("top"))
+    pages = pages.select(F.col(f"`{id_col}`").alias("__id"), F.col("url").alias("__url")).select("__id", host.alias("host"), path.alias("path"))
+    rule_host = F.translate(F.coalesce("rule_host", F.lit("")), UPPER, LOWER)
+    rules = rules.select(rule_host.alias("rule_host"), F.coalesce("rule_path", F.lit("")).alias("rule_path"), "verdict")
+    rules = rules.filter(~F.contains("rule_host", F.lit("/")))  # no url has such a host
+    rules = rules.groupBy("rule_host", "rule_path").agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict")).verdict.alias("verdict"))
+    levels = rules.select(F.max(F.size(F.split("rule_host", r"\."))).alias("n")).first().n or 0
+
+    key = host_key(F.col("rule_host"))
+    hosts = rules.select("rule_host").distinct().select(
+        key.cast("binary").alias("start"), F.concat(key.substr(F.lit(1), F.length(key) - 1), F.lit("/")).cast("binary").alias("end"), F.col("rule_host").alias("rule")
     )
-    best = swept.groupBy("host", "path").agg(
-        F.max(F.struct(F.length("top.rule").alias("n"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))).alias("best")
+    whole = F.concat("rule_host", F.lit("/"), "rule_path")
+    paths = rules.select(
+        whole.cast("binary").alias("start"), F.concat(whole.cast("binary"), F.lit(b"\xff")).alias("end"),
+        F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), F.concat("rule_host", "rule_path").alias("rule"), "verdict").alias("rule"),
+    )
+
+    def by_host(rows: DataFrame, bounds: list[bytes]) -> DataFrame:
+        """A row with no key for each page, and one for each rule's host that holds its host, with rule's host and path as the key."""
+        found = sweep(rows.withColumn("__key", host_key(F.col("host")).cast("binary")), hosts, bounds, levels)
+        found = found.drop("__key").withColumn("__rule_host", F.explode(F.concat(F.array(F.lit(None).cast("string")), "__open"))).drop("__open")
+        return found.withColumn("__key", F.concat("__rule_host", F.lit("/"), "path").cast("binary"))
+
+    def collected(keys: Column, rows: DataFrame) -> list[bytes]:
+        return [bytes(r.k) for r in rows.select(F.substring(keys, 1, KEY_BYTES).alias("k")).collect() if r.k is not None]
+
+    # SAMPLED keys a block, of KEY_BYTES at most, are all that reaches the driver
+    sample = pages.select(F.substring("host", 1, KEY_BYTES).alias("host"), F.substring("path", 1, KEY_BYTES).alias("path"))
+    sample = sample.orderBy(F.xxhash64(F.monotonically_increasing_id())).limit(SAMPLED * blocks)
+    drawn = spark.createDataFrame(sample.collect(), sample.schema)
+    bounds = choose_bounds(collected(host_key(F.col("host")).cast("binary"), drawn), blocks)
+    path_bounds = choose_bounds(collected(F.col("__key"), by_host(drawn, bounds)), blocks)
+
+    grain = F.pmod(F.monotonically_increasing_id(), F.lit(GRAINS)).cast("int")
+    swept = sweep(by_host(pages.withColumn("__grain", grain), bounds), paths, path_bounds, None)
+    best = swept.groupBy("__id", "host", "path", "__grain").agg(
+        F.sum(F.col("__rule_host").isNull().cast("long")).alias("rows"), F.max("__open").alias("best")
     )
-    return pages.join(best, ["host", "path"], "left").select(
-        id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
+    return best.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select(
+        F.col("__id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )

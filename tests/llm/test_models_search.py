@@ -51,16 +51,50 @@ def test_toxicity(spark):
 
 
 def test_non_negative_risk():
-    """The unlabelled hold positives too; the model still tells the classes apart and isn't drawn to call nothing toxic."""
+    """The unlabelled hold positives too; the model still tells the classes apart."""
     rng = np.random.default_rng(0)
-    bad, words = np.arange(5, dtype=np.uint32), np.arange(100, 400, dtype=np.uint32)
-    make = lambda toxic: np.unique(np.concatenate([rng.choice(words, 20), rng.choice(bad, 2) if toxic else []]).astype(np.uint32))
     truth = rng.random(3000) < 0.2
-    docs = [make(True) for _ in range(400)] + [make(t) for t in truth]
-    model = toxicity.train_nnpu(docs, np.array([True] * 400 + [False] * 3000), 0.2)
-    assert set(model.weights) == set(bad.tolist())
-    z = np.array([sum(model.weights.get(int(x), 0) for x in d) + model.bias for d in docs[400:]])
-    assert (z[truth] > 0).mean() > 0.9 and (z[~truth] > 0).mean() < 0.01
+    toxic = np.concatenate([np.ones(400, bool), truth])
+    bits = np.zeros((3400, 64), np.uint8)
+    for row, bad in zip(bits, toxic):
+        row[rng.choice(np.arange(8, 64), 12, replace=False)] = 1
+        if bad:
+            row[rng.choice(8, 2, replace=False)] = 1
+    weights, bias = toxicity.train_nnpu(np.packbits(bits, axis=1), np.arange(3400) < 400, 0.2)
+    z = bits[400:] @ weights
+    own = toxicity.calibrate(z[:600], truth[:600], bias)
+    assert ((z + own > 0)[truth]).mean() > 0.95 and ((z + own > 0)[~truth]).mean() < 0.01
+    assert weights[:8].min() > weights[8:].max()
+
+
+def test_calibrate():
+    totals = np.array([3.0, 2.0, 1.0, 1.0, 0.0])
+    assert toxicity.calibrate(totals, np.array([True, True, False, False, False]), 9.0) == -1.5
+    assert toxicity.calibrate(totals, np.array([False] * 5), 9.0) == 9.0
+    assert toxicity.calibrate(np.zeros(4), np.array([True, False, True, False]), -0.25) == -0.25
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """One id in a great many rows is one document of the sample, and no more rows than asked for reach the training."""
+    docs, labels, _ = toxic_corpus(400)
+    rows = docs + [(docs[0][0], f"again {k} w1 w2") for k in range(10_000)]
+    seen = []
+    train = toxicity.train_nnpu
+    monkeypatch.setattr(toxicity, "train_nnpu", lambda marks, positive, prior: seen.append((len(marks), int(positive.sum()))) or train(marks, positive, prior))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    toxicity.fit_toxicity(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), max_positive=10, max_unlabelled=50)
+    assert seen[0][0] <= 60 and seen[0][1] <= 10
+
+
+def test_toxicity_query(spark):
+    """Held-out documents by the labels, at each size."""
+    for size, least in (("sf0.001", 0.5), ("sf0.01", 0.5), ("sf0.1", 0.85)):
+        rows = {r.doc_id: r for r in queries.op8_toxicity(spark, f"/root/testdata/{size}").collect()}
+        labels = [(rows[r.doc_id], r.toxic) for r in spark.read.parquet(f"/root/testdata/{size}/labels.parquet").filter("toxic IS NOT NULL").collect() if r.doc_id in rows]
+        toxic, clean = [r for r, t in labels if t == 1 and r.held_out], [r for r, t in labels if t == 0 and r.held_out]
+        assert sum(r.predicted for r in toxic) >= least * len(toxic)
+        assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+        assert all(r.predicted == (r.score >= 0.5) for r in rows.values())
 
 
 def rule_model(url, rules, default="allow"):
@@ -78,10 +112,12 @@ def test_url_rules(spark):
     hosts = ["example.org", "a.example.org", "ORG", "xorg", "b.com", "com", "", "a..com", "com.", "example.org:80", "é.com", "a.b.c.d.com"]
     paths = ["", "/", "/es/", "/es", "/en/1", "/en/12?x", "/fr/de/", "/de/?q=/fr/", "/de#f", "?/de/", "/a/b/c/d", "/a/b/x", "/" + "long" * 5000]
     urls = [f"{rng.choice(['http', 'x'])}://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme", "://", "a://b://c/de/", "http://com/de/\n/x"]
+    urls += ["http://com/fr/\U0010ffffx", "http://com/de/\U0010ffff\U0010ffff", "http://com/de/\U0010fffe", "http://com/de/\ud7ff\ue000", "http://com\U0010ffff/de/", "http://com-x.com/de/"]
+    urls += ["http://" + "".join(rng.choice("com.\U0010ffff\U0010fffe\ue000-") for _ in range(rng.randint(1, 7))) + "/" + "".join(rng.choice("de/fr\U0010ffff\ud7ff") for _ in range(5)) for _ in range(300)]
     urls += ["http://hot.com/fr/" + str(k) for k in range(700)] + ["http://same.com/de/"] * 500
-    rules = [*queries.URL_RULES, ("block", "com", "/a/"), ("allow", "com", "/a/b/"), ("block", "d.com", "/a/b/c/"), ("allow", "example.org", "/es/x"), ("block", "ORG", "/zz")]
+    rules = [*queries.URL_RULES, ("block", "com", "/a/"), ("allow", "com", "/a/b/"), ("block", "d.com", "/a/b/c/"), ("allow", "example.org", "/es/x"), ("block", "ORG", "/zz"), ("block", "com", "/de/\U0010ffff"), ("allow", "m.com", "/"), ("block", "a/b", "/"), ("allow", "a", "b/")]
     pages = spark.createDataFrame([(k, u, "c", "c") for k, u in enumerate(urls)] + [(None, "http://com/de/", "c", "c")], "page_id long, url string, host string, rule string")
-    rows = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge_urls(pages, url_rules.rules_frame(spark, rules), block_rows=16).collect()}
+    rows = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge_urls(pages, url_rules.rules_frame(spark, rules), blocks=7).collect()}
     lowered = [(v, h.lower(), p) for v, h, p in rules]
     assert len(rows) == len(urls) + 1
     for k, u in enumerate(urls):
@@ -89,7 +125,11 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.limit(0), url_rules.rules_frame(spark, rules)).count() == 0
     none = url_rules.judge_urls(pages, url_rules.rules_frame(spark, rules).limit(0), default="block")
     assert {(r.rule, r.verdict) for r in none.collect()} == {(None, "block")}
+    twice = spark.createDataFrame([(1, "http://com/de/")] * 9 + [(None, None)] * 2, "`a.b` long, url string").select(F.col("`a.b`"), "url")
+    again = url_rules.judge_urls(twice, url_rules.rules_frame(spark, rules), blocks=3, id_col="a.b")
+    assert again.columns == ["a.b", "host", "path", "rule", "verdict"] and sorted(map(repr, again.collect())) == sorted(map(repr, again.collect())) and again.count() == 11
     nodes = url_rules.judge_urls(pages, url_rules.rules_frame(spark, rules))._jdf.queryExecution().toString()
+    assert nodes.split("== Physical Plan ==")[1].count("Exchange ") < 10
     assert "Python" not in nodes and "Pandas" not in nodes and "Arrow" not in nodes
 
 
