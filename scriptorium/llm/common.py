@@ -19,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset
-    (tests, one machine), a new temporary folder that is then used for the whole session."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset on a single machine
+    (tests), a new temporary folder that is then used for the whole session. On a cluster the setting is needed."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -53,6 +55,19 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def text_key(text) -> F.Column:
+    """128 bits that stand for a text (MD5); null and empty text have the same key."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def free_name(stem: str, df: DataFrame) -> str:
+    """A column name that `df` doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 #: A key is hot if it holds more than one part in HOT of all rows, so at most HOT keys are.
 HOT = 256
 

@@ -1,26 +1,36 @@
-"""Substring deduplication by hashing paragraphs, lines, the sentences in them, and short ones joined with their neighbours.
+"""Substring deduplication by hashing lines, the sentences in them, and short ones joined with their neighbours.
 
-Each unit (see `units` and `joined_units`) is normalised and hashed with its offsets. Digests are grouped
-over all documents; the occurrence that ranks first (least doc_id, then text key, then offset) stays,
-and the others are cut out of their texts. What was cut is told as offsets into the original text.
+A text's lines are cut at sentence ends. A unit is a line, or the shortest run of neighbouring sentences, that has at least
+`min_words` words; a run begins or ends at each sentence, and a long sentence is a run by itself, so no
+text lies outside all units, but for texts that are shorter than a unit. Every stretch of whole sentences with `min_words` words, so
+every paragraph too, is covered by the units that lie in it. Units are normalised and hashed with their
+offsets, and the digests are grouped over all documents; the occurrence that ranks first (least doc_id, then text key,
+then offset) stays, and the others are cut out of their texts. What was cut is told as offsets into the original text.
+
+Each cut character stands in an occurrence that ranks earlier. If it is cut there too, then by one that ranks earlier
+still, so something of each repeat always stays.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import cut, free_name, hot_keys, spread_join, text_key
+
 SENTENCE_END = re.compile(r"[.!?]+\s+|[。！？]+\s*")
 #: Thai, Lao, Myanmar, Khmer, kana and ideographs: scripts without spaces, each character of which counts as a word.
-SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+SPACELESS = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 ROWS = 512
+MIN_WORDS = 15
 
 
 def count_words(words: list[str]) -> int:
@@ -28,60 +38,39 @@ def count_words(words: list[str]) -> int:
     return len(words) if joined.isascii() else len(words) + len(SPACELESS.findall(joined))
 
 
-def units(text: str, min_words: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised) of each unit with at least `min_words` words. A line's span is without its line break."""
-    at = 0
+def sentences(text: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, int]]]:
+    """((start, end, normalised, words) of each sentence, the first and last sentence of each line that has several). Blank ones are left out."""
+    found: list[tuple[int, int, str, int]] = []
+    lines, at = [], 0
     for line in text.split("\n"):
-        end = at + len(line)
-        words = line.lower().split()
-        if count_words(words) >= min_words:
-            yield at, end, " ".join(words)
-            ends = [m.end() for m in SENTENCE_END.finditer(line)]
-            if ends and ends != [len(line)]:
-                for a, b in zip([0, *ends], [*ends, len(line)], strict=True):
-                    own = line[a:b].lower().split()
-                    if count_words(own) >= min_words:
-                        yield at + a, at + b, " ".join(own)
-        at = end + 1
-
-
-def joined_units(text: str, min_words: int, run_words: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised) of what lies across lines and sentences: each paragraph of several lines, and for each sentence under
-    `min_words` words (or line of one sentence) the shortest runs of neighbours that begin or end with it and have `run_words` words.
-
-    Each sentence in a shared stretch of sentences with twice `run_words` words is so in a unit that the stretch holds."""
-    pieces: list[tuple[int, int, str, int]] = []
-    first, n_lines, at = 0, 0, 0
-    for line in [*text.split("\n"), ""]:
-        words = line.split()
-        if words:
-            n_lines += 1
-            ends = [m.end() for m in SENTENCE_END.finditer(line)]
-            for a, b in zip([0, *ends], [*ends, len(line)], strict=True):
-                own = line[a:b].lower().split()
-                if own:
-                    pieces.append((at + a, at + b, " ".join(own), count_words(own)))
-        else:
-            held = pieces[first:]
-            if n_lines > 1 and sum(p[3] for p in held) >= min_words:
-                yield held[0][0], held[-1][1], " ".join(p[2] for p in held)
-            first, n_lines = len(pieces), 0
+        first, begin = len(found), 0
+        for end in [*(m.end() for m in SENTENCE_END.finditer(line)), len(line)]:
+            words = line[begin:end].lower().split()
+            if words:
+                found.append((at + begin, at + end, " ".join(words), count_words(words)))
+            begin = end
+        if len(found) - first > 1:
+            lines.append((first, len(found) - 1))
         at += len(line) + 1
-    runs = set()
-    for k, piece in enumerate(pieces):
-        if piece[3] < min_words:
-            for step in (1, -1):
-                n, to = piece[3], k
-                while n < run_words and 0 <= to + step < len(pieces):
-                    to += step
-                    n += pieces[to][3]
-                if n >= run_words:
-                    runs.add((min(k, to), max(k, to)))
-    for a, b in runs:
-        yield pieces[a][0], pieces[b][1], " ".join(p[2] for p in pieces[a : b + 1])
-
-
-def unit_digests(documents: DataFrame, min_words: int, run_words: int) -> DataFrame:
+    return found, lines
+
+
+def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
+    """(start, end, normalised) of each unit, each once. A span is without the line break at its end."""
+    found, lines = sentences(text)
+    upto = [0, *accumulate(x[3] for x in found)]
+    runs = {(a, b) for a, b in lines if upto[b + 1] - upto[a] >= min_words}
+    for k in range(len(found)):
+        b = bisect_left(upto, upto[k] + min_words) - 1  # the run that begins here
+        if b < len(found):
+            runs.add((k, b))
+        a = bisect_right(upto, upto[k + 1] - min_words) - 1  # the run that ends here
+        if a >= 0:
+            runs.add((a, k))
+    return [(found[a][0], found[b][1], found[a][2] if a == b else " ".join([x[2] for x in found[a : b + 1]])) for a, b in runs]
+
+
+def unit_digests(keyed: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, text_key, start, end, digest) of each unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +79,7 @@ def unit_digests(documents: DataFrame, min_words: int, run_words: int) -> DataFr
                 part = batch.slice(at, ROWS)
                 of, starts, ends, digests = [], [], [], []
                 for k, text in enumerate(part["text"].to_pylist()):
-                    for start, end, unit in chain(units(text or "", min_words), joined_units(text or "", min_words, run_words)):
+                    for start, end, unit in units(text or "", min_words):
                         of.append(k)
                         starts.append(start)
                         ends.append(end)
@@ -101,7 +90,7 @@ def unit_digests(documents: DataFrame, min_words: int, run_words: int) -> DataFr
                     ["doc_id", "text_key", "start", "end", "digest"],
                 )
 
-    return documents.mapInArrow(run, "doc_id long, text_key long, start int, end int, digest binary")
+    return keyed.mapInArrow(run, "doc_id long, text_key binary, start int, end int, digest binary")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -140,24 +129,25 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": [x[0] for x in found], "spans": [[{"start": a, "end": b} for a, b in x[1]] for x in found]})
 
 
-def dedup_units(documents: DataFrame, min_words: int = 6, run_words: int = 25) -> DataFrame:
-    """All columns of `documents`, `text` without its repeated units, and `removed_spans` appended: what was cut, as
+def dedup_units(documents: DataFrame, min_words: int = MIN_WORDS, spans_col: str = "removed_spans") -> DataFrame:
+    """All columns of `documents`, `text` without its repeated units, and `spans_col` appended: what was cut, as
     [start, end) in characters of the original text (a column of this name is replaced).
 
-    Units are equal if their lower-cased words are. A line or sentence under `min_words` words stays where no repeated paragraph
-    or run of `run_words` words holds it. Of equal units the
-    first by doc_id (null first), text and offset stays. Equal rows (same id and text) are one document: all of
-    them keep or lose the same. Null texts stay null and empty texts empty, with no spans; no row is dropped.
+    Units are equal if their lower-cased words are; see above for what a unit is. Of equal units the
+    first by doc_id (null first), text key and offset stays. Equal rows (same id and text) are one document: all of
+    them keep or lose the same. Null texts stay null and empty texts empty, with no spans; no row is dropped, and an empty table
+    stays empty. Texts of any length are read whole. Other columns pass unchanged, whatever their names.
     """
-    keyed = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
-    found = unit_digests(keyed, min_words, run_words)
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    found = unit_digests(keyed, min_words)
     place = F.struct("doc_id", "text_key", "start")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("digest", "first")
-    repeats = found.join(first, "digest").filter(place > F.col("first"))
-    spans = repeats.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key"), "__spans")
-    cut = F.pandas_udf(_cut, "text string, spans array<struct<start:int,end:int>>")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_key"))
-    marked = documents.drop("removed_spans").join(spans, same, "left").withColumn("__cut", cut(F.col("text").cast("string"), "__spans"))
-    columns = [F.col("__cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c != "removed_spans"]
-    return marked.select(*columns, F.col("__cut.spans").alias("removed_spans"))
+    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    first = cut(first.filter("first <> last").select("digest", "first", "n"))
+    repeats = spread_join(found, first.drop("n"), ["digest"], hot_keys(first, ["digest"])).filter(place > F.col("first"))
+    spans = repeats.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    own_id, own_key, own_spans, own_cut = (free_name(x, documents) for x in ("id", "key", "spans", "cut"))
+    spans = spans.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("spans").alias(own_spans))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (text_key(F.col("text")) == F.col(own_key))
+    marked = documents.join(spans, same, "left").withColumn(own_cut, F.pandas_udf(_cut, "text string, spans array<struct<start:int,end:int>>")(F.col("text").cast("string"), own_spans))
+    columns = [F.col(f"{own_cut}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c != spans_col]
+    return marked.select(*columns, F.col(f"{own_cut}.spans").alias(spans_col))

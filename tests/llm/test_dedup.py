@@ -107,23 +107,78 @@ def test_ngram_query(spark, sf_dir):
     assert_same(queries.op3_ngram_join(spark, sf_dir), queries.ORACLES["op3_ngram_join"], sf_dir)
 
 
-def lines_model(rows, least=6):
+def sentences_model(text):
+    """[start, end, words] of each sentence, by a scan of single characters."""
+    out, start, at = [], 0, 0
+    while at <= len(text):
+        last = at == len(text) or text[at] == "\n"
+        stop = at
+        if not last and text[at] in ".!?。！？":
+            while stop < len(text) and text[stop] in (".!?" if text[at] in ".!?" else "。！？"):
+                stop += 1
+            blank = stop
+            while blank < len(text) and text[blank].isspace() and text[blank] != "\n":
+                blank += 1
+            if blank > stop or text[at] in "。！？":
+                out.append((start, blank, text[start:blank].lower().split()))
+                start = at = blank
+                continue
+            at = stop
+            continue
+        if last:
+            out.append((start, at, text[start:at].lower().split()))
+            start = at + 1
+        at += 1
+    return [x for x in out if x[2]]
+
+
+def size_model(words):
+    return sum(1 + sum("\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" for c in w) for w in words)
+
+
+def lines_model(rows, least=line_dedup.MIN_WORDS):
+    """Texts and spans by comparing word lists: no hashes, and runs found by trying all."""
     seen, out = set(), []
-    for doc_id, text in rows:
-        spans = []
-        for a, b, unit in sorted(line_dedup.units(text or "", least), key=lambda x: x[0]):
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())):
+        own, gone = [], [False] * len(text or "")
+        pieces = sentences_model(text or "")
+        sizes = [size_model(p[2]) for p in pieces]
+        for i in range(len(pieces)):
+            line_end = max(j for j in range(i, len(pieces)) if "\n" not in text[pieces[i][0] : pieces[j][1]])
+            begins_line = i == 0 or "\n" in text[pieces[i - 1][0] : pieces[i][0]]
+            for j in range(i, len(pieces)):
+                total = sum(sizes[i : j + 1])
+                shortest = total >= least and (total - sizes[j] < least or total - sizes[i] < least)
+                if shortest or (total >= least and begins_line and j == line_end):
+                    own.append((pieces[i][0], pieces[j][1], tuple(w for p in pieces[i : j + 1] for w in p[2])))
+                elif total - sizes[i] - sizes[j] > least and j > line_end:
+                    break
+        for a, b, unit in sorted(own, key=lambda x: x[:2]):
             if unit in seen:
-                spans.append((a, b))
+                gone[a:b] = [True] * (b - a)
             seen.add(unit)
-        out.append((doc_id, *line_dedup.cut_spans(text, spans)) if text is not None else (doc_id, None, []))
+        was = list(gone)
+        for k in range(len(gone) + 1):  # the line break of lines that go whole: that after them, at the end of the text that before
+            if k and was[k - 1] and (k == len(gone) or not was[k]):
+                begin = k
+                while begin and was[begin - 1]:
+                    begin -= 1
+                whole = begin == 0 or text[begin - 1] == "\n"
+                if whole and k < len(gone) and text[k] == "\n":
+                    gone[k] = True
+                elif whole and k == len(gone) and begin:
+                    gone[begin - 1] = True
+        spans = [k for k in range(len(gone) + 1) if (k < len(gone) and gone[k]) != (k > 0 and gone[k - 1])]
+        out.append((doc_id, None if text is None else "".join(c for c, g in zip(text, gone) if not g), list(zip(spans[::2], spans[1::2]))))
     return out
 
 
 def test_units():
     text = "One two three four.  Five six!\n\n a B c\nlast"
-    assert list(line_dedup.units(text, 3)) == [(0, 30, "one two three four. five six!"), (0, 21, "one two three four."), (32, 38, "a b c")]
+    assert sorted(line_dedup.units(text, 3)) == [(0, 21, "one two three four."), (0, 30, "one two three four. five six!"), (21, 38, "five six! a b c"), (32, 38, "a b c"), (32, 43, "a b c last")]
     for a, b, unit in line_dedup.units(text, 1):
         assert " ".join(text[a:b].lower().split()) == unit
+    assert line_dedup.units("too short", 3) == line_dedup.units("", 1) == []
 
 
 def test_cut_spans():
@@ -143,6 +198,8 @@ def test_dedup_units(spark):
     assert found.columns == ["doc_id", "text", "removed_spans"]
     got = sorted(((r.doc_id, r.text, [(s.start, s.end) for s in r.removed_spans]) for r in found.collect()), key=lambda x: x[0])
     assert got == lines_model(rows)
+    dotted = line_dedup.dedup_units(frame.withColumnRenamed("removed_spans", "a.b").withColumn("__spans", F.lit(7)), spans_col="a.c")
+    assert dotted.columns == ["doc_id", "text", "a.b", "__spans", "a.c"] and dotted.filter("`a.b` = 'c' AND __spans = 7").count() == len(rows)
     # a passage of many lines that repeats stays in its first document alone
     passage = "\n".join(f"line {k} of a passage with several words in it" for k in range(8))
     own = spark.createDataFrame([(k, f"head {k}\n{passage}\ntail {k}") for k in (3, 1, 2)], "doc_id long, text string")
@@ -169,10 +226,8 @@ def test_dedup_of_short_lines_and_sentences(spark):
 
 
 def test_dedup_of_paragraphs(spark):
-    paragraph = "to the sea\nof the night\ngo we all"  # nine words in three lines
+    paragraph = "to the sea we sail\nof the night we sing\nand so go we all"  # fifteen words in three lines
     assert without_repeats(spark, f"a b\n\n{paragraph}\n\nc", f"d\n\n{paragraph}\n \ne") == [f"a b\n\n{paragraph}\n\nc", "d\n\n \ne"]
-    wrapped = paragraph.replace("\n", " ")
-    assert without_repeats(spark, wrapped, f"x\n\n{paragraph}") == [wrapped, "x\n"]
 
 
 def test_dedup_without_spaces(spark):
@@ -180,6 +235,13 @@ def test_dedup_without_spaces(spark):
     assert without_repeats(spark, line + other, f"{other}\n短い\n短い") == [line + other, "短い\n短い"]
 
 
+def test_line_dedup_query(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = {d: (len(t or ""), sum(b - a for a, b in s), len(s), t2 or "") for (d, t2, s), t in ((m, dict(rows)[m[0]]) for m in lines_model(rows))}
+    got = {r.doc_id: (r.n_chars, r.n_removed, r.n_spans, r.text or "") for r in queries.op4_line_dedup(spark, sf_dir).collect()}
+    assert got == want
+
+
 def repeats_model(rows, size=200):
     raw = [(t or "").encode() for _, t in rows]
     starts = Counter(t[k : k + size] for t in raw for k in range(len(t) - size + 1))
@@ -227,6 +289,19 @@ def test_repeats_edges(spark, rows):
     assert digests(frame) == sorted(repeats_model(rows), key=repr)
 
 
+def test_repeats_tell_equal_ids_apart(spark):
+    """Rows without an id, or with one id: each text by itself."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc ") for _ in range(220)) for _ in range(300)]
+    rows = [(rng.choice([None, 5]), t) for t in texts] + [(None, texts[0]), (5, texts[0]), (5, texts[1])] * 2
+    assert digests(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(repeats_model(rows), key=repr)
+
+
+def test_repeats_query(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert sorted((tuple(r) for r in queries.op6_suffix_dedup(spark, sf_dir).collect()), key=repr) == sorted(repeats_model(rows), key=repr)
+
+
 def test_parts_of_long_texts():
     rng = random.Random(1)
     text = rng.randbytes(2_500)
