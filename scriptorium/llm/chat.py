@@ -100,13 +100,17 @@ def render_turn(role: str, text: str) -> tuple[str, int, int]:
 def _render(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in frames:
         turns = [render_turn(r, t) for r, t in zip(rows["role"], rows["text"], strict=True)]
-        rows["rendered"], rows["text_start"], rows["text_end"] = (list(x) for x in zip(*turns, strict=True)) if turns else ([], [], [])
+        rows["rendered"] = [t[0] for t in turns]
+        loss = rows["role"].to_numpy() == "assistant"
+        rows["mask_start"] = [t[1] if own else 0 for t, own in zip(turns, loss, strict=True)]
+        rows["mask_end"] = [t[2] if own else 0 for t, own in zip(turns, loss, strict=True)]
         yield rows
 
 
 def render_chats(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, rendered, text_start, text_end) of each row; a conversation's output is its
-    rows' `rendered`, joined in the order of turn, role and text.
+    """(conv_id, turn, role, text, rendered, mask_start, mask_end) of each row; a conversation's output is its
+    rows' `rendered`, joined in the order of turn, role and text. The loss mask [mask_start, mask_end) is an assistant's text as
+    rendered, and empty elsewhere.
 
     Null text and null role count as empty; any role string round-trips. A null turn comes first. Repeated rows
     are turns of their own. Other columns are left out.
@@ -114,26 +118,42 @@ def render_chats(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    return rows.mapInPandas(_render, "conv_id long, turn long, role string, text string, rendered string, text_start int, text_end int")
+    return rows.mapInPandas(_render, "conv_id long, turn long, role string, text string, rendered string, mask_start int, mask_end int")
 
 
 class _Reader:
-    """What is read back from one conversation's output, given piece by piece."""
+    """What is read back from one conversation's output, given piece by piece: turns by the parser alone, loss text by the mask alone.
+
+    The output is parsed as it stands joined: a turn is taken off once the next one follows it, so that its end is
+    found by the grammar, not by where a row ends."""
 
     def __init__(self):
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.formatted_chars = 0
+        self.output = ""
 
-    def read(self, rendered: str) -> None:
+    def read(self, rendered: str, mask: tuple[int, int]) -> None:
         self.formatted_chars += len(rendered)
-        for role, text, _ in parse_turns(rendered):
-            self.n_turns += 1
-            self.turns.update(f"{role}\n{text}\n".encode())
-            if role == "assistant":
-                self.loss_chars += len(text)
-                self.loss.update(text.encode())
+        marked = unescape(rendered[mask[0] : mask[1]])
+        self.loss_chars += len(marked)
+        self.loss.update(marked.encode())
+        before = len(self.output)
+        self.output += rendered
+        at = 0
+        while at < before:
+            at = self._turn(at)
+        self.output = self.output[at:]
+
+    def _turn(self, at: int) -> int:
+        role, text, _, end = parse_turn(self.output, at)
+        self.n_turns += 1
+        self.turns.update(f"{role}\n{text}\n".encode())
+        return end
 
     def row(self, conv_id) -> tuple:
+        at = 0
+        while at < len(self.output):
+            at = self._turn(at)
         return conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars
 
 
@@ -146,12 +166,12 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in frames:
         done = []
         ids = [None if pd.isna(x) else int(x) for x in rows["conv_id"]]
-        for conv_id, rendered in zip(ids, rows["rendered"], strict=True):
+        for conv_id, rendered, *mask in zip(ids, rows["rendered"], rows["mask_start"], rows["mask_end"], strict=True):
             if reader is None or conv_id != own:
                 if reader is not None:
                     done.append(reader.row(own))
                 own, reader = conv_id, _Reader()
-            reader.read(rendered)
+            reader.read(rendered, mask)
         yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
     if reader is not None:
         yield pd.DataFrame([reader.row(own)], columns=names).astype({"conv_id": "Int64"})
@@ -164,4 +184,4 @@ def read_chats(rendered: DataFrame) -> DataFrame:
     time in memory, so a conversation may be of any length. Rows with null conv_id are one conversation.
     """
     ordered = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "rendered").mapInPandas(_read, READ)
+    return ordered.select("conv_id", "rendered", "mask_start", "mask_end").mapInPandas(_read, READ)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import as_int64, cut, mix
+from scriptorium.llm.common import as_int64, cut, free_name, mix, text_key
 from scriptorium.llm.graph import connected_components
 
 #: Words whose hashes a task keeps.
@@ -117,14 +117,10 @@ def signatures(documents: DataFrame, n: int, bands: int, rows: int) -> DataFrame
                     ["doc_id", "text_key", "node", "bands"],
                 )
 
-    keyed = documents.select(F.col("doc_id").cast("long"), _text_key().alias("text_key"), "text")
+    keyed = documents.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), "text")
     return keyed.mapInArrow(run, "doc_id long, text_key binary, node binary, bands array<long>")
 
 
-def _text_key():
-    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-
-
 def gram_sets(texts: DataFrame, n: int) -> DataFrame:
     """(key columns..., grams binary) of (key columns..., text)."""
     keys = [c for c in texts.columns if c != "text"]
@@ -249,7 +245,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, re
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
     placed = candidates.join(sizes, "component").join(nodes.select("node", "n_docs", "text_key"), "node")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    keyed = documents.select(_text_key().alias("text_key"), "text")
+    keyed = documents.select(text_key(F.col("text")).alias("text_key"), "text")
     wanted = placed.select("text_key").distinct()
     texts = keyed.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
     sets = placed.join(gram_sets(texts, n), "text_key")
@@ -289,12 +285,13 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     that id the least text key. All columns stay as they are; of equal rows one stays."""
     found = cut(near_duplicates(documents, **options))
     own = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
-    keys = own.select(F.col("k.doc_id").alias("__doc_id"), F.col("k.text_key").alias("__text_key"))
+    own_id, own_key, key = (free_name(x, documents) for x in ("id", "text_key", "key"))
+    keys = own.select(F.col("k.doc_id").alias(own_id), F.col("k.text_key").alias(own_key))
     repeated = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = cut(repeated.select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__key") == F.col("__text_key"))
-    kept = documents.withColumn("__key", _text_key()).join(keys, same, "left_semi")
+    repeated = cut(repeated.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key))
+    kept = documents.withColumn(key, text_key(F.col("text"))).join(keys, same, "left_semi")
     if not repeated.isEmpty():
-        several = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+        several = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", key])
         kept = kept.join(repeated, same, "left_anti").unionByName(several)
-    return kept.drop("__key")
+    return kept.drop(key)

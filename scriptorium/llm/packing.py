@@ -109,22 +109,25 @@ def plan_packing(histogram: dict[int, int], size: int) -> list[tuple[tuple[int,
 
 @lru_cache(maxsize=1)
 def _tokenizers(json_path: str, ranks_path: str | None, pattern: str | None):
+    """(the tokenizer, what finds texts that only it may take, the same ids by ranks)."""
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
-    slow.encode_special_tokens = True
+    named = Tokenizer.from_file(json_path)
     if ranks_path is None:
-        return slow, None
+        return named, None, None
     import tiktoken
 
     ranks = load_vocabulary(ranks_path).ranks
-    return slow, tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    added = [t.content for t in named.get_added_tokens_decoder().values()]
+    alone = re.compile("|".join([LONG_SPACE.pattern, *map(re.escape, added)]))
+    return named, alone, tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def tokenise(text: str, json_path: str, ranks_path: str | None, pattern: str | None) -> list[int]:
-    slow, fast = _tokenizers(json_path, ranks_path, pattern)
-    if fast is None or LONG_SPACE.search(text):
-        return slow.encode(text, add_special_tokens=False).ids
+    """The ids of the tokenizer at `json_path`, called plainly with add_special_tokens=False."""
+    named, alone, fast = _tokenizers(json_path, ranks_path, pattern)
+    if fast is None or alone.search(text):
+        return named.encode(text, add_special_tokens=False).ids
     return fast.encode_ordinary(text)
 
 
@@ -134,8 +137,10 @@ def token_pieces(
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each row's pieces: its ids, then `end_id`.
 
     `json_path` is the tokenizer; where its vocabulary also exists as ranks with a splitting pattern, the same ids
-    come faster from `ranks_path` and `pattern`. Null text counts as empty: one piece of one id. Special
-    tokens' strings in a text are ordinary text. Repeated rows give repeated pieces.
+    come faster from `ranks_path` and `pattern` (by tiktoken; texts that hold the string of an added token, or white space too long for
+    its pattern matcher, go to the tokenizer itself). Null text counts as empty: one piece of one id. The string of an
+    added token becomes its id, as the plain call has it. Repeated rows give repeated pieces, an empty table none;
+    texts of any length are taken whole, and other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

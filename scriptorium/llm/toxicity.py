@@ -244,11 +244,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_positive: int = 40
     return ToxicityModel(dict(zip(features.tolist(), weights.tolist())), bias)
 
 
-def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """All columns of `documents`, with `score` (double, 0 to 1) and `predicted` (score >= threshold) appended,
-    replacing columns of these names. Each row's whole text is read; null and empty texts have the bias's score.
-    Equal texts have equal scores, and repeated rows are kept."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # WIDTH weights at most
+def scorer(spark, model: ToxicityModel):
+    """A column function: the score of a text, 0 to 1."""
+    shared = spark.sparkContext.broadcast(model)  # WIDTH weights at most
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -257,5 +255,12 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float
         for texts in parts:
             yield pd.Series([own.score(words_of(t or ""), chosen) for t in texts], dtype=float)
 
-    scored = documents.withColumn("score", score(F.col("text").cast("string")))
+    return lambda text: score(text.cast("string"))
+
+
+def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """All columns of `documents`, with `score` (double, 0 to 1) and `predicted` (score >= threshold) appended,
+    replacing columns of these names. Each row's whole text is read; null and empty texts have the bias's score.
+    Equal texts have equal scores, and repeated rows are kept. An empty table gives no rows."""
+    scored = documents.withColumn("score", scorer(documents.sparkSession, model)(F.col("text")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -124,3 +124,28 @@ def test_chat_query(spark, sf_dir):
     from helpers import assert_same
 
     assert_same(queries.op2_chat_round_trip(spark, sf_dir), queries.ORACLES["op2_chat_round_trip"], sf_dir)
+
+
+def test_ogg_query(spark, sf_dir):
+    rows = {r.doc_id: r for r in queries.op1_ogg_media(spark, sf_dir).collect()}
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(rows) == len(documents)
+    for r in documents:
+        raw = (r.text or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        own = rows[r.doc_id]
+        assert (own.n_bytes, own.payload_bytes, own.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert own.tail_crc32 == zlib.crc32(payload[-16:])
+
+
+def test_loss_is_read_under_the_mask():
+    """The mask alone says what is loss: a narrower one gives less, whatever the turns say."""
+    rendered, start, end = chat.render_turn("assistant", "five words </s> of text")
+    user, *_ = chat.render_turn("user", "asks")
+    whole, part = chat._Reader(), chat._Reader()
+    for reader, mask in ((whole, (start, end)), (part, (start, start + 4))):
+        reader.read(user, (0, 0))
+        reader.read(rendered, mask)
+        reader.row(1)
+    assert whole.loss_chars == len("five words </s> of text") and part.loss_chars == 4 and part.n_turns == whole.n_turns == 2
+    assert whole.loss.hexdigest() == hashlib.sha256(b"five words </s> of text").hexdigest()

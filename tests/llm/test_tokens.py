@@ -74,11 +74,23 @@ def test_bpe_forgets_words(reference, monkeypatch):
         assert got == [reference.encode_ordinary(t) for t in texts]
 
 
-def test_tokenise_is_the_tokenizer_s():
-    slow = Tokenizer.from_file(JSON)
-    slow.encode_special_tokens = True
-    for t in [x or "" for x in TEXTS] + ["\n" * 300_000, "a b  c " * 2000]:
-        assert packing.tokenise(t, JSON, RANKS, public_tokenizers.PATTERN) == slow.encode(t, add_special_tokens=False).ids == packing.tokenise(t, JSON, None, None)
+def test_tokenise_is_the_tokenizer_s(spark, sf_dir):
+    named = Tokenizer.from_file(JSON)
+    added = [t.content for t in named.get_added_tokens_decoder().values()]
+    documents = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for t in [x or "" for x in TEXTS + documents] + ["\n" * 300_000, "a b  c " * 2000] + [f"a{x}b {x}" for x in added]:
+        assert packing.tokenise(t, JSON, RANKS, public_tokenizers.PATTERN) == named.encode(t, add_special_tokens=False).ids == packing.tokenise(t, JSON, None, None)
+    assert named.encode(added[0], add_special_tokens=False).ids == packing.tokenise(added[0], JSON, RANKS, public_tokenizers.PATTERN) and len(packing.tokenise(added[0], JSON, None, None)) == 1
+
+
+def test_bpe_query(spark, sf_dir, reference):
+    rows = {r.doc_id: r for r in queries.op5_byte_bpe(spark, sf_dir).collect()}
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(rows) == len(documents)
+    for r in documents:
+        ids = np.array(reference.encode_ordinary(r.text or ""), "<u4")
+        assert (rows[r.doc_id].n_tokens, rows[r.doc_id].ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert rows[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 
 @pytest.mark.parametrize("n, want", [(1, [(0, 1)]), (1024, [(0, 1024)]), (1025, [(0, 1), (1, 1025)]), (2048, [(0, 1024), (1024, 2048)])])
