@@ -25,29 +25,37 @@ from scriptorium.llm.common import cut
 RATIO = 1.15
 #: From this local cosine threshold on, coordinates prune better than lengths.
 BY_COORDINATE = 0.6
-PACKED = "dim int, block string, n int, longest double, ids binary, vectors binary"
+PACKED = "dim int, bucket long, block int, n int, longest double, rows binary, ids binary, vectors binary"
+#: Scores are of 64 bits; beyond, they are the nearest such number, and the exact ones decide the order.
+LEAST_SCORE, MOST_SCORE = -(2**63), 2**63 - 1
 
 
 def quantise(vectors: DataFrame, scale: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<long>, dim, norm): floor(scale * x) of each component. Rows without an id, with an empty or null vector, or
-    with a null or non-finite component are left out."""
-    x = F.col(vector_col)
+    """(vec_id, v array<double>, dim, norm): floor(scale * x) of each component, whole numbers as doubles, exact at any size. Rows without
+    an id, with an empty or null vector, or with a null or non-finite component are left out. A vector whose length
+    isn't finite in double (components over some 1e150) is an error that names its id."""
+    x = F.col(f"`{vector_col}`")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
-    found = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter("vec_id IS NOT NULL AND size(x) > 0")
-    found = found.withColumnRenamed("x", vector_col).filter(sound).select("vec_id", whole.alias("v"))
-    squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    return found.select("vec_id", "v", F.size("v").alias("dim"), F.sqrt(squares).alias("norm"))
+    scaled = lambda c: c.cast("double") * scale
+    whole = F.transform("x", lambda c: F.when(F.abs(scaled(c)) < 2.0**53, F.floor(scaled(c)).cast("double")).otherwise(scaled(c)))
+    found = vectors.filter(sound & (F.size(x) > 0)).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x"))
+    found = found.filter("vec_id IS NOT NULL").select("vec_id", whole.alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
+    named = F.raise_error(F.concat(F.lit("vec_id "), F.col("vec_id"), F.lit(": a vector too long for inner products"))).cast("double")
+    return found.select("vec_id", "v", F.size("v").alias("dim"), F.when(length < float("inf"), length).otherwise(named).alias("norm"))
 
 
 def products(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Integer inner products (rows by queries); in floating point where that is exact."""
+    """Exact inner products (rows by queries) of whole numbers: in floating point, in 64 bits, or else in Python's whole numbers."""
     if not len(rows) or not len(queries):
         return np.zeros((len(rows), len(queries)), np.int64)
     most = float(np.abs(rows).max()) * float(np.abs(queries).max()) * rows.shape[1]
     if most < 2.0**53:
-        return (rows.astype(float) @ queries.astype(float).T).astype(np.int64)
-    return rows @ queries.T
+        return (rows @ queries.T).astype(np.int64)
+    if most < 2.0**62:
+        return rows.astype(np.int64) @ queries.astype(np.int64).T
+    exact = lambda vectors: np.array([[int(c) for c in v] for v in vectors], object)
+    return exact(rows) @ exact(queries).T
 
 
 def prune(query: np.ndarray, length: float, limit: float, vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -74,6 +82,8 @@ def prune(query: np.ndarray, length: float, limit: float, vectors: np.ndarray, n
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, the smaller id first among equal ones."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda n: (-scores[n], ids[n]))[:k], np.int64)
     if len(scores) > 4 * k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         some = np.flatnonzero(scores >= least)
@@ -86,11 +96,13 @@ def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "dim": [int(key[0])],
-            "block": [key[1]],
+            "bucket": [int(key[1])],
+            "block": [int(key[2])],
             "n": [len(rows)],
             "longest": [float(rows["norm"].iloc[0])],
+            "rows": [rows["row"].to_numpy("<i8").tobytes()],
             "ids": [rows["vec_id"].to_numpy("<i8").tobytes()],
-            "vectors": [np.stack(rows["v"].to_numpy()).astype("<i8").tobytes()],
+            "vectors": [np.stack(rows["v"].to_numpy()).astype("<f8").tobytes()],
         }
     )
 
@@ -98,23 +110,24 @@ def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def top_products(vectors: DataFrame, k: int = 5, divisor: int = 50, scale: int = 256, block_rows: int = 1024, seeds: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k highest inner products with other rows (all, if there are fewer).
 
-    Queries are the rows whose vec_id is divisible by `divisor`; candidates are all rows with other ids. Ties go to the
-    smaller vec_id. Vectors of different dimensions aren't compared. Of rows that share a query's id, the
-    smallest vector asks, once; rows that share a candidate's id each count. See `quantise` for rows that take no part.
+    Queries are the rows whose vec_id is divisible by `divisor`; candidates are all rows but the query's own. Ties go to the
+    smaller vec_id. Vectors of different dimensions aren't compared. Rows that share an id are rows: each asks, and each counts. A
+    score beyond 64 bits is given as the nearest number that has them, in the exact scores' order. See `quantise` for rows that take
+    no part. An empty table gives no rows, and other columns are ignored.
     A task holds one block of queries and one of candidates at a time.
     """
-    rows = cut(quantise(vectors, scale))
-    bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / float(np.log(RATIO)))).otherwise(F.lit(-1))
+    rows = cut(quantise(vectors, scale).withColumn("row", F.monotonically_increasing_id()))
+    bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / float(np.log(RATIO)))).otherwise(F.lit(-1)).cast("long")
     rows = rows.withColumn("bucket", bucket)
     sizes = rows.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks"))
     dealt = rows.join(F.broadcast(sizes), ["dim", "bucket"]).select(  # a row per dimension and bucket of lengths
-        "dim", F.concat_ws(":", "bucket", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks"))).alias("block"), "vec_id", "v", "norm"
+        "dim", "bucket", F.pmod(F.xxhash64("row"), F.col("n_blocks")).cast("int").alias("block"), "row", "vec_id", "v", "norm"
     )
-    blocks = cut(dealt.groupBy("dim", "block").applyInPandas(_pack, PACKED))
+    blocks = cut(dealt.groupBy("dim", "bucket", "block").applyInPandas(_pack, PACKED))
 
-    longest = rows.orderBy(F.desc("norm"), "vec_id").limit(seeds).select("vec_id", "v", "dim").collect()
+    longest = rows.orderBy(F.desc("norm"), "row").limit(seeds).select("row", "v", "dim").collect()
     first = {d: [r for r in longest if r.dim == d] for d in {r.dim for r in longest}}
-    first = {d: (np.array([r.vec_id for r in own]), np.array([r.v for r in own], np.int64)) for d, own in first.items()}
+    first = {d: (np.array([r.row for r in own]), np.array([r.v for r in own])) for d, own in first.items()}
 
     def limits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in frames:
@@ -122,40 +135,47 @@ def top_products(vectors: DataFrame, k: int = 5, divisor: int = 50, scale: int =
             for dim, at in own.groupby("dim").indices.items():
                 if dim not in first:
                     continue
-                ids, seen = first[dim]
+                held, seen = first[dim]
                 scores = products(seen, np.stack(own["v"].to_numpy()[at])).astype(float)
-                scores[ids[:, None] == own["vec_id"].to_numpy()[at][None, :]] = -np.inf
-                if len(ids) >= k:
-                    found[at] = np.partition(scores, len(ids) - k, 0)[len(ids) - k]
-            yield own.assign(limit=found)
-
-    asked = rows.filter(F.col("vec_id") % divisor == 0).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "norm")).alias("q"))
-    asked = cut(asked.select("vec_id", "q.*").mapInPandas(limits, "vec_id long, v array<long>, dim int, norm double, limit double"))
+                scores[held[:, None] == own["row"].to_numpy()[at][None, :]] = -np.inf
+                if len(held) >= k:
+                    found[at] = np.partition(scores, len(held) - k, 0)[len(held) - k]
+            large = np.isfinite(found) & (np.abs(found) >= 2.0**53)  # rounded, so a little lower
+            yield own.assign(limit=np.where(large, found - np.abs(found) * 2.0**-50, found))
+
+    asked = rows.filter(F.col("vec_id") % divisor == 0).select("row", "vec_id", "v", "dim", "norm")
+    asked = cut(asked.mapInPandas(limits, "row long, vec_id long, v array<double>, dim int, norm double, limit double"))
     # queries that need vectors of like length go together, so that whole blocks drop out for all of them
     need = F.when((F.col("limit") <= 0) | (F.col("norm") == 0), F.lit(0.0)).otherwise(F.col("limit") / F.col("norm"))
     band = F.when(need > 0, F.floor(F.log(need) / float(np.log(RATIO)))).otherwise(F.lit(-1))
     asked = asked.withColumn("need", need).withColumn("band", band)
     bands = asked.groupBy("dim", "band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks"))
     asked = asked.join(F.broadcast(bands), ["dim", "band"]).withColumn(
-        "q_block", F.concat_ws(":", "band", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")))
+        "q_block", F.concat_ws(":", "band", F.pmod(F.xxhash64("row"), F.col("n_blocks")))
     )
     packed = asked.groupBy("dim", "q_block").applyInPandas(_pack_queries, QUERIES)
     packed = cut(packed)
-    pairs = packed.select("dim", "q_block", "need").join(blocks.select("dim", "block", "longest"), "dim")
-    pairs = pairs.filter(F.col("longest") * (1 + 1e-9) >= F.col("need")).select("dim", "q_block", "block")
-    work = pairs.join(packed, ["dim", "q_block"]).join(blocks, ["dim", "block"])
+    # the buckets of a dimension, some hundreds at most; a block of queries meets only those whose vectors can reach its limit
+    reached = F.when(F.col("need") > 0, F.floor(F.log("need") / float(np.log(RATIO))) - 1).otherwise(F.lit(-1)).cast("long")
+    held = sizes.groupBy("dim").agg(F.collect_set("bucket").alias("buckets"))
+    wanted = packed.select("dim", "q_block", "need", reached.alias("low")).join(held, "dim")
+    wanted = wanted.select("dim", "q_block", "need", F.explode(F.filter("buckets", lambda b: b >= F.col("low"))).alias("bucket"))
+    pairs = wanted.join(blocks.select("dim", "bucket", "block", "longest"), ["dim", "bucket"])
+    pairs = pairs.filter(F.col("longest") * (1 + 1e-9) >= F.col("need")).select("dim", "q_block", "bucket", "block")
+    work = pairs.join(packed.drop("need"), ["dim", "q_block"]).join(blocks.drop("n", "longest"), ["dim", "bucket", "block"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 yield _verify(row, k)
 
-    found = work.select("dim", "q_ids", "q_vectors", "limits", "ids", "vectors").mapInArrow(verify, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = work.select("dim", "q_rows", "q_ids", "q_vectors", "limits", "rows", "ids", "vectors")
+    found = found.mapInArrow(verify, "query_row long, query_id long, vec_id long, score long, about double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc("about"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-QUERIES = "dim int, q_block string, need double, q_ids binary, q_vectors binary, limits binary"
+QUERIES = "dim int, q_block string, need double, q_rows binary, q_ids binary, q_vectors binary, limits binary"
 
 
 def _pack_queries(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -164,8 +184,9 @@ def _pack_queries(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             "dim": [int(key[0])],
             "q_block": [key[1]],
             "need": [float(rows["need"].min())],
+            "q_rows": [rows["row"].to_numpy("<i8").tobytes()],
             "q_ids": [rows["vec_id"].to_numpy("<i8").tobytes()],
-            "q_vectors": [np.stack(rows["v"].to_numpy()).astype("<i8").tobytes()],
+            "q_vectors": [np.stack(rows["v"].to_numpy()).astype("<f8").tobytes()],
             "limits": [rows["limit"].to_numpy("<f8").tobytes()],
         }
     )
@@ -174,23 +195,24 @@ def _pack_queries(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def _verify(row: dict, k: int) -> pa.RecordBatch:
     """The k best of one block of vectors for each query of one block of queries, as far as they reach the query's limit."""
     dim = row["dim"]
-    q_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-    queries = np.frombuffer(row["q_vectors"], "<i8").reshape(-1, dim)
-    vectors = np.frombuffer(row["vectors"], "<i8").reshape(-1, dim)
+    q_rows, q_ids, rows, ids = (np.frombuffer(row[c], "<i8") for c in ("q_rows", "q_ids", "rows", "ids"))
+    queries = np.frombuffer(row["q_vectors"], "<f8").reshape(-1, dim)
+    vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, dim)
     limits = np.frombuffer(row["limits"], "<f8")
-    lengths = np.sqrt((queries.astype(float) ** 2).sum(1))
-    norms = np.sqrt((vectors.astype(float) ** 2).sum(1))
+    lengths, norms = (np.sqrt((x**2).sum(1)) for x in (queries, vectors))
     kept = [prune(q, n, t, vectors, norms) for q, n, t in zip(queries, lengths, limits, strict=True)]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple] = []
     many = [i for i, at in enumerate(kept) if 4 * len(at) >= len(ids)]
     together = dict(zip(many, products(vectors, queries[many]).T, strict=True)) if many else {}
     for i, at in enumerate(kept):
         if not len(at):
             continue
         scores = together[i][at] if i in together else products(vectors[at], queries[i : i + 1])[:, 0]
-        able = (scores >= limits[i]) & (ids[at] != q_ids[i])
+        able = (scores >= limits[i]).astype(bool) & (rows[at] != q_rows[i])
         scores, own = scores[able], ids[at][able]
-        top = best(scores, own, k)
-        out.append((np.full(len(top), q_ids[i]), own[top], scores[top]))
-    columns = [np.concatenate([x[c] for x in out]) if out else np.zeros(0, np.int64) for c in range(3)]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+        for n in best(scores, own, k).tolist():
+            exact = int(scores[n])
+            out.append((int(q_rows[i]), int(q_ids[i]), int(own[n]), max(LEAST_SCORE, min(MOST_SCORE, exact)), float(exact)))
+    names = ["query_row", "query_id", "vec_id", "score", "about"]
+    columns = list(zip(*out)) if out else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "about" else pa.int64()) for n, c in zip(names, columns)], names)

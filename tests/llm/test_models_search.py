@@ -138,28 +138,42 @@ def test_url_query(spark, sf_dir):
 
 
 def topk_model(rows, k=5, divisor=50, scale=256):
-    own = [(i, [int(np.floor(float(np.float32(x)) * scale)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for q in sorted({i for i, _ in own if i % divisor == 0}):
-        v = min(v for i, v in own if i == q)
-        found = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in own if i != q and len(w) == len(v)))[:k]
-        out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(found)}
-    return out
+    """Sorted (query_id, rank, vec_id, score) in Python's whole numbers; every row with a query's id asks."""
+    own = [(i, [int(np.floor(np.float64(x) * scale)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for place, (q, v) in enumerate(own):
+        if q % divisor == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for at, (i, w) in enumerate(own) if at != place and len(w) == len(v))[:k]
+            out += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(found)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_top_products(spark, seed):
     rng = np.random.default_rng(seed)
     rows = [(int(k), (rng.normal(size=8) * rng.choice([0.01, 1, 1, 5])).tolist()) for k in range(600)]
+    rows = [(i, np.float32(v).tolist()) for i, v in rows]
     rows += [(k, rows[7][1]) for k in range(600, 800)]  # one very common vector
+    rows += [(50, rows[3][1]), (50, rows[50][1]), (51, rows[50][1])]  # repeated ids
     rows += [(1000, None), (1050, []), (1100, [1.0, None] * 4), (1150, [float("nan")] * 8), (1200, [float("inf")] * 8), (None, [1.0] * 8), (1250, [0.0] * 8), (1300, [1.0, 2.0]), (1301, [2.0, 2.0])]
     frame = spark.createDataFrame([(k, v, "c", 1.0) for k, v in rows], "vec_id long, embedding array<float>, block string, norm double")
     found = topk.top_products(frame, block_rows=64, seeds=20 if seed else 2048)
-    assert {tuple(r) for r in found.collect()} == topk_model(rows)
+    assert sorted(tuple(r) for r in found.collect()) == topk_model(rows)
     assert found.schema.simpleString() == "struct<query_id:bigint,rank:int,vec_id:bigint,score:bigint>"
     assert topk.top_products(frame.limit(0)).count() == 0
 
 
+def test_top_products_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, np.float32(rng.normal(size=4) * s).tolist()) for k, s in enumerate(rng.choice([1, 1e6, 1e9, 1e20, 3e37], 200))]
+    rows += [(300, [3e38] * 4), (301, [-3e38] * 4), (350, [float(np.float32(3e38))] * 4)]
+    rows = [(i, np.float32(v).tolist()) for i, v in rows]
+    found = topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block_rows=16, seeds=10)
+    assert sorted(tuple(r) for r in found.collect()) == topk_model(rows)
+    with pytest.raises(Exception, match="vec_id 7"):
+        topk.top_products(spark.createDataFrame([(7, [1e300, 1.0]), (8, [1.0, 1.0])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_prune_keeps_what_can_reach_the_limit():
     rng = np.random.default_rng(5)
     for _ in range(300):
