@@ -19,6 +19,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from scriptorium.llm.common import cut, free_name, hot_keys, spread_join, text_k
 
 SENTENCE_END = re.compile(r"[.!?]+\s+|[。！？]+\s*")
 #: Thai, Lao, Myanmar, Khmer, kana and ideographs: scripts without spaces, each character of which counts as a word.
-SPACELESS = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 ROWS = 512
 MIN_WORDS = 15
 
@@ -70,8 +71,13 @@ def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
     return [(found[a][0], found[b][1], found[a][2] if a == b else " ".join([x[2] for x in found[a : b + 1]])) for a, b in runs]
 
 
-def unit_digests(keyed: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_key, start, end, digest) of each unit."""
+DIGEST = ["d1", "d2"]
+#: Bits of the filter of digests that may repeat: a fixed size, so past some number of digests it only lets all pass.
+FILTER_BITS = 26
+
+
+def unit_digests(keyed: DataFrame, min_words: int, bitmap=None) -> DataFrame:
+    """The digest (d1, d2) of each unit; with a broadcast `bitmap`, also doc_id, text_key, start and end, of the units whose digest's bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,13 +90,31 @@ def unit_digests(keyed: DataFrame, min_words: int) -> DataFrame:
                         starts.append(start)
                         ends.append(end)
                         digests.append(hashlib.blake2b(unit.encode(), digest_size=16).digest())
-                of = pa.array(of, pa.int32())
+                pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                if bitmap is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], DIGEST)
+                    continue
+                bit = pairs[:, 0] & ((1 << FILTER_BITS) - 1)
+                may = np.flatnonzero(bitmap.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1)
+                own = pa.array(np.array(of, np.int32)[may])
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].take(of), part["text_key"].take(of), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())],
-                    ["doc_id", "text_key", "start", "end", "digest"],
-                )
+                    [*(pa.array(pairs[may, c]) for c in (0, 1)), part["doc_id"].take(own), part["text_key"].take(own), pa.array(np.array(starts, np.int32)[may]), pa.array(np.array(ends, np.int32)[may])],
+                    [*DIGEST, "doc_id", "text_key", "start", "end"],
+                )
+
+    shape = "d1 long, d2 long" + ", doc_id long, text_key binary, start int, end int" * (bitmap is not None)
+    return keyed.mapInArrow(run, shape)
+
 
-    return keyed.mapInArrow(run, "doc_id long, text_key binary, start int, end int, digest binary")
+def repeated_bits(keyed: DataFrame, min_words: int):
+    """A broadcast bitmap of 2 ** FILTER_BITS bits, one set for each digest that occurs more than once; words of it are all that reaches the driver."""
+    repeated = unit_digests(keyed.select("text"), min_words).groupBy(*DIGEST).agg(F.count("*").alias("n")).filter("n > 1")
+    bit = F.col("d1").bitwiseAND((1 << FILTER_BITS) - 1)
+    word = repeated.select(F.shiftright(bit, 5).alias("word"), bit.bitwiseAND(31).cast("int").alias("bit"))
+    words = word.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (FILTER_BITS - 5), np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return keyed.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -139,11 +163,11 @@ def dedup_units(documents: DataFrame, min_words: int = MIN_WORDS, spans_col: str
     stays empty. Texts of any length are read whole. Other columns pass unchanged, whatever their names.
     """
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    found = unit_digests(keyed, min_words)
+    found = cut(unit_digests(keyed, min_words, repeated_bits(keyed, min_words)))
     place = F.struct("doc_id", "text_key", "start")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-    first = cut(first.filter("first <> last").select("digest", "first", "n"))
-    repeats = spread_join(found, first.drop("n"), ["digest"], hot_keys(first, ["digest"])).filter(place > F.col("first"))
+    first = found.groupBy(*DIGEST).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    first = cut(first.filter("first <> last").select(*DIGEST, "first", "n"))
+    repeats = spread_join(found, first.drop("n"), DIGEST, hot_keys(first, DIGEST)).filter(place > F.col("first"))
     spans = repeats.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     own_id, own_key, own_spans, own_cut = (free_name(x, documents) for x in ("id", "key", "spans", "cut"))
     spans = spans.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("spans").alias(own_spans))
