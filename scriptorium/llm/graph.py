@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import cut
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in `edges` (a, b): the component is its least node.
 
     Large-star and small-star steps in turn: each node links its neighbours to the least of them, until nothing
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     links = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, last = cut(links), None
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -29,8 +29,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError("components did not settle")
     # settled: each edge leads to its component's least node
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
