@@ -59,7 +59,11 @@ def sequence_edits(a: Column, b: Column) -> Column:
     def spelt(words: Column, known: Column) -> Column:
         return F.array_join(F.transform(words, lambda w: F.substring(F.lit(SYMBOLS), F.array_position(known, w).cast("int"), F.lit(1))), "")
 
-    return bound(F.array_distinct(F.concat(a, b)), lambda known: F.levenshtein(spelt(a, known), spelt(b, known)))
+    def edits(known: Column) -> Column:
+        over = F.raise_error(F.lit(f"more than {len(SYMBOLS)} distinct words: use wer_long")).cast("int")
+        return F.when(F.size(known) > len(SYMBOLS), over).otherwise(F.levenshtein(spelt(a, known), spelt(b, known)))
+
+    return bound(F.array_distinct(F.concat(a, b)), edits)
 
 
 def wer(predicted: Column, reference: Column) -> Column:
@@ -185,3 +189,13 @@ def band(value: Column, limits: list[tuple[float, str]], rest: str) -> Column:
 
 def correlation_verdict(r: Column) -> Column:
     return F.when(r > 0.3, "DIRECT").when(r < -0.3, "INVERSE").otherwise("WEAK")
+
+
+def padded_id(kind: str, number: Column, width: int) -> Column:
+    """Ids such as probe_000012."""
+    return F.format_string(f"{kind}_%0{width}d", number.cast("long"))
+
+
+def codepoints(text: Column) -> Column:
+    """The codepoint of each character; none for an empty text."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))  # of a character: its codepoint

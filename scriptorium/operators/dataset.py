@@ -31,15 +31,34 @@ def stratified_split(rows: DataFrame, strata: list[str], order: list[Column | st
     return rows.withColumn("split", F.when(F.row_number().over(place.orderBy(*order)) <= first, "train").otherwise("val"))
 
 
-def sample_groups(rows: DataFrame, group: str, n: int, seed: int = 0) -> DataFrame:
-    """All rows of n groups, drawn by a seeded hash. The sample is the feature."""
-    drawn = rows.select(group).distinct().orderBy(seeded(group, seed=seed), group).limit(n)
-    return rows.join(drawn, group, "left_semi")
-
-
-def sample_rows(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly min(n, all) rows, drawn by a seeded hash of `key`. The sample is the feature."""
-    return rows.orderBy(seeded(key, seed=seed), key).limit(n)
+def sample_groups(rows: DataFrame, group: str, n: int, seed: int = 0, order: list[Column] | None = None, fill: str | None = None) -> DataFrame:
+    """All rows of n groups, drawn by a seeded hash or the first in `order`. With `fill`, the first rows without a group, in its order, stand in for
+    the groups that are lacking. The sample is the feature."""
+    drawn = rows.select(group).filter(F.col(group).isNotNull()).distinct().orderBy(*(order or [seeded(group, seed=seed), group])).limit(n)
+    kept = rows.join(drawn, group, "left_semi")
+    if fill is None:
+        return kept
+    place = F.row_number().over(Window.orderBy(fill))
+    rest = rows.filter(F.col(group).isNull()).orderBy(fill).limit(n).withColumn("__k", place)  # n rows at most
+    lacking = drawn.agg((F.lit(n) - F.count("*")).alias("__lacking"))
+    return kept.unionByName(rest.join(F.broadcast(lacking), F.col("__k") <= F.col("__lacking")).drop("__k", "__lacking"))  # one row
+
+
+def remapped(rows: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """`rows` with `column` replaced where `names` holds it."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
+    return rows.withColumn(column, F.coalesce(F.try_element_at(known, F.col(column)), F.col(column))) if names else rows
+
+
+def epoch_means(batches: DataFrame, epoch: str, measures: list[str], size: str) -> DataFrame:
+    """Each epoch's means of the batches' measures, weighted by the batches' sizes, and the sum of these."""
+    means = [(F.sum(F.col(m) * F.col(size)) / F.sum(size)).alias(m) for m in measures]
+    return batches.groupBy(epoch).agg(*means, F.sum(size).alias(size))
+
+
+def sample_rows(rows: DataFrame, key: str, n: int, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """Exactly min(n, all) rows, drawn by a seeded hash of `key`, or by `draw`. The sample is the feature."""
+    return rows.orderBy(seeded(key, seed=seed) if draw is None else draw, key).limit(n)
 
 
 def breaker(

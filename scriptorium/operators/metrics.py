@@ -43,3 +43,8 @@ def macro_means(rated: DataFrame, *by: str, reference: str = "ground_truth") ->
 def ranked(rows: DataFrame, value: str, tie: str) -> DataFrame:
     """`rows` with `rank` by `value`, nulls last. For aggregates of bounded size: a rank over all rows is one task's."""
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col(value).asc_nulls_last(), tie)))
+
+
+def in_error_table(images: DataFrame, rates: DataFrame, key: str = "stem") -> DataFrame:
+    """The images that have rates; others are skipped."""
+    return images.join(rates.select(key), key, "left_semi")

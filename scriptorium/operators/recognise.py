@@ -23,6 +23,17 @@ def top_classes(logits: Column, k: int = 5) -> Column:
     return F.transform(F.slice(F.array_sort(paired), 1, k), lambda t: F.struct(F.bround(-t["neg"] * 100, 2).alias("conf"), t["idx"].alias("idx")))
 
 
+def named_classes(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """`found` (idx, ...) with `class_name` of the class map (idx as text, class_name); numbers without a name fall out."""
+    return found.withColumn("__idx", F.col("idx").cast("string")).join(classes.withColumnRenamed("idx", "__idx"), "__idx").drop("__idx")
+
+
+def decision_label(kind: Column, conf: Column, non_key: Column) -> Column:
+    """How a unit was chosen: by itself (`kind` is base) or with a neighbour, and its confidence."""
+    alone = F.concat(F.lit("standalone"), F.when(non_key, "[non-key]").otherwise(""))
+    return F.concat(F.when(kind == "base", alone).otherwise(F.concat(F.lit("variant-map:"), kind)), F.format_string(" (%.1f%%)", conf))
+
+
 def variant_sets(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(base, variants array) by base, and (compound) of the compounds that are no base themselves. edges: (base, compound or null)."""
     by_base = edges.groupBy("base").agg(F.array_sort(F.collect_set("compound")).alias("variants"))

@@ -36,6 +36,18 @@ def ranked_runs(fact: DataFrame, params: list[str]) -> DataFrame:
     return fact.groupBy(*params).agg(F.avg("cer").alias("mean_cer"), F.count("cer").alias("n_valid"))
 
 
+def rank_combinations(fact: DataFrame, params: list[str]) -> DataFrame:
+    """(parameters, ordinal, mean_cer, n_valid, rank): combinations by mean cer, those without a valid run last, equal ones by ordinal.
+    There are as many rows as the grid has combinations, so one task ranks them."""
+    found = fact.groupBy(*params).agg(F.min("ordinal").alias("ordinal"), F.avg("cer").alias("mean_cer"), F.count("cer").alias("n_valid"))
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("mean_cer"), "ordinal")))
+
+
+def top_combination(counted: DataFrame, params: list[str]) -> DataFrame:
+    """The combination that is best for most stems; of equal ones the least."""
+    return counted.orderBy(F.desc("frequency"), *params).limit(1)
+
+
 def pearson(x, y):
     """Correlation from population moments; 0 for no variance or a single row."""
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
@@ -43,7 +55,7 @@ def pearson(x, y):
 
 def correlations(runs: DataFrame, params: list[str]) -> DataFrame:
     """(param, r, verdict) of each parameter's correlation with mean_cer, in one pass; r has four decimals."""
-    wide = runs.agg(*[F.bround(pearson(F.col(p), F.col("mean_cer")), 4).alias(p) for p in params])
+    wide = runs.agg(*[(F.bround(pearson(F.col(p), F.col("mean_cer")), 4) + 0.0).alias(p) for p in params])
     long = wide.unpivot([], params, "param", "r")
     return long.withColumn("verdict", correlation_verdict(F.col("r")))
 
@@ -56,16 +68,15 @@ def quadratic_slopes(runs: DataFrame, grid: dict[str, list[float]]) -> DataFrame
     they are well conditioned. direction is 1 for a falling slope and else -1. Fewer than two values give (1, 0).
     """
     middle = {p: upper_median(v) for p, v in grid.items()}
-    parts = []
+    points = []
     for p in grid:
         others = F.lit(True)
         for q in grid:
             if q != p:
                 others = others & (F.col(q) == middle[q])
-        parts.append(runs.filter(others).select(F.lit(p).alias("param"), (F.col(p) - middle[p]).alias("x"), "mean_cer"))
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
+        points.append(F.when(others, F.struct(F.lit(p).alias("param"), (F.col(p) - middle[p]).alias("x"))))
+    # one pass: a run is a point for each parameter whose others are at their medians
+    long = runs.select("mean_cer", F.explode(F.array(*points)).alias("at")).filter("at IS NOT NULL").select("at.param", "at.x", "mean_cer")
     means = long.groupBy("param", "x").agg(F.avg("mean_cer").alias("y"))
     sums = means.groupBy("param").agg(
         F.count("*").alias("n"), *[F.sum(F.pow("x", F.lit(k))).alias(f"s{k}") for k in (1, 2, 3, 4)],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,7 +85,15 @@ def probes(centres: DataFrame, settings: SearchSettings) -> DataFrame:
 def pattern_search(
     start: DataFrame, score: Callable[[DataFrame], DataFrame], settings: SearchSettings | None = None, max_hops: int = 10, min_delta: float = 0.1
 ) -> DataFrame:
-    """(stem, parameters, best_cer, hops) from `start` (stem, parameters, cer).
+    """The end of `pattern_search_log`: (stem, parameters, best_cer, hops)."""
+    return pattern_search_log(start, score, settings, max_hops, min_delta)[0]
+
+
+def pattern_search_log(
+    start: DataFrame, score: Callable[[DataFrame], DataFrame], settings: SearchSettings | None = None, max_hops: int = 10, min_delta: float = 0.1
+) -> tuple[DataFrame, DataFrame]:
+    """(stem, parameters, best_cer, hops) from `start` (stem, parameters, cer), and the log of all evaluations: (stem, hop_number,
+    phase, parameters, cer, accepted, note).
 
     A sweep tries every probe around an image's best point; a probe that is better than the best so far by more than `min_delta` becomes the best,
     in probe order. A sweep without gain halves the image's steps, and the image rests when the tie-break parameter's step
@@ -96,6 +105,7 @@ def pattern_search(
     steps = {f"step_{p}": F.lit(float(settings.steps[p])) for p in PARAMS}
     state = start.select("stem", *PARAMS, F.col("cer").cast("double").alias("best_cer")).withColumns(steps)
     state = cut(state.withColumn("hops", F.lit(0)).withColumn("live", F.lit(True)))
+    logs = []
     while not state.filter("live").isEmpty():
         centres = state.filter("live").select("stem", *PARAMS, *steps)
         tried = probes(centres, settings)
@@ -103,13 +113,24 @@ def pattern_search(
         tried = tried.join(state.select("stem", "hops"), "stem").withColumn("__n", F.row_number().over(budget) + F.col("hops"))
         tried = score(tried.filter(F.col("__n") <= max_hops).drop("__n", "hops"))
         got = tried.groupBy("stem").agg(
-            F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ordinal", "cer", *PARAMS))).alias("tried")
+            F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ordinal", "cer", *PARAMS, "note"))).alias("tried")
         )
         joined = state.join(got, "stem", "left")
         now = F.struct(F.col("best_cer").alias("cer"), *[F.col(p).cast("double").alias(p) for p in PARAMS])
-        better = lambda best, t: F.when(best["cer"] - t["cer"] > min_delta, F.struct(t["cer"].alias("cer"), *[t[p].alias(p) for p in PARAMS])).otherwise(best)
-        best = F.aggregate(F.coalesce("tried", F.array().cast(got.schema["tried"].dataType)), now, better)
-        joined = joined.withColumn("__best", best).withColumn("__gain", F.col("__best.cer") < F.col("best_cer"))
+        gains = lambda best, t: F.coalesce(best["cer"] - t["cer"] > min_delta, F.lit(False))
+        taken = lambda t: F.struct(t["cer"].alias("cer"), *[t[p].alias(p) for p in PARAMS])
+        none = F.array().cast("array<boolean>")
+        # as many probes as an image has hops left: the flags are few
+        fold = lambda s, t: F.struct(F.when(gains(s["best"], t), taken(t)).otherwise(s["best"]).alias("best"), F.concat(s["took"], F.array(gains(s["best"], t))).alias("took"))
+        done = F.aggregate(F.coalesce("tried", F.array().cast(got.schema["tried"].dataType)), F.struct(now.alias("best"), none.alias("took")), fold)
+        joined = cut(joined.withColumn("__done", done))
+        logs.append(
+            joined.filter("tried IS NOT NULL").select("stem", "hops", F.posexplode(F.arrays_zip("tried", F.col("__done.took").alias("took"))).alias("k", "t")).select(
+                "stem", (F.col("hops") + F.col("k") + 1).cast("int").alias("hop_number"), F.lit("climb").alias("phase"), *[F.col(f"t.tried.{p}").alias(p) for p in PARAMS],
+                F.bround("t.tried.cer", 4).alias("cer"), F.col("t.took").alias("accepted"), F.col("t.tried.note").alias("note"),
+            )
+        )
+        joined = joined.withColumn("__best", F.col("__done.best")).withColumn("__gain", F.col("__best.cer") < F.col("best_cer"))
         joined = joined.withColumn("hops", F.col("hops") + F.coalesce("n", F.lit(0)).cast("int"))
         dry = F.col("live") & ~F.col("__gain")
         for name in steps:
@@ -121,7 +142,14 @@ def pattern_search(
                 "stem", *[F.col(f"__best.{p}").alias(p) for p in PARAMS], F.col("__best.cer").alias("best_cer"), *steps, "hops", alias_bool(alive)
             )
         )
-    return state.select("stem", *PARAMS, "best_cer", "hops")
+    found = state.select("stem", *PARAMS, "best_cer", "hops")
+    if not logs:  # nothing was tried
+        blank = start.filter(F.lit(False)).select(
+            "stem", F.lit(0).alias("hop_number"), F.lit("climb").alias("phase"), *[F.col(p).cast("double").alias(p) for p in PARAMS],
+            F.col("cer").cast("double").alias("cer"), F.lit(False).alias("accepted"), F.lit("").alias("note"),
+        )
+        return found, blank
+    return found, reduce(DataFrame.unionByName, logs)
 
 
 def alias_bool(condition: Column) -> Column:
@@ -134,3 +162,13 @@ def improvement_summary(found: DataFrame, start: DataFrame, min_delta: float = 0
     return found.join(start.select("stem", "cer"), "stem").agg(
         F.count("*").alias("n_images"), F.count_if(gain > min_delta).alias("n_improved"), F.avg(gain).alias("mean_gain")
     )
+
+
+def climb_summary(found: DataFrame, start: DataFrame) -> DataFrame:
+    """(stem, parameters, grid_best_cer, best_cer, continuous_gain, pipeline_runs) of each image; rates have four decimals."""
+    both = found.join(start.select("stem", F.col("cer").cast("double").alias("__start")), "stem")
+    four = lambda c: F.bround(c, 4)
+    return both.select(
+        "stem", *[p for p in PARAMS if p in found.columns], four(F.col("__start")).alias("grid_best_cer"), four(F.col("best_cer")).alias("best_cer"),
+        four(F.col("__start") - F.col("best_cer")).alias("continuous_gain"), F.col("hops").alias("pipeline_runs"),
+    )

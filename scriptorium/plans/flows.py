@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators import intervals, metrics, pixels, recognise, response
-from scriptorium.operators.optimise import ParameterModel, fixed_parameters
+from scriptorium.operators import intervals, metrics, pixels, recognise, response, search
+from scriptorium.operators.optimise import ParameterModel, fixed_parameters, train_parameter_model
 from scriptorium.sources.shared import cut
 from scriptorium.sources.sinks import batch_summary
 
@@ -176,3 +176,29 @@ def infer(
     known = model.predict(pixels.image_statistics(images)) if model else fixed_parameters(images, best, grid)
     adapted = images.select("stem", "h", "w", "data").join(known.select("stem", *grid), "stem", "left")
     return recognise_images(adapted, labels, scorer, edges, settings, baseline)
+
+
+def settings_of(known: dict[str, DataFrame]) -> search.SearchSettings:
+    """A search's settings from what `analyse` tells: a row for each parameter, and for each pair of them, reach the driver."""
+    r = {x.param: x.r for x in known["correlations"].collect()}
+    return search.settings_from(r, {(x.a, x.b): x.ratio for x in known["ratios"].collect()})
+
+
+def search_and_train(
+    fact: DataFrame, score: Callable[[DataFrame], DataFrame], grid: dict[str, list[float]], statistics: DataFrame | None = None,
+    features: list[str] | None = None, max_hops: int = 10, min_delta: float = 0.1,
+) -> dict:
+    """The run from a grid's fact table (stem, parameters, cer) to a parameter model: the grid's analysis gives the search its settings and each
+    image its anchor; all images climb together from there; then the model learns the best parameters from the images'
+    `statistics` (stem, `features`), if given. Returns found, hops (the log), climb, summary, profiles and model."""
+    tiebreak = "multi_seg_threshold"
+    settings = settings_of(analyse(fact, grid, tiebreak))
+    start = cut(response.anchors(fact, response.census(fact, list(grid)), list(grid), settings.tiebreak or tiebreak))
+    found, hops = search.pattern_search_log(start, score, settings, max_hops, min_delta)
+    out = {
+        "found": found, "hops": hops, "climb": search.climb_summary(found, start), "summary": search.improvement_summary(found, start, min_delta),
+        "profiles": response.profiles(found, list(grid)), "model": None,
+    }
+    if statistics is not None:
+        out["model"] = train_parameter_model(statistics.join(found, "stem"), features or [c for c in statistics.columns if c != "stem"], grid)
+    return out

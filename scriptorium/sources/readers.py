@@ -73,11 +73,15 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def error_table(spark: SparkSession, path: str, params: list[str]) -> DataFrame:
     """(stem, parameters, cer): blank stems and unreadable parameters are dropped, a missing rate is 100, the last of equal keys counts."""
-    rows = spark.read.csv(path, header=True)
+    return parse_errors(spark.read.csv(path, header=True).withColumn("__order", F.monotonically_increasing_id()), params, "__order")
+
+
+def parse_errors(rows: DataFrame, params: list[str], order: str) -> DataFrame:
+    """As `error_table`, of rows of text with a column that orders them."""
     missing = F.expr("try_cast(cer AS DOUBLE)") if "cer" in rows.columns else F.lit(100.0)
-    parsed = rows.select(F.trim("stem").alias("stem"), *[F.expr(f"try_cast({p} AS DOUBLE)").alias(p) for p in params], missing.alias("cer"))
-    parsed = parsed.filter("stem <> ''").na.drop(subset=[*params, "cer"]).withColumn("__order", F.monotonically_increasing_id())
-    return parsed.groupBy("stem", *params).agg(F.max_by("cer", "__order").alias("cer"))
+    parsed = rows.select(F.trim("stem").alias("stem"), *[F.expr(f"try_cast({p} AS DOUBLE)").alias(p) for p in params], missing.alias("cer"), order)
+    parsed = parsed.filter("stem <> ''").na.drop(subset=[*params, "cer"])
+    return parsed.groupBy("stem", *params).agg(F.max_by("cer", order).alias("cer"))
 
 
 def correlation_table(spark: SparkSession, path: str, params: list[str]) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once, its lineage ending in spark.checkpoint.dir (a new temporary folder where that is unset, as in tests)."""
+    """`df` computed once, its lineage ending in spark.checkpoint.dir (a new temporary folder where that is unset, on a single machine only)."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)

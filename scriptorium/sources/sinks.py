@@ -78,3 +78,9 @@ def grid_place(rows: DataFrame, key: str, order: str, columns: int = 10) -> Data
 def to_json_rows(rows: DataFrame, key: str) -> DataFrame:
     """(key, json) of each row."""
     return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+def image_summary(rated: DataFrame) -> DataFrame:
+    """The columns of an image's and of the master summary: what was read, the truth, and the rates of recognition and baseline."""
+    wanted = ["image", "stem", "predicted_text", "ground_truth", "n_units", "wer", "cer", "base_text", "base_wer", "base_cer"]
+    return rated.select(*[c for c in wanted if c in rated.columns])

@@ -1,7 +1,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from scriptorium.operators import response, search
 from scriptorium.plans import flows
+from scriptorium.plans import queries as plans
 
 SMALL = flows.LineSettings(height=32, canvas=48, margin=2, window_pad=2, blob_min_area=1)
 
@@ -44,3 +46,66 @@ def test_grid_analysis_and_inference(spark):
     assert told["anchors"].count() == 1
     found = flows.infer(lines(spark), labels, scorer, edges, None, grid, {"close_k": 3.0}, SMALL)
     assert found.filter("stem = 'a'").first().cer == 0.0
+
+
+def climb_model(stem, start, rate, steps, order, max_hops=10, min_delta=0.1):
+    """One image's search in plain Python, of single parameters in `order`: its end and its log."""
+    legal = {"smoothing_k": (1, 9), "close_k": (1, 9), "window_pad": (2, 40), "multi_seg_threshold": (80, 100)}
+
+    def clamp(p, v):
+        low, high = legal[p]
+        v = min(max(v, low), high)
+        if p in ("smoothing_k", "close_k"):
+            n = max(round(v), 1)
+            return float(n if n % 2 else n - 1 if abs(v - max(n - 1, 1)) <= abs(v - n - 1) else n + 1)
+        return float(round(v) if p == "window_pad" else round(v, 1))
+
+    best, best_cer, steps, log, hops = dict(start), rate(stem, start), dict(steps), [], 0
+    while hops < max_hops:
+        centre, seen, tried = {p: clamp(p, v) for p, v in best.items()}, [], []
+        for p in order:
+            for sign, mark in ((1, "+"), (-1, "-")):
+                own = {**centre, p: clamp(p, best[p] + sign * steps[p])}
+                if own != centre and own not in seen:
+                    seen.append(own)
+                    tried.append((own, f"coord {mark} {p}"))
+        if not tried:
+            break
+        gained = False
+        for own, note in tried[: max_hops - hops]:
+            cer = rate(stem, own)
+            took = best_cer - cer > min_delta
+            if took:
+                best, best_cer, gained = own, cer, True
+            hops += 1
+            log.append((stem, hops, *own.values(), round(cer, 4), took, note))
+        if not gained:
+            steps = {p: v / 2 for p, v in steps.items()}
+            if steps["multi_seg_threshold"] < 0.1:
+                break
+    return (stem, *best.values(), best_cer, hops), log
+
+
+def test_hop_log(spark, sf_dir):
+    def rate(stem, at):
+        off = stem % 5
+        return abs(at["window_pad"] - 9 - off) + abs(at["multi_seg_threshold"] - 96 - off * 0.5) * 2 + abs(at["smoothing_k"] - 5) + abs(at["close_k"] - 3)
+
+    stems = [r.p_partkey for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()]
+    start = {p: response.upper_median(v) for p, v in response.FULL_GRID.items()}
+    want = [climb_model(s, start, rate, search.STEPS, search.INFLUENCE) for s in stems]
+    names = list(response.FULL_GRID)
+    got = plans.QUERIES["q69_hop_log"](spark, sf_dir).select("stem", "hop_number", *names, "cer", "accepted", "note").collect()
+    assert sorted(tuple(r) for r in got) == sorted(x for _, log in want for x in log)
+    ends = plans.QUERIES["q38_pattern_search"](spark, sf_dir).select("stem", *names, "best_cer", "hops").collect()
+    assert sorted(tuple(r) for r in ends) == sorted(end for end, _ in want)
+
+
+def test_search_and_train(spark, sf_dir):
+    fact = plans.fact(spark, sf_dir).filter("stem <= 12")
+    statistics = fact.select("stem").distinct().withColumns({"f1": (F.col("stem") % 5).cast("double"), "f2": F.col("stem").cast("double")})
+    n = statistics.count()
+    found = flows.search_and_train(fact, plans.made_up_rate, response.FULL_GRID, statistics, max_hops=4)
+    assert found["hops"].groupBy("stem").count().filter("count > 4").isEmpty() and found["found"].count() == found["climb"].count() == n
+    assert found["summary"].first().n_images == n and found["profiles"].agg(F.sum("n_stems").alias("n")).first().n == n
+    assert set(response.FULL_GRID) <= set(found["model"].predict(statistics).columns)
