@@ -1,10 +1,11 @@
 """Near duplicates by an n-gram Jaccard join: MinHash banding, then verification on whole n-gram sets.
 
 Documents with one n-gram set are one node. A node's MinHash signature is cut into bands, and nodes that share
-a band's hash are candidates; the numbers of bands and rows are chosen for a target recall at the threshold. Nodes are
-not paired within a band: each is linked to the least node of its band, and nodes that hang together
-so are brought together once, with their n-gram sets. There, all pairs are verified in blocks of bounded size, and only
-counts of links and spanning edges come out. Verified edges, again as components, give the classes.
+a band's hash are candidates; the numbers of bands and rows are chosen for a target recall at the threshold. Nodes that
+hang together by bands form a component. Its pairs are verified on whole n-gram sets in one of two groupings, whichever moves
+fewer n-grams: all its nodes together, where most of them are near each other, or each band's nodes by themselves, where
+chance matches chain texts that are not. Groups are cut into blocks of bounded size, and only counts of links and spanning
+edges come out. Verified edges, again as components, give the classes.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ KEPT_WORDS = 500_000
 MOST_HASHES = 128
 #: Pairs of an n-gram's holders up to which they are counted one by one; more are counted by matrix products.
 FEW_PAIRS = 64
+#: N-grams of a block on average, at most; a longer text is a block of its own size.
+BLOCK_GRAMS = 1_000_000
 ROWS = 512
 
 
@@ -101,24 +104,28 @@ def _node(grams: np.ndarray) -> bytes:
 
 
 def signatures(documents: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_key, node, bands) of each row; `bands` is empty where there are no words."""
+    """(doc_id, text_key, node, n_grams, bands) of each row; `bands` is empty where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(n), Signer(bands, rows)
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.slice(at, ROWS)
-                nodes, found = [], []
+                nodes, sizes, found = [], [], []
                 for grams in shingler.sets(part["text"].to_pylist()):
                     nodes.append(_node(grams))
+                    sizes.append(len(grams))
                     found.append(as_int64(signer.bands_of(grams)) if len(grams) else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["text_key"], pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                    ["doc_id", "text_key", "node", "bands"],
+                    [
+                        part["doc_id"], part["text_key"], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
+                        pa.array(found, pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "text_key", "node", "n_grams", "bands"],
                 )
 
     keyed = documents.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), "text")
-    return keyed.mapInArrow(run, "doc_id long, text_key binary, node binary, bands array<long>")
+    return keyed.mapInArrow(run, "doc_id long, text_key binary, node binary, n_grams long, bands array<long>")
 
 
 def gram_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -191,9 +198,10 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 NO_LINKS = pd.DataFrame({"node": [], "n_links": np.zeros(0, np.int64), "root": []})
 
 
-def verify_block(threshold: float, rows: pd.DataFrame) -> pd.DataFrame:
+def verify_block(threshold: float, rows: pd.DataFrame, band: int | None = None) -> pd.DataFrame:
     """Links of one group of nodes, those of side 0 with each other (a block with itself) or side 0 with side 1: (node, n_links, root),
-    one row for each node with a link. A link counts the documents of the other node."""
+    one row for each node with a link. A link counts the documents of the other node. With `band`, the hash of the band that the
+    nodes share, a pair counts only if that is the first of its common bands, so once in all."""
     rows = rows.sort_values(["side", "node"])
     sets = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
     docs, nodes = rows["n_docs"].to_numpy(np.int64), rows["node"].to_numpy()
@@ -210,6 +218,13 @@ def verify_block(threshold: float, rows: pd.DataFrame) -> pd.DataFrame:
     linked = both >= threshold * total - 1e-9
     if alone:
         np.fill_diagonal(linked, False)
+    if band is not None:
+        i, j = np.nonzero(linked)
+        bands = np.stack(rows["bands"].to_numpy()).astype(np.int64)
+        for at in range(0, len(i), 65536):
+            a, b = bands[i[at : at + 65536]], bands[j[at : at + 65536] + shift]
+            first = (a == b).argmax(1)[:, None]
+            linked[i[at : at + 65536], j[at : at + 65536]] = np.take_along_axis(a, first, 1)[:, 0] == band
     links = np.zeros(len(rows), np.int64)
     links[: len(ours)] += linked @ docs[shift : shift + right]
     if not alone:
@@ -221,50 +236,76 @@ def verify_block(threshold: float, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes[some], "n_links": links[some], "root": nodes[root[some]]})
 
 
+def groups_to_verify(nodes: DataFrame, block: int) -> DataFrame:
+    """(component, band, n_blocks, node, n_docs, text_key, bands): the groups of nodes whose pairs are to be verified, so that all pairs with a
+    common band meet in one of them at least. A group is a component of band matches (`band` and `bands` null) or the nodes of
+    one band. Of the two a component takes the one that sends fewer n-grams, counting a set once for each block of its group."""
+
+    def blocks(n: str, grams: str) -> F.Column:
+        return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(grams) / BLOCK_GRAMS)).cast("int")
+
+    banded = nodes.select("node", "n_grams", F.explode(F.array_distinct("bands")).alias("band"))
+    met = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"), F.min("node").alias("b")).filter("n > 1")
+    met = cut(met.select("band", "b", "grams", blocks("n", "grams").alias("n_blocks")))
+    candidates = connected_components(banded.join(met.select("band", "b"), "band").select(F.col("node").alias("a"), "b"))
+    candidates = cut(candidates.join(nodes.select("node", "n_grams"), "node"))
+    whole = candidates.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
+    whole = whole.select("component", "grams", blocks("n", "grams").alias("n_blocks"))
+    each = met.join(candidates.select(F.col("node").alias("b"), "component"), "b")
+    each = each.groupBy("component").agg(F.sum(F.col("grams") * F.col("n_blocks")).alias("sent"))
+    chosen = whole.join(each, "component").select("component", "n_blocks", (F.col("sent") < F.col("grams") * F.col("n_blocks")).alias("apart"))
+    chosen = cut(candidates.select("node", "component").join(chosen, "component").join(nodes, "node"))
+    own = ["component", "node", "n_docs", "text_key"]
+    together = chosen.filter("NOT apart").select(
+        F.lit(None).cast("long").alias("band"), "n_blocks", *own, F.lit(None).cast("array<long>").alias("bands")
+    )
+    apart = chosen.filter("apart").select(*own, "bands", F.explode(F.array_distinct("bands")).alias("band")).join(met.select("band", "n_blocks"), "band")
+    return together.unionByName(apart)
+
+
 def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 512) -> DataFrame:
     """(doc_id, text_key, class_key, class_id, n_links) of each row: the class's key and its least doc_id, and the number of
     other rows whose word n-gram set has a Jaccard similarity of at least `threshold` with its own.
 
     Classes are the connected components of these links. Rows with equal n-gram sets are linked to each other;
     rows without words count as equal to each other. Null text counts as empty; a class without ids has a null class_id.
-    Repeated rows are rows. Whole texts are compared, and words are lower-cased. `recall` is for a pair just at the
-    threshold; nodes that meet by other links are verified too, so more is found. Groups of any size are
-    verified in blocks of `block` nodes, each pair of blocks by itself.
+    Repeated rows are rows. Whole texts are compared, however long, and words are lower-cased; only doc_id and text are read, whatever
+    other columns there are. An empty table gives an empty one. `recall` is for a pair just at the
+    threshold; where nodes that share no band meet in a group they are verified too, so more is found. Groups of any size are
+    verified in blocks of `block` nodes and BLOCK_GRAMS n-grams on average, each pair of blocks by itself (see `groups_to_verify`).
     """
     bands, rows = choose_bands(threshold, recall)
     signed = cut(signatures(documents, n, bands, rows))
     nodes = cut(
         signed.groupBy("node").agg(
-            F.count("*").alias("n_docs"), F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands")
+            F.count("*").alias("n_docs"), F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"),
+            F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"),
         )
     )
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    met = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1").select("band", "b")
-    candidates = connected_components(banded.join(met, "band").select(F.col("node").alias("a"), "b"))
-    candidates = cut(candidates)
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    placed = candidates.join(sizes, "component").join(nodes.select("node", "n_docs", "text_key"), "node")
+    placed = cut(groups_to_verify(nodes.drop("least"), block))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     keyed = documents.select(text_key(F.col("text")).alias("text_key"), "text")
     wanted = placed.select("text_key").distinct()
     texts = keyed.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
     sets = placed.join(gram_sets(texts, n), "text_key")
-    # each block meets itself once, and every other block of its component once
+    # each block meets itself once, and every other block of its group once
     meetings = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "component",
         F.least("own", "other").alias("low"),
         F.greatest("own", "other").alias("high"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "band",
         "node",
         "n_docs",
+        "bands",
         "grams",
     )
 
     def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lonely = key[1] != key[2] and group["side"].nunique() < 2  # the other block is empty
-        return NO_LINKS if lonely else verify_block(threshold, group)
+        return NO_LINKS if lonely else verify_block(threshold, group, None if pd.isna(key[3]) else int(key[3]))
 
-    found = cut(meetings.groupBy("component", "low", "high").applyInPandas(verify, "node binary, n_links long, root binary"))
+    found = cut(meetings.groupBy("component", "low", "high", "band").applyInPandas(verify, "node binary, n_links long, root binary"))
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.join(nodes.select("node", "least"), "node")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import assert_same
 from pyspark.sql import functions as F
@@ -71,6 +72,34 @@ def test_near_duplicates_edges(spark):
     assert [r.n_links for r in ngram_join.near_duplicates(long).collect()] == [0, 0]
 
 
+def test_near_duplicates_of_chained_texts(spark):
+    """Each text shares most of its words with the next, few enough to be no link but for some; by bands all hang together."""
+    n, at, texts = 1200, 0, []
+    for k in range(n):
+        texts.append(" ".join(f"w{j}" for j in range(at, at + 100)))
+        at += 6 if k % 50 == 0 else 12
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bands, rows = ngram_join.choose_bands(0.8, 0.999)
+    nodes = ngram_join.signatures(frame, 5, bands, rows).withColumn("n_docs", F.lit(1)).drop("doc_id")
+    groups = ngram_join.groups_to_verify(nodes, 16).collect()
+    apart = [r for r in groups if r.band is not None]
+    assert len({r.node for r in apart}) > n / 2, "long chains are verified by bands"
+    assert max(Counter(r.node for r in groups).values()) <= bands and all(r.n_blocks == 1 for r in apart)
+    sets = [grams(t) for t in texts]
+    want = [sum(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(max(0, i - 9), min(n, i + 10)) if j != i) for i in range(n)]
+    assert 0 < sum(want) < n / 4
+    found = sorted(ngram_join.near_duplicates(frame, block=16).collect(), key=lambda r: r.doc_id)
+    assert [r.n_links for r in found] == want
+    assert all((r.class_id == i - 1) == (i > 0 and (i - 1) % 50 == 0) for i, r in enumerate(found))
+
+
+def test_verify_block_counts_a_pair_in_its_first_common_band():
+    sets = [np.arange(10, dtype=np.uint64).tobytes()] * 2
+    rows = pd.DataFrame({"side": 0, "node": [b"a", b"b"], "n_docs": 1, "grams": sets, "bands": [np.array([1, 5, 7]), np.array([2, 5, 7])]})
+    assert len(ngram_join.verify_block(0.8, rows, 5)) == 2 and len(ngram_join.verify_block(0.8, rows, 7)) == 0
+    assert len(ngram_join.verify_block(0.8, rows)) == 2
+
+
 def test_shared_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in rng.integers(1, 50, 40)]
