@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import as_int64, cut, free_name, mix, text_key
+from scriptorium.llm.common import as_int64, cut, free_name, hot_keys, mix, spread_join, text_key
 from scriptorium.llm.graph import connected_components
 
 #: Words whose hashes a task keeps.
@@ -286,7 +286,9 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, re
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     keyed = documents.select(text_key(F.col("text")).alias("text_key"), "text")
     wanted = placed.select("text_key").distinct()
-    texts = keyed.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
+    # copies of one text or node may be a large share of all rows
+    hot_texts = hot_keys(signed.groupBy("text_key").agg(F.count("*").alias("n")), ["text_key"])
+    texts = spread_join(keyed, wanted, ["text_key"], hot_texts, "left_semi").dropDuplicates(["text_key"])
     sets = placed.join(gram_sets(texts, n), "text_key")
     # each block meets itself once, and every other block of its group once
     meetings = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
@@ -318,7 +320,9 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, re
         F.when(F.col("class_key").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"),
         (F.coalesce("n_links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"),
     )
-    return signed.select("doc_id", "text_key", "node").join(told, "node").select("doc_id", "text_key", "class_key", "class_id", "n_links")
+    hot_nodes = hot_keys(nodes.select("node", F.col("n_docs").alias("n")), ["node"])
+    every = spread_join(signed.select("doc_id", "text_key", "node"), told, ["node"], hot_nodes)
+    return every.select("doc_id", "text_key", "class_key", "class_id", "n_links")
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
