@@ -79,15 +79,15 @@ def hot_keys(sized: DataFrame, keys: list[str]) -> DataFrame:
     return sized.sparkSession.createDataFrame(hot.collect(), hot.schema)
 
 
-def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner", hint: str | None = None) -> DataFrame:
     """`rows` joined to `other`, which has one row for each of the `keys`; the rows of hot keys (see `hot_keys`) are
-    dealt over as many pieces as their share asks for, so that none of them fills a task. Other keys meet as in a plain join."""
+    dealt over as many pieces as their share asks for, so that none of them fills a task. Other keys meet as in a plain join. `hint` asks for a way of joining, such as "merge"."""
     hot = F.broadcast(hot)  # HOT rows at most
     dealt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__pieces")), F.lit(0)).cast("int")
     left = rows.join(hot, keys, "left").withColumn("__piece", dealt).drop("__pieces")
     pieces = F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))
     right = other.join(hot, keys, "left").withColumn("__piece", pieces).drop("__pieces")
-    return left.join(right, [*keys, "__piece"], how).drop("__piece")
+    return left.join(right.hint(hint) if hint else right, [*keys, "__piece"], how).drop("__piece")
 
 
 def mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:

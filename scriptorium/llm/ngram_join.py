@@ -288,7 +288,8 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, re
     wanted = placed.select("text_key").distinct()
     # copies of one text or node may be a large share of all rows
     hot_texts = hot_keys(signed.groupBy("text_key").agg(F.count("*").alias("n")), ["text_key"])
-    texts = spread_join(keyed, wanted, ["text_key"], hot_texts, "left_semi").dropDuplicates(["text_key"])
+    # what is wanted grows with the corpus, so one plan for all sizes
+    texts = spread_join(keyed, wanted, ["text_key"], hot_texts, "left_semi", "merge").dropDuplicates(["text_key"])
     sets = placed.join(gram_sets(texts, n), "text_key")
     # each block meets itself once, and every other block of its group once
     meetings = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
