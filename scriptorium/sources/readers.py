@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import first_stem, parse_label_line, stem_of, three_tokens, tokens
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, asked of the file system that the path belongs to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def image_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("png", "jpg", "jpeg"), recursive: bool = False) -> DataFrame:
     """(path, stem, length, modificationTime, content) of image files, by lower-cased suffix; content is only read if it is selected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
@@ -110,12 +116,37 @@ def variant_edges(spark: SparkSession, variants: dict[str, list[str]]) -> DataFr
     return spark.createDataFrame(rows, "base string, compound string")
 
 
+def variant_file(spark: SparkSession, path: str) -> DataFrame:
+    """As `variant_edges`, of a JSON object of arrays; a missing file gives no rows, so no variants are tried."""
+    if not path_exists(spark, path):
+        return variant_edges(spark, {})
+    text = spark.read.text(path, wholetext=True)
+    pairs = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("base", "compounds"))
+    return pairs.select("base", F.explode_outer("compounds").alias("compound"))
+
+
+def save_trie(trie: DataFrame, path: str) -> None:
+    """A prefix table (see `lexicon.prefix_table`) as Parquet by depth, so that a level is read without the others."""
+    trie.write.mode("overwrite").partitionBy("depth").parquet(path)
+
+
+def load_trie(spark: SparkSession, path: str) -> DataFrame:
+    """What `save_trie` wrote; a missing one is empty: nothing is found, and only the empty prefix exists."""
+    schema = "prefix array<string>, depth int, terminal_freq long, subtree_types long"
+    names = ["prefix", "depth", "terminal_freq", "subtree_types"]
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*names)
+
+
 def font_files(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
-    """(font_path, font_stem, tier) of the font files of each tier's folder."""
-    out = None
+    """(font_path, font_stem, tier) of the font files of each tier's folder; a missing folder has none."""
+    out = spark.createDataFrame([], "font_path string, font_stem string, tier string")
     for tier, folder in folders.items():
+        if not path_exists(spark, folder):
+            continue
         files = image_files(spark, folder, ("ttf", "otf")).select(F.col("path").alias("font_path"), F.col("stem").alias("font_stem"), F.lit(tier).alias("tier"))
-        out = files if out is None else out.unionByName(files)
+        out = out.unionByName(files)
     return out
 
 
