@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from scriptorium.sources.shared import cut
+
 FEATURES = [
     "pixel_density", "foreground_fraction", "noise_coefficient", "mean_stroke_width", "aspect_ratio", "horizontal_projection_variance",
     "vertical_projection_variance", "edge_density", "local_contrast", "n_components", "mean_gap_px", "std_gap_px", "image_height_px", "image_width_px",
@@ -285,6 +287,20 @@ def preprocess(images: DataFrame, height: int = 384, smoothing: int = 3, close_k
     return per_image(images, make, "h int, w int, ink binary, skeleton binary, profile array<int>")
 
 
+def glyph_skeletons(glyphs: DataFrame, key: str = "stem") -> tuple[DataFrame, DataFrame]:
+    """(manifest, rejects) of a batch of glyphs: (key, h, w, skeleton, n_pixels, status) with status 'ok', and (key, status) of those that can't be
+    read ('undecodable') or have too little ink ('rejected'). Computed once and kept in the shared folder, as both read it."""
+
+    def make(image: np.ndarray) -> dict | None:
+        lines = glyph_skeleton(image)
+        if lines is None:
+            return None
+        return {"h": lines.shape[0], "w": lines.shape[1], "skeleton": lines.astype(np.uint8).tobytes(), "n_pixels": int(lines.sum())}
+
+    done = cut(per_image(glyphs, make, "h int, w int, skeleton binary, n_pixels long", key))
+    return done.filter("status = 'ok'"), done.filter("status <> 'ok'").select(key, "status")
+
+
 def blobs(images: DataFrame, least_area: int = 15) -> DataFrame:
     """(stem, x_start, x_end, y_start, y_end, area) of each component of images of 0 and 1 with at least `least_area` pixels."""
 

@@ -106,7 +106,11 @@ def read_lines(images: DataFrame, scorer: Scorer, edges: DataFrame, settings: Li
     """
     settings = settings or LineSettings()
     prepared = cut(prepare(images, settings))
-    segments = cut(segment(prepared, settings))
+    return read_segments(prepared, cut(segment(prepared, settings)), scorer, edges, settings)
+
+
+def read_segments(prepared: DataFrame, segments: DataFrame, scorer: Scorer, edges: DataFrame, settings: LineSettings) -> DataFrame:
+    """What `read_lines` returns, of images that are prepared and segmented."""
     told = F.struct("char", "conf")
     scored = scorer(crops(prepared, segments, settings)).groupBy("stem", "seg_idx").agg(
         F.max(F.when(~F.col("pair"), told)).alias("own"), F.max(F.when(F.col("pair"), told)).alias("both")
@@ -140,20 +144,39 @@ def summarise(rated: DataFrame) -> DataFrame:
 def evaluate_grid(
     images: DataFrame, labels: DataFrame, scorer: Scorer, edges: DataFrame, grid: dict[str, list[float]], settings: LineSettings | None = None
 ) -> DataFrame:
-    """(stem, run_tag, parameters, cer, wer): every image with every combination of `grid`, in one plan. The combinations are as many
-    as the grid has, whatever the number of images; a labelled image that can't be read has null rates."""
+    """(stem, run_tag, parameters, cer, wer): every image with every combination of `grid`, in one plan. An image is prepared once
+    for each pair of smoothing_k and close_k, and read once for each of these with each window_pad; the other parameters repeat what was read; a labelled image that can't be read has null rates."""
+    settings = settings or LineSettings()
     combos = response.grid_frame(images.sparkSession, grid).collect()
-    options = F.array(*[F.struct(F.lit(c.run_tag).alias("run_tag"), *[F.lit(float(c[p])).alias(p) for p in grid]) for c in combos])
-    swept = images.select("stem", "h", "w", "data", F.explode(options).alias("o")).select(
-        F.concat_ws("/", "o.run_tag", "stem").alias("stem"), "h", "w", "data", *[f"o.{p}" for p in grid]
+    pads = sorted({int(c["window_pad"]) if "window_pad" in grid else int(settings.window_pad) for c in combos})
+    pixel = [p for p in ("smoothing_k", "close_k") if p in grid]
+    looks = sorted({tuple(float(c[p]) for p in pixel) for c in combos})
+    options = F.array(*[
+        F.struct(
+            F.lit(c.run_tag).alias("run_tag"), F.lit(looks.index(tuple(float(c[p]) for p in pixel))).alias("look"),
+            F.lit(pads.index(int(c["window_pad"])) if "window_pad" in grid else 0).alias("pad"), *[F.lit(float(c[p])).alias(p) for p in grid],
+        )
+        for c in combos
+    ])
+    # pixels and segments once for each way to look at an image, and reading once for each width of its windows
+    views = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(x).alias(p) for p, x in zip(pixel, look, strict=True)]) for k, look in enumerate(looks)])
+    swept = images.select("stem", "h", "w", "data", F.explode(views).alias("v")).select(
+        F.concat_ws("/", "v.k", "stem").alias("stem"), "h", "w", "data", *[f"v.{p}" for p in pixel]
     )
-    found = read_lines(swept, scorer, edges, settings)
-    cut_at = F.instr("stem", "/")
-    found = found.withColumn("run_tag", F.substring("stem", F.lit(1), cut_at - 1)).withColumn("stem", F.substring("stem", cut_at + 1, F.length("stem")))
+    prepared = cut(prepare(swept, settings))
+    segments = cut(segment(prepared, settings))
+    widths = F.posexplode(F.array(*map(F.lit, pads))).alias("__pad", "__width")
+    wide = lambda df: df.select("*", widths).withColumn("stem", F.concat_ws("/", "__pad", "stem"))
+    padded = wide(prepared).withColumn("window_pad", F.col("__width")).drop("__pad", "__width")
+    found = read_segments(padded, wide(segments).drop("__pad", "__width"), scorer, edges, settings)
+    place = F.split("stem", "/", 3)
+    found = found.select(
+        "*", F.get(place, 0).cast("int").alias("__pad"), F.get(place, 1).cast("int").alias("__look"), F.get(place, 2).alias("__stem")
+    ).withColumn("stem", F.col("__stem"))
     rated = metrics.with_rates(metrics.with_labels(found, labels)).filter(metrics.labelled(F.col("ground_truth")))
     ok = lambda c: F.when(F.col("status") == "ok", F.col(c)).alias(c)
-    tag = F.element_at(F.filter(options, lambda o: o["run_tag"] == F.col("run_tag")), 1)
-    return rated.select("stem", "run_tag", tag.alias("o"), ok("cer"), ok("wer")).select("stem", "run_tag", *[f"o.{p}" for p in grid], "cer", "wer")
+    mine = F.filter(options, lambda o: (o["look"] == F.col("__look")) & (o["pad"] == F.col("__pad")))
+    return rated.select("stem", ok("cer"), ok("wer"), F.explode(mine).alias("o")).select("stem", "o.run_tag", *[f"o.{p}" for p in grid], "cer", "wer")
 
 
 def analyse(fact: DataFrame, grid: dict[str, list[float]], tiebreak: str) -> dict[str, DataFrame]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import first_stem, parse_label_line, stem_of, three_tokens, tokens
+from scriptorium.operators.lexicon import prefix_table
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -91,6 +95,9 @@ def parse_errors(rows: DataFrame, params: list[str], order: str) -> DataFrame:
 
 
 def correlation_table(spark: SparkSession, path: str, params: list[str]) -> DataFrame:
+    """(param, r) of the known parameters with a readable r; a missing file gives none, so the default order of influence holds."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "param string, r double")
     rows = spark.read.csv(path, header=True)
     return rows.select(F.trim("Parameter").alias("param"), F.expr("try_cast(Pearson_r_with_CER AS DOUBLE)").alias("r")).filter(
         F.col("param").isin(params) & F.col("r").isNotNull()
@@ -98,9 +105,11 @@ def correlation_table(spark: SparkSession, path: str, params: list[str]) -> Data
 
 
 def ratio_table(spark: SparkSession, path: str, params: list[str]) -> DataFrame:
-    """(a, b, ratio) of a square matrix file; an unreadable cell is 0."""
+    """(a, b, ratio) of a square matrix file; an unreadable or missing cell is 0, and a missing file gives no rows."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "a string, b string, ratio double")
     rows = spark.read.csv(path, header=True).filter(F.trim("param").isin(params))
-    wide = rows.select(F.trim("param").alias("a"), *[F.coalesce(F.expr(f"try_cast(`{p}` AS DOUBLE)"), F.lit(0.0)).alias(p) for p in params])
+    wide = rows.select(F.trim("param").alias("a"), *[(F.coalesce(F.expr(f"try_cast(`{p}` AS DOUBLE)"), F.lit(0.0)) if p in rows.columns else F.lit(0.0)).alias(p) for p in params])
     return wide.unpivot("a", params, "b", "ratio")
 
 
@@ -139,6 +148,50 @@ def load_trie(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*names)
 
 
+def save_trie_json(trie: DataFrame, path: str) -> None:
+    """A prefix table as JSON lines, one for each node (path, f), written by the tasks; f is omitted where no word ends."""
+    ends = F.when(F.col("terminal_freq") > 0, F.col("terminal_freq"))
+    trie.select(F.to_json(F.struct(F.col("prefix").alias("path"), ends.alias("f"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def load_trie_json(spark: SparkSession, path: str) -> DataFrame:
+    """What `save_trie_json` wrote, or one nested object {"tree": node} with nodes {"f": frequency, "c": {cluster: node}}, as a prefix table.
+    A nested object is one value by its format, so one task reads it; a missing file gives an empty table."""
+    if not path_exists(spark, path):
+        return load_trie(spark, path)
+
+    def words(frames):
+        for rows in frames:
+            for text in rows["value"]:
+                record = json.loads(text)
+                if "tree" not in record:
+                    found = [(record["path"], record["f"])] if record.get("f") else []
+                else:
+                    found, open_nodes = [], [([], record["tree"])]
+                    while open_nodes:
+                        prefix, node = open_nodes.pop()
+                        if node.get("f", 0) > 0:
+                            found.append((prefix, node["f"]))
+                        open_nodes += [([*prefix, c], child) for c, child in node.get("c", {}).items()]
+                yield pd.DataFrame(found, columns=["clusters", "n"])
+
+    return prefix_table(spark.read.text(path).filter("trim(value) <> ''").mapInPandas(words, "clusters array<string>, n long"))
+
+
+def font_selection(spark: SparkSession, path: str, fonts: DataFrame | None = None) -> DataFrame:
+    """(font_path, font_stem, tier, font_type) of a selection that an earlier run left, to resume from. A missing font_type is taken from
+    `fonts` (font_stem, font_type), where it is known; a missing file gives no rows."""
+    names = ["font_path", "font_stem", "tier", "font_type"]
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in names))
+    rows = spark.read.csv(path, header=True)
+    rows = rows.select(*[(F.nullif(F.trim(c), F.lit("")) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in names])
+    if fonts is None:
+        return rows
+    known = fonts.groupBy("font_stem").agg(F.min("font_type").alias("__known"))
+    return rows.join(known, "font_stem", "left").withColumn("font_type", F.coalesce("font_type", "__known")).select(*names)
+
+
 def font_files(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
     """(font_path, font_stem, tier) of the font files of each tier's folder; a missing folder has none."""
     out = spark.createDataFrame([], "font_path string, font_stem string, tier string")

@@ -54,13 +54,18 @@ def text_report(summary: DataFrame, title: str) -> str:
     return "\n".join([title, "=" * len(title), *(f"{k:<16} {'-' if v is None else round(v, 2) if isinstance(v, float) else v}" for k, v in row.items())])
 
 
+def number(value: Column, form: str) -> Column:
+    """A number as text, and a dash for null, which formatting would cut to two letters."""
+    return F.when(value.isNull(), "-").otherwise(F.format_string(form, value))
+
+
 def html_report(rated: DataFrame, path: str) -> None:
     """HTML table rows as text files, one line an image, written by the tasks: escaped, with a class for the rate's band."""
     escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     colour = band(F.col("cer"), [(15, "good"), (40, "fair")], "poor")
     line = F.concat(
         F.lit("<tr class='"), colour, F.lit("'><td>"), escaped(F.col("stem")), F.lit("</td><td>"), escaped(F.col("ground_truth")), F.lit("</td><td>"),
-        escaped(F.col("predicted_text")), F.lit("</td><td>"), F.format_string("%.2f", "cer"), F.lit("</td></tr>"),
+        escaped(F.col("predicted_text")), F.lit("</td><td>"), number(F.col("cer"), "%.2f"), F.lit("</td></tr>"),
     )
     rated.select(line.alias("value")).write.mode("overwrite").text(path)
 
