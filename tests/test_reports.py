@@ -85,6 +85,7 @@ def test_glyph_batch(spark):
     none, few = pixels.glyph_skeletons(glyphs.limit(0))
     assert none.count() == few.count() == 0
 
+
 def test_grid_shares_what_is_read(spark):
     image = np.full((32, 80), 255, np.uint8)
     for a in (10, 20, 60):
