@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, line_dedup, ngram_join, ogg, packing, suffix_dedup, topk, toxicity, url_rules
+from scriptorium.llm import bpe, chat, filter_audit, forest, line_dedup, ngram_join, ogg, packing, suffix_dedup, topk, toxicity, url_rules, whitening
 from scriptorium.llm.common import table
 
 #: (verdict, host, path)
@@ -160,6 +160,54 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5
 """
 
+
+
+def op11_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (SELECT text, min(doc_id) AS first_id FROM texts GROUP BY text
+), marks AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT t.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+         (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * len(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 5 * length(t.text) THEN 4 ELSE 0 END)
+         + (CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN t.doc_id > f.first_id THEN 16 ELSE 0 END) AS mask
+  FROM texts t JOIN firsts f ON f.text = t.text LEFT JOIN marks m ON m.doc_id = t.doc_id
+), counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY 1, 2
+), bits(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM bits a, bits b, bits c, bits d, bits e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5
+), steps AS (
+  SELECT o.filter_order, s.step, b.bit, substring(o.filter_order, s.step, 1) AS letter,
+         (SELECT coalesce(sum(x.bit), 0) FROM bits x WHERE strpos(o.filter_order, x.letter) < s.step) AS before
+  FROM orders o CROSS JOIN (SELECT unnest(range(1, 6)) AS step) s JOIN bits b ON b.letter = substring(o.filter_order, s.step, 1)
+), found AS (
+  SELECT c.part, s.filter_order, CAST(s.step AS INTEGER) AS step, s.letter,
+         CAST(sum(CASE WHEN mask & CAST(s.before + s.bit AS BIGINT) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN mask & CAST(s.before AS BIGINT) = 0 AND mask & s.bit > 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN mask & CAST(s.before AS BIGINT) > 0 AND mask & s.bit > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN mask = s.bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN mask & CAST(s.before AS BIGINT) = 0 AND mask & s.bit > 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN mask & CAST(s.before AS BIGINT) = 0 AND mask & s.bit > 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM counts c CROSS JOIN steps s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM found
+"""
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+def op13_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.neighbours(table(spark, sf_dir, "embeddings"), k=5, divisor=50)
+
+
 QUERIES = {
     "op1_ogg_media": op1_ogg_media,
     "op2_chat_round_trip": op2_chat_round_trip,
@@ -171,5 +219,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_rules": op9_url_rules,
     "op10_top_products": op10_top_products,
+    "op11_filter_shapley": op11_filter_shapley,
+    "op12_jacobi_whitening": op12_jacobi_whitening,
+    "op13_projection_forest": op13_projection_forest,
 }
-ORACLES = {"op2_chat_round_trip": OP2_SQL, "op3_ngram_join": OP3_SQL, "op9_url_rules": OP9_SQL, "op10_top_products": OP10_SQL}
+ORACLES = {"op2_chat_round_trip": OP2_SQL, "op3_ngram_join": OP3_SQL, "op9_url_rules": OP9_SQL, "op10_top_products": OP10_SQL, "op11_filter_shapley": OP11_SQL}
