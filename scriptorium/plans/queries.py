@@ -6,13 +6,14 @@ profiles and gaps, order dates as intervals, vectors as logits. All rows of the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import dataset, intervals, lexicon, metrics, recognise, response, search
+from scriptorium.operators import dataset, intervals, lexicon, metrics, recognise, response, scan, search
 from scriptorium.session import table
 from scriptorium.sources.readers import parse_labels, variant_edges
+from scriptorium.sources.shared import cut
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -84,28 +85,11 @@ def q02_wer_pairs(spark, sf_dir):
 @query()
 def q02b_wer_whole(spark, sf_dir):
     """Each document's whole text rated against that of the next by doc_id; a document without words to compare with has 0."""
-    ranked = numbered(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred")), "doc_id")
+    ranked = scan.numbered(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred")), "doc_id")
     other = ranked.select((F.col("k") - 1).alias("k"), F.col("pred").alias("ref"))
     return ranked.join(other, "k").select("doc_id", T.wer_long(F.col("pred"), F.col("ref")).alias("wer"))
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """`rows` with k, their rank by a unique `order`, without bringing them to one task: ranks within ranges, after the earlier ranges' counts."""
-    width = F.floor(F.col(order) / 1024)
-    own = rows.withColumn("__part", width)
-    counts = own.groupBy("__part").agg(F.count("*").alias("n"))
-    # a row per 1,024 ids; their running sum is again taken in two steps
-    counts = counts.withColumn("__high", F.floor(F.col("__part") / 1024))
-    high = counts.groupBy("__high").agg(F.sum("n").alias("n")).withColumn(
-        "__base", F.coalesce(F.sum("n").over(Window.orderBy("__high").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    inner = Window.partitionBy("__high").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__own", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(high.select("__high", "__base"), "__high")
-    starts = starts.select("__part", (F.col("__own") + F.col("__base")).alias("__start"))
-    place = Window.partitionBy("__part").orderBy(order)
-    return own.withColumn("__k", F.row_number().over(place)).join(starts, "__part").withColumn("k", F.col("__k") + F.col("__start")).drop("__part", "__k", "__start")
-
-
 MEAN_SQL = PAIR_SQL + """, means AS (
   SELECT brand, count(*) AS n_images, count(*) FILTER (ref <> '') AS n_labelled, round(avg(cer) FILTER (ref <> ''), 6) AS mean_cer FROM rated GROUP BY brand
 ) """
@@ -194,10 +178,14 @@ def words_of(spark, sf_dir):
     return intervals.adaptive_groups(segments(spark, sf_dir), "user_id", "seg_idx", "gap_after")
 
 
-def groups_of(spark, sf_dir):
-    return words_of(spark, sf_dir).groupBy("user_id", "word_index").agg(
-        F.min("x_start").alias("x_start"), F.max("x_end").alias("x_end"), F.count("*").alias("n_segments")
-    )
+def blobs_and_words(spark, sf_dir):
+    """Blobs, segments and words of the profile, which is computed once, as are the segments."""
+    ink = cut(profile(spark, sf_dir))
+    long = scan.long_keys(ink, "user_id")
+    segs = cut(intervals.adaptive_groups(intervals.true_gaps(ink, "user_id", 3, long=long), "user_id", "seg_idx", "gap_after", long=long))
+    groups = segs.groupBy("user_id", "word_index").agg(F.min("x_start").alias("x_start"), F.max("x_end").alias("x_end"))
+    blobs = ink.filter("ink > 0").select("user_id", F.col("x").alias("x_start"), (F.col("x") + 1 + (F.col("ink") % 2).cast("int")).alias("x_end"))
+    return blobs, segs, groups, long
 
 
 @query(WORDS_SQL + "SELECT user_id, seg_idx, word_index, round(threshold, 6) AS threshold FROM words")
@@ -236,14 +224,10 @@ BLOB_SQL = WORDS_SQL + """, blobs AS (
 """
 
 
-def blob_spans(spark, sf_dir):
-    return profile(spark, sf_dir).filter("ink > 0").select("user_id", F.col("x").alias("x_start"), (F.col("x") + 1 + (F.col("ink") % 2).cast("int")).alias("x_end"))
-
-
 @query(BLOB_SQL + "SELECT * FROM inside")
 def q13_containment(spark, sf_dir):
-    found = intervals.contained(blob_spans(spark, sf_dir), groups_of(spark, sf_dir), "user_id")
-    return found.select("user_id", "word_index", "x_start", "x_end")
+    blobs, _, groups, long = blobs_and_words(spark, sf_dir)
+    return intervals.within_words(blobs, groups, "user_id", long).select("user_id", "word_index", "x_start", "x_end")
 
 
 METHOD_SQL = BLOB_SQL + """, counted AS (
@@ -259,8 +243,8 @@ METHOD_SQL = BLOB_SQL + """, counted AS (
 
 
 def fused(spark, sf_dir):
-    groups = groups_of(spark, sf_dir)
-    return intervals.fuse_segments(segments(spark, sf_dir), blob_spans(spark, sf_dir), groups, "user_id")
+    blobs, segs, groups, long = blobs_and_words(spark, sf_dir)
+    return intervals.fuse_segments(segs, blobs, groups, "user_id", long)
 
 
 @query(METHOD_SQL + "SELECT user_id, seg_idx, word_index, x_start, x_end, method FROM placed")
