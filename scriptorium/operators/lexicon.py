@@ -16,10 +16,11 @@ def corpus_words(lines: DataFrame, column: str = "value") -> DataFrame:
 def segmented(words: DataFrame, units: list[str]) -> DataFrame:
     """(word, n, clusters) of each distinct word: how often it stands, and its clusters, or null where units don't cover it.
 
-    Words are counted before they are cut, so each is cut once; counting combines on the map side.
+    Words are counted before they are cut, so each distinct one is cut and not each token; counting combines on the map side.
     """
     counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    return counted.withColumn("clusters", longest_match(F.col("word"), units))
+    # a condition on n keeps a filter on clusters above the count; below it, every token would be cut
+    return counted.withColumn("clusters", F.when(F.col("n") > 0, longest_match(F.col("word"), units)))
 
 
 def corpus_counts(cut: DataFrame) -> DataFrame:
@@ -73,3 +74,20 @@ def top_branches(trie: DataFrame, n: int = 5) -> DataFrame:
     """The root's children with most words below, by cluster where equal."""
     first = trie.filter("depth = 1").select(F.element_at("prefix", 1).alias("cluster"), "subtree_types")
     return first.orderBy(F.desc("subtree_types"), "cluster").limit(n)
+
+
+def grown(trie: DataFrame, cut: DataFrame) -> DataFrame:
+    """The rows of `trie` (a prefix table) that more text changes, as they are then. `cut` are the words of that text (see `segmented`).
+
+    Frequencies are added at the words' nodes. A word that the trie already ends counts in no subtree again, so types are counted for new words alone. Only
+    nodes on the way to a word are returned; all others stay as they are."""
+    names = ["prefix", "depth", "terminal_freq", "subtree_types"]
+    valid = cut.filter("clusters IS NOT NULL").groupBy("clusters").agg(F.sum("n").alias("n"))
+    ends = trie.filter("terminal_freq > 0").select(F.col("prefix").alias("clusters"), F.lit(0).alias("__new"))
+    words = valid.join(ends, "clusters", "left").withColumn("__new", F.coalesce("__new", F.lit(1)))
+    each = words.select("n", "clusters", "__new", F.explode(F.sequence(F.lit(0), F.size("clusters"))).alias("depth"))
+    own = F.when(F.col("depth") == F.size("clusters"), F.col("n")).otherwise(0)
+    more = each.groupBy(F.slice("clusters", F.lit(1), F.col("depth")).alias("prefix"), "depth").agg(F.sum(own).alias("__freq"), F.sum("__new").alias("__types"))
+    found = more.join(trie.select(*names), ["prefix", "depth"], "left")
+    both = lambda old, new: (F.coalesce(old, F.lit(0)) + F.col(new)).cast("long").alias(old)
+    return found.select("prefix", "depth", both("terminal_freq", "__freq"), both("subtree_types", "__types"))

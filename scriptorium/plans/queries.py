@@ -392,9 +392,20 @@ FACT_SQL = GRID_SQL + """, fact AS (
 """
 
 
-@query(GRID_SQL + "SELECT *, printf('run_%05d', ordinal) AS run_tag FROM grid")
+@query("""
+WITH g AS (
+  SELECT a AS smoothing_k, b AS close_k, c AS window_pad, d AS multi_seg_threshold,
+         CAST(row_number() OVER (ORDER BY a, b, c, d) - 1 AS INTEGER) AS ordinal
+  FROM (SELECT DISTINCT CAST(l_linenumber AS DOUBLE) AS a FROM lineitem), (SELECT DISTINCT CAST(n_regionkey AS DOUBLE) AS b FROM nation),
+       (SELECT DISTINCT CAST(s_nationkey AS DOUBLE) AS c FROM supplier), (SELECT DISTINCT CAST(length(o_orderpriority) AS DOUBLE) AS d FROM orders)
+)
+SELECT *, printf('run_%05d', ordinal) AS run_tag FROM g
+""")
 def q30_grid(spark, sf_dir):
-    return response.grid_frame(spark, response.FULL_GRID)
+    """The grid of the values that four columns hold; a grid's values are few."""
+    columns = [("lineitem", F.col("l_linenumber")), ("nation", F.col("n_regionkey")), ("supplier", F.col("s_nationkey")), ("orders", F.length("o_orderpriority"))]
+    held = [table(spark, sf_dir, name).select(c.cast("double").alias("v")).distinct().orderBy("v").collect() for name, c in columns]
+    return response.grid_frame(spark, {p: [r.v for r in rows] for p, rows in zip(PARAMS, held, strict=True)})
 
 
 def fact(spark, sf_dir):
@@ -709,21 +720,26 @@ def q56_best_so_far(spark, sf_dir):
 
 @query("""
 WITH l AS (
-  SELECT c_custkey AS line_no, CASE c_custkey % 5 WHEN 0 THEN 'no comma here' WHEN 1 THEN '  k' || c_custkey % 97 || ' , "' || c_name || '" '
-         WHEN 2 THEN 'k' || c_custkey % 97 || ',' || c_name || ', with "more"' WHEN 3 THEN '' ELSE 'k' || c_custkey % 97 || ',' END AS v FROM customer
+  SELECT c_custkey * 4 AS line_no, 'no comma ' || c_name AS v FROM customer
+  UNION ALL SELECT c_custkey * 4 + 1, '  ' || c_name || ' , "' || c_mktsegment || '" ' FROM customer
+  UNION ALL SELECT c_custkey * 4 + 2, c_name || ',' || c_mktsegment || ', with "more"' FROM customer WHERE c_acctbal > 0
+  UNION ALL SELECT c_custkey * 4 + 3, c_mktsegment || ',' FROM customer
+  UNION ALL SELECT c_custkey * 4 + 3, '' FROM customer
 ), p AS (
   SELECT line_no, trim(split_part(trim(v), ',', 1)) AS stem, trim(trim(substring(trim(v), instr(trim(v), ',') + 1)), '"') AS ground_truth FROM l WHERE contains(v, ',')
 )
 SELECT stem, arg_max(ground_truth, line_no) AS ground_truth FROM p GROUP BY stem
 """)
 def q57_label_parse(spark, sf_dir):
-    key, name = F.col("c_custkey"), F.col("c_name")
-    stem = F.concat(F.lit("k"), (key % 97).cast("string"))
-    line = (
-        F.when(key % 5 == 0, "no comma here").when(key % 5 == 1, F.concat(F.lit("  "), stem, F.lit(' , "'), name, F.lit('" ')))
-        .when(key % 5 == 2, F.concat(stem, F.lit(","), name, F.lit(', with "more"'))).when(key % 5 == 3, "").otherwise(F.concat(stem, F.lit(",")))
+    """Lines of a label file, several for each customer: without a comma, with spaces and quotes, given anew, without a text, and blank ones."""
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    lines = F.array(
+        F.struct(F.lit(0).alias("n"), F.concat(F.lit("no comma "), name).alias("value")), F.struct(F.lit(1), F.concat(F.lit("  "), name, F.lit(' , "'), segment, F.lit('" '))),
+        F.struct(F.lit(2), F.when(F.col("c_acctbal") > 0, F.concat(name, F.lit(","), segment, F.lit(', with "more"'))).otherwise("")),
+        F.struct(F.lit(3), F.concat(segment, F.lit(","))), F.struct(F.lit(3), F.lit("")),
     )
-    return parse_labels(table(spark, sf_dir, "customer").select(key.alias("line_no"), line.alias("value")))
+    each = table(spark, sf_dir, "customer").select("c_custkey", F.explode(lines).alias("l"))
+    return parse_labels(each.select((F.col("c_custkey") * 4 + F.col("l.n")).alias("line_no"), F.col("l.value").alias("value")))
 
 
 @query("""

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import dataset, metrics, recognise, response, search
+from scriptorium.operators import dataset, lexicon, metrics, recognise, response, scan, search
 from scriptorium.plans import flows
 from scriptorium.plans.queries import (
-    CENSUS_SQL, CORR_SQL, FACT_SQL, ORACLES, PAIR_SQL, PARAMS, anchors, fact, made_up_rate, query, rated_pairs, runs, six,
+    CENSUS_SQL, CHECK_SQL, CORR_SQL, FACT_SQL, ORACLES, PAIR_SQL, PARAMS, UNITS, VARIANTS, anchors, asked_prefixes, fact, made_up_rate, query, rated_pairs, runs, scored, six,
 )
 from scriptorium.session import table
-from scriptorium.sources import readers, sinks
+from scriptorium.sources import prefix_index, readers, shared, sinks
+from scriptorium.sources.readers import variant_edges
 
 NAMES = ", ".join(PARAMS)
 
@@ -97,7 +98,7 @@ def q67_ratio_pivot(spark, sf_dir):
 
 @query(r"""
 WITH w AS (
-  SELECT conv_id, turn, role, list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\s+'), lambda x: x <> '')[1:5] AS p,
+  SELECT conv_id, turn, role, list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\s+'), lambda x: x <> '') AS p,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations
 )
 SELECT conv_id AS stem, CAST(idx AS INTEGER) AS idx, role AS char, CAST(turn AS DOUBLE) AS conf,
@@ -105,8 +106,8 @@ SELECT conv_id AS stem, CAST(idx AS INTEGER) AS idx, role AS char, CAST(turn AS
        CASE WHEN idx = 0 THEN CAST(n AS VARCHAR) END AS ground_truth, CASE WHEN idx = 0 THEN CAST(n AS DOUBLE) END AS cer, CASE WHEN idx = 0 THEN CAST(n + 0.5 AS DOUBLE) END AS wer FROM w
 """)
 def q68_segment_detail(spark, sf_dir):
-    """Conversations as images and turns as recognised units; the first words are a unit's predictions."""
-    guesses = F.transform(F.slice(T.tokens(F.col("text")), 1, 5), lambda w, k: F.struct(w.alias("class"), (100.0 - k).alias("conf")))
+    """Conversations as images and turns as recognised units; a turn's words are its predictions, and a detail row shows the alternatives it has room for."""
+    guesses = F.transform(T.tokens(F.col("text")), lambda w, k: F.struct(w.alias("class"), (100.0 - k).alias("conf")))
     unit = F.struct("turn", F.col("role").alias("char"), F.col("turn").cast("double").alias("conf"), guesses.alias("predictions"))
     results = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("stem")).agg(F.array_sort(F.collect_list(unit)).alias("units"), F.count("*").alias("n"))
     results = results.select("stem", "units", F.col("n").cast("string").alias("ground_truth"), F.col("n").cast("double").alias("cer"), (F.col("n") + 0.5).cast("double").alias("wer"))
@@ -201,3 +202,67 @@ def q78_known_images(spark, sf_dir):
     known = metrics.in_error_table(images, table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("stem")))
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("stem"), "n_name")
     return known.join(names, "stem").groupBy("n_name").agg(F.count("*").alias("n_suppliers"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS rank FROM lineitem
+""")
+def q79_rank_all(spark, sf_dir):
+    """The rank of each of all lines by price, over ranges of the order and not in one task."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
+    ranked = scan.numbered(lines, F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", name="rank")
+    return ranked.select("l_orderkey", "l_linenumber", "rank")
+
+
+BAG = {"right": 13, "left_1": 17, "left_2": 19, "both_1": 23, "both_2": 29}
+TWO_BACK = ("LARGE", "SMALL")
+
+
+@query(CHECK_SQL.replace("WITH edges", "WITH RECURSIVE edges", 1) + """, ready AS (
+  SELECT p_partkey // 50 AS img, p_partkey % 50 AS seg_idx, row_number() OVER w AS k, v.word_index AS word, CASE WHEN p_size % 5 < 2 THEN NULL ELSE v.base END AS base,
+         v.base_conf AS conf, v.merged AS char, v.is_variant AS own, v.valid, v.base_conf >= 95 AS locked, CASE WHEN v.is_variant THEN 2 ELSE 0 END AS bonus,
+         """ + ", ".join(f"CAST(50 + p_partkey * {m} % 50 AS DOUBLE) AS {kind}" for kind, m in BAG.items()) + """,
+         lead(v.word_index) OVER w = v.word_index AS ahead, lag(v.word_index) OVER w = v.word_index AS same_1, lag(v.word_index, 2) OVER w = v.word_index AS same_2
+  FROM part JOIN valid v ON v.img = p_partkey // 50 AND v.seg_idx = p_partkey % 50 WINDOW w AS (PARTITION BY v.img ORDER BY v.seg_idx)
+), bags AS (
+  SELECT *, coalesce(ahead, false) AND NOT locked AND valid AS can_both, coalesce(ahead, false) AND valid AS can_right, NOT locked AND valid AS can_left, base IN ('LARGE', 'SMALL') AS far FROM ready
+), picked AS (
+  SELECT b.*, r.reach, list_sort(list_filter([
+      {'s': -(CASE r.reach WHEN 2 THEN both_2 ELSE both_1 END + bonus), 'o': 0, 'kind': 'both', 'n': 3, 'able': can_both AND r.reach > 0},
+      {'s': -("right" + bonus), 'o': 1, 'kind': 'right', 'n': 2, 'able': can_right}, {'s': -(CASE r.reach WHEN 2 THEN left_2 ELSE left_1 END), 'o': 2, 'kind': 'left', 'n': 2, 'able': can_left AND r.reach > 0},
+      {'s': -conf, 'o': 3, 'kind': 'base', 'n': 1, 'able': true}], lambda c: c.able))[1] AS best
+  FROM bags b, (VALUES (0), (1), (2)) r(reach) WHERE base IS NOT NULL
+), fold(img, k, eaten, gaps, kind, reach) AS (
+  SELECT img, 0, false, 0, '', 0 FROM bags WHERE k = 1
+  UNION ALL
+  SELECT b.img, CAST(b.k AS INTEGER), CASE WHEN f.eaten OR b.base IS NULL THEN false ELSE p.best.kind IN ('right', 'both') END,
+         CASE WHEN b.base IS NOT NULL OR f.eaten THEN 0 ELSE least(f.gaps + 1, 2) END, CASE WHEN f.eaten OR b.base IS NULL THEN '' ELSE p.best.kind END, coalesce(p.reach, 0)
+  FROM fold f JOIN bags b ON b.img = f.img AND b.k = f.k + 1 LEFT JOIN picked p ON p.img = b.img AND p.k = b.k
+   AND p.reach = CASE WHEN b.locked OR f.gaps = 0 OR NOT coalesce(b.same_1, false) THEN 0 WHEN b.far AND f.gaps = 2 AND coalesce(b.same_2, false) THEN 2 ELSE 1 END
+)
+SELECT f.img, CAST(b.seg_idx AS INTEGER) AS idx, CAST(b.seg_idx - CASE WHEN f.kind IN ('left', 'both') THEN f.reach ELSE 0 END AS INTEGER) AS first_idx, CASE f.kind WHEN 'base' THEN b.base ELSE b.char END AS char,
+       CASE f.kind WHEN 'base' THEN conf WHEN 'right' THEN "right" WHEN 'left' THEN CASE f.reach WHEN 2 THEN left_2 ELSE left_1 END ELSE CASE f.reach WHEN 2 THEN both_2 ELSE both_1 END END AS conf,
+       f.kind, CASE f.kind WHEN 'base' THEN 1 WHEN 'both' THEN 3 ELSE 2 END AS n_segs
+FROM fold f JOIN bags b USING (img, k) WHERE f.kind <> ''
+""")
+def q80_candidate_bag(spark, sf_dir):
+    """Units with all their candidates, some segments having none of their own (an empty crop)."""
+    key = F.col("p_partkey")
+    base = scored(spark, sf_dir).select("img", "seg_idx", "word_index", "base", "base_conf", "merged")
+    more = table(spark, sf_dir, "part").select(
+        F.floor(key / 50).alias("img"), (key % 50).alias("seg_idx"), (F.col("p_size") % 5 < 2).alias("empty"), *[(50 + key * m % 50).cast("double").alias(f"{kind}_conf") for kind, m in BAG.items()]
+    )
+    rows = base.join(more, ["img", "seg_idx"]).withColumns({kind: F.col("merged") for kind in BAG}).withColumn("base", F.when(~F.col("empty"), F.col("base")))
+    return recognise.merged_segments(rows.drop("merged", "empty"), variant_edges(spark, VARIANTS), "img", TWO_BACK)
+
+
+@query(ORACLES["q24_prefix_exists"].replace("p.prefix IS NOT NULL OR len(a.prefix) = 0 AS exists", "p.terminal_freq::BIGINT AS terminal_freq, p.subtree_types"))
+def q81_stored_walk(spark, sf_dir):
+    """Nodes looked up in a stored index, which is built from one half of the documents and grown by the other."""
+    docs = table(spark, sf_dir, "documents")
+    path = shared.scratch_path(spark, "prefixes")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
+    for part in (docs.filter(F.coalesce(half, F.lit(False))), docs.filter(~F.coalesce(half, F.lit(False)))):
+        prefix_index.insert(spark, path, lexicon.segmented(lexicon.corpus_words(part, "text"), UNITS))
+    found = prefix_index.walk(prefix_index.open_index(spark, path), asked_prefixes(spark))
+    return found.select(F.array_join("prefix", ".").alias("prefix"), "terminal_freq", "subtree_types")

@@ -47,6 +47,15 @@ def class_folders(spark: SparkSession, folder: str) -> DataFrame:
     return files.join(ranks, "label")
 
 
+def file_order() -> F.Column:
+    """The order in which rows of several files were written: the file's time, its name, the place of the block in it, and the row's place in the block.
+    For a scan's own rows. (How Spark deals files to tasks, which numbers of rows follow, goes by their size.)"""
+    return F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+
+
 def parse_labels(lines: DataFrame, value: str = "value", order: str = "line_no") -> DataFrame:
     """(stem, ground_truth) of label lines: the last line of a key counts; lines without a comma and a byte-order mark are dropped."""
     key, text = parse_label_line(F.regexp_replace(F.trim(F.col(value)), "^﻿", ""))
@@ -55,15 +64,15 @@ def parse_labels(lines: DataFrame, value: str = "value", order: str = "line_no")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, ground_truth) of a label file; see `parse_labels`."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """(stem, ground_truth) of a label file, or of several, of which the later ones count; see `parse_labels`."""
+    lines = spark.read.text(path).withColumn("line_no", file_order())
     return parse_labels(lines)
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:
     """(stem, text) of a baseline CSV (file_name, text); the stem is what stands before the first dot, and the last row counts."""
     rows = spark.read.csv(path, header=True, schema="file_name string, text string", multiLine=True, escape='"')
-    rows = rows.filter("file_name IS NOT NULL").withColumn("__order", F.monotonically_increasing_id())
+    rows = rows.withColumn("__order", file_order()).filter("file_name IS NOT NULL")
     return rows.groupBy(first_stem(F.col("file_name")).alias("stem")).agg(F.max_by(F.coalesce("text", F.lit("")), "__order").alias("text"))
 
 
@@ -83,7 +92,7 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def error_table(spark: SparkSession, path: str, params: list[str]) -> DataFrame:
     """(stem, parameters, cer): blank stems and unreadable parameters are dropped, a missing rate is 100, the last of equal keys counts."""
-    return parse_errors(spark.read.csv(path, header=True).withColumn("__order", F.monotonically_increasing_id()), params, "__order")
+    return parse_errors(spark.read.csv(path, header=True).withColumn("__order", file_order()), params, "__order")
 
 
 def parse_errors(rows: DataFrame, params: list[str], order: str) -> DataFrame:

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import band
 
 
-def append_rates(rated: DataFrame, path: str) -> None:
-    """Appends a run's rows (run_tag, stem, cer, wer, ...) as Parquet by run_tag; rates have four decimals."""
+def append_rates(rated: DataFrame, path: str, batch: str = "0") -> None:
+    """Adds a run's rows (run_tag, stem, cer, wer, ...) to a Parquet table, in folders by run_tag and `batch`; rates have four decimals.
+
+    A job that is run again replaces what it wrote before under its run_tag and batch, so a repeated append doesn't double rows. Parts of one run that are
+    written one after the other have batches of their own."""
     rates = {c: F.bround(c, 4) for c in ("cer", "wer") if c in rated.columns}
-    rated.withColumns(rates).write.mode("append").partitionBy("run_tag").parquet(path)
+    out = rated.withColumns(rates | {"batch": F.lit(batch)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("run_tag", "batch").parquet(path)
 
 
 def write_csv(rows: DataFrame, path: str, *order: Column | str) -> None:

@@ -157,30 +157,6 @@ def test_pattern_search(spark):
     assert settings.steps["smoothing_k"] == 3.0 and len(settings.diagonals) == 0 or settings.diagonals == (("smoothing_k", "window_pad"),) or settings.diagonals == (("window_pad", "smoothing_k"),)
 
 
-def fold_model(rows):
-    out, k = [], 0
-    while k < len(rows):
-        idx, char, conf, merged, mconf, valid, own = rows[k]
-        if valid and mconf + (2 if own else 0) >= conf:
-            out.append((idx, merged, mconf, 2))
-            k += 2
-        else:
-            out.append((idx, char, conf, 1))
-            k += 1
-    return out
-
-
-def test_merge_fold(spark):
-    rng = random.Random(2)
-    cases = [[(0, "b", 90.0, "m", 88.0, True, True), (1, "c", 50.0, None, None, False, False)], []]
-    for _ in range(100):
-        n = rng.randint(1, 8)
-        cases.append([(k, "a", float(rng.randint(0, 9)), "m", float(rng.randint(0, 9)), rng.random() < 0.5 and k < n - 1, rng.random() < 0.5) for k in range(n)])
-    frame = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, c array<struct<idx:int,char:string,conf:double,merged:string,merged_conf:double,valid:boolean,is_variant:boolean>>")
-    for r in frame.select("k", recognise.merge_fold(F.col("c")).alias("out")).collect():
-        assert [tuple(x) for x in r.out] == fold_model(cases[r.k])
-
-
 def test_recognition(spark):
     edges = readers.variant_edges(spark, {"A": ["AB"], "C": []})
     rows = [("i", 0, 0, "A", 96.0, "AB", 95.0), ("i", 1, 0, "C", 90.0, "AB", 99.0), ("i", 2, 1, "C", 50.0, "AB", 60.0), ("i", 3, 1, "A", 97.0, "ZZ", 99.9)]
