@@ -99,25 +99,25 @@ def pattern_search_log(
     in probe order. A sweep without gain halves the image's steps, and the image rests when the tie-break parameter's step
     falls under SETTLED_STEP, its probes run out, or it has had `max_hops` evaluations. `score` maps
     (stem, ordinal, note, parameters) to the same rows with `cer` (null for a failure). All images advance together: a sweep is one plan, and
-    there are at most max_hops sweeps with evaluations, each after the last one's rows are cut from their lineage. No point of an image is scored twice: what was
-    scored is kept, and a later sweep that comes back to it takes its rate from there. It counts as an evaluation all the same, as it does in the log.
+    there are at most max_hops sweeps with evaluations, each after the last one's rows are cut from their lineage. No point of an image is scored twice: its points so far,
+    max_hops and the start at most, stay with its state, and a later sweep that comes back to one takes its rate from there. It counts as an evaluation all the same, as it does in the log.
     """
     settings = settings or SearchSettings()
     steps = {f"step_{p}": F.lit(float(settings.steps[p])) for p in PARAMS}
     state = start.select("stem", *PARAMS, F.col("cer").cast("double").alias("best_cer")).withColumns(steps)
-    state = cut(state.withColumn("hops", F.lit(0)).withColumn("live", F.lit(True)))
-    point = ["stem", *PARAMS]
-    known = start.select("stem", *[F.col(p).cast("double").alias(p) for p in PARAMS], F.col("cer").cast("double").alias("cer")).dropDuplicates(point)
+    point = lambda rate: F.struct(*[F.col(p).cast("double").alias(p) for p in PARAMS], F.col(rate).cast("double").alias("cer"))
+    state = cut(state.withColumn("hops", F.lit(0)).withColumn("live", F.lit(True)).withColumn("seen", F.array(point("best_cer"))))
     logs = []
     while not state.filter("live").isEmpty():
         centres = state.filter("live").select("stem", *PARAMS, *steps)
         tried = probes(centres, settings)
         budget = Window.partitionBy("stem").orderBy("ordinal")
-        tried = tried.join(state.select("stem", "hops"), "stem").withColumn("__n", F.row_number().over(budget) + F.col("hops"))
-        tried = cut(tried.filter(F.col("__n") <= max_hops).drop("__n", "hops"))
-        fresh = cut(score(tried.join(known.select(*point), point, "left_anti")).withColumn("cer", F.col("cer").cast("double")))
-        tried = tried.join(known, point).unionByName(fresh.select(*tried.columns, "cer"))
-        known = known.unionByName(fresh.select(*point, "cer"))
+        names = tried.columns
+        tried = tried.join(state.select("stem", "hops", "seen"), "stem").withColumn("__n", F.row_number().over(budget) + F.col("hops"))
+        here = F.filter("seen", lambda s: reduce(lambda a, b: a & b, [s[p] == F.col(p) for p in PARAMS]))
+        tried = tried.filter(F.col("__n") <= max_hops).withColumn("__seen", F.get(here, F.lit(0)))
+        fresh = cut(score(tried.filter("__seen IS NULL").select(*names)).select(*names, F.col("cer").cast("double").alias("cer")))
+        tried = tried.filter("__seen IS NOT NULL").select(*names, "__seen.cer").unionByName(fresh)
         got = tried.groupBy("stem").agg(
             F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ordinal", "cer", *PARAMS, "note"))).alias("tried")
         )
@@ -138,12 +138,14 @@ def pattern_search_log(
         )
         joined = joined.withColumn("__best", F.col("__done.best")).withColumn("__gain", F.col("__best.cer") < F.col("best_cer"))
         joined = joined.withColumn("hops", F.col("hops") + F.coalesce("n", F.lit(0)).cast("int"))
+        told = F.transform("tried", lambda t: F.struct(*[t[p].alias(p) for p in PARAMS], t["cer"].alias("cer")))
+        joined = joined.withColumn("seen", F.concat("seen", F.coalesce(told, F.array().cast(state.schema["seen"].dataType))))
         dry = F.col("live") & ~F.col("__gain")
         for name in steps:
             joined = joined.withColumn(name, F.when(dry, F.col(name) * 0.5).otherwise(F.col(name)))
         settled = dry & (F.col(f"step_{settings.tiebreak}") < SETTLED_STEP)
         alive = F.col("live") & F.col("n").isNotNull() & (F.col("hops") < max_hops) & ~settled
-        state = joined.select("stem", *[F.col(f"__best.{p}").alias(p) for p in PARAMS], F.col("__best.cer").alias("best_cer"), *steps, "hops", alias_bool(alive))
+        state = joined.select("stem", *[F.col(f"__best.{p}").alias(p) for p in PARAMS], F.col("__best.cer").alias("best_cer"), *steps, "hops", alias_bool(alive), "seen")
     found = state.select("stem", *PARAMS, "best_cer", "hops")
     if not logs:  # nothing was tried
         blank = start.filter(F.lit(False)).select(

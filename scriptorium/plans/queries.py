@@ -733,11 +733,11 @@ SELECT stem, arg_max(ground_truth, line_no) AS ground_truth FROM p GROUP BY stem
 def q57_label_parse(spark, sf_dir):
     """Lines of a label file, several for each customer: without a comma, with spaces and quotes, given anew, without a text, and blank ones."""
     name, segment = F.col("c_name"), F.col("c_mktsegment")
-    lines = F.array(
-        F.struct(F.lit(0).alias("n"), F.concat(F.lit("no comma "), name).alias("value")), F.struct(F.lit(1), F.concat(F.lit("  "), name, F.lit(' , "'), segment, F.lit('" '))),
-        F.struct(F.lit(2), F.when(F.col("c_acctbal") > 0, F.concat(name, F.lit(","), segment, F.lit(', with "more"'))).otherwise("")),
-        F.struct(F.lit(3), F.concat(segment, F.lit(","))), F.struct(F.lit(3), F.lit("")),
-    )
+    given = [
+        (0, F.concat(F.lit("no comma "), name)), (1, F.concat(F.lit("  "), name, F.lit(' , "'), segment, F.lit('" '))),
+        (2, F.when(F.col("c_acctbal") > 0, F.concat(name, F.lit(","), segment, F.lit(', with "more"'))).otherwise("")), (3, F.concat(segment, F.lit(","))), (3, F.lit("")),
+    ]
+    lines = F.array(*[F.struct(F.lit(n).alias("n"), line.alias("value")) for n, line in given])
     each = table(spark, sf_dir, "customer").select("c_custkey", F.explode(lines).alias("l"))
     return parse_labels(each.select((F.col("c_custkey") * 4 + F.col("l.n")).alias("line_no"), F.col("l.value").alias("value")))
 
