@@ -1,8 +1,8 @@
 """Substring deduplication by hashing lines, the sentences in them, and short ones joined with their neighbours.
 
-A text's lines are cut at sentence ends. A unit is a line, or the shortest run of neighbouring sentences, that has at least
-`min_words` words; a run begins or ends at each sentence, and a long sentence is a run by itself, so no
-text lies outside all units, but for texts that are shorter than a unit. Every stretch of whole sentences with `min_words` words, so
+A text's lines are cut at sentence ends. A unit is a line of at least `line_words` words, or the shortest run of neighbouring sentences that has at least
+`min_words` words, or a whole text that is shorter than such a run. A run begins or ends at each sentence, and a long sentence is a run by itself, so no
+text lies outside all units. Every stretch of whole sentences with `min_words` words, so
 every paragraph too, is covered by the units that lie in it. Units are normalised and hashed with their
 offsets, and the digests are grouped over all documents; the occurrence that ranks first (least doc_id, then text key,
 then offset) stays, and the others are cut out of their texts. What was cut is told as offsets into the original text.
@@ -31,7 +31,7 @@ SENTENCE_END = re.compile(r"[.!?]+\s+|[。！？]+\s*")
 #: Thai, Lao, Myanmar, Khmer, kana and ideographs: scripts without spaces, each character of which counts as a word.
 SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 ROWS = 512
-MIN_WORDS = 15
+MIN_WORDS, LINE_WORDS = 15, 10
 
 
 def count_words(words: list[str]) -> int:
@@ -40,7 +40,7 @@ def count_words(words: list[str]) -> int:
 
 
 def sentences(text: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, int]]]:
-    """((start, end, normalised, words) of each sentence, the first and last sentence of each line that has several). Blank ones are left out."""
+    """((start, end, normalised, words) of each sentence, the first and last sentence of each line). Blank ones are left out."""
     found: list[tuple[int, int, str, int]] = []
     lines, at = [], 0
     for line in text.split("\n"):
@@ -50,17 +50,19 @@ def sentences(text: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[in
             if words:
                 found.append((at + begin, at + end, " ".join(words), count_words(words)))
             begin = end
-        if len(found) - first > 1:
+        if len(found) > first:
             lines.append((first, len(found) - 1))
         at += len(line) + 1
     return found, lines
 
 
-def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
+def units(text: str, min_words: int, line_words: int = LINE_WORDS) -> list[tuple[int, int, str]]:
     """(start, end, normalised) of each unit, each once. A span is without the line break at its end."""
     found, lines = sentences(text)
     upto = [0, *accumulate(x[3] for x in found)]
-    runs = {(a, b) for a, b in lines if upto[b + 1] - upto[a] >= min_words}
+    runs = {(a, b) for a, b in lines if upto[b + 1] - upto[a] >= min(min_words, line_words)}
+    if found and upto[-1] < min_words:
+        runs.add((0, len(found) - 1))
     for k in range(len(found)):
         b = bisect_left(upto, upto[k] + min_words) - 1  # the run that begins here
         if b < len(found):
@@ -76,7 +78,7 @@ DIGEST = ["d1", "d2"]
 FILTER_BITS = 26
 
 
-def unit_digests(keyed: DataFrame, min_words: int, bitmap=None) -> DataFrame:
+def unit_digests(keyed: DataFrame, min_words: int, line_words: int, bitmap=None) -> DataFrame:
     """The digest (d1, d2) of each unit; with a broadcast `bitmap`, also doc_id, text_key, start and end, of the units whose digest's bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +87,7 @@ def unit_digests(keyed: DataFrame, min_words: int, bitmap=None) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 of, starts, ends, digests = [], [], [], []
                 for k, text in enumerate(part["text"].to_pylist()):
-                    for start, end, unit in units(text or "", min_words):
+                    for start, end, unit in units(text or "", min_words, line_words):
                         of.append(k)
                         starts.append(start)
                         ends.append(end)
@@ -106,15 +108,19 @@ def unit_digests(keyed: DataFrame, min_words: int, bitmap=None) -> DataFrame:
     return keyed.mapInArrow(run, shape)
 
 
-def repeated_bits(keyed: DataFrame, min_words: int):
+def repeated_bits(keyed: DataFrame, min_words: int, line_words: int):
     """A broadcast bitmap of 2 ** FILTER_BITS bits, one set for each digest that occurs more than once; words of it are all that reaches the driver."""
-    repeated = unit_digests(keyed.select("text"), min_words).groupBy(*DIGEST).agg(F.count("*").alias("n")).filter("n > 1")
-    bit = F.col("d1").bitwiseAND((1 << FILTER_BITS) - 1)
-    word = repeated.select(F.shiftright(bit, 5).alias("word"), bit.bitwiseAND(31).cast("int").alias("bit"))
+    repeated = unit_digests(keyed.select("text"), min_words, line_words).groupBy(*DIGEST).agg(F.count("*").alias("n")).filter("n > 1")
+    return bits_of(repeated, F.col("d1").bitwiseAND((1 << FILTER_BITS) - 1))
+
+
+def bits_of(rows: DataFrame, bit):
+    """A broadcast bitmap of 2 ** FILTER_BITS bits, with those set that `rows` have."""
+    word = rows.select(F.shiftright(bit, 5).alias("word"), bit.bitwiseAND(31).cast("int").alias("bit"))
     words = word.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     bitmap = np.zeros(1 << (FILTER_BITS - 5), np.int64)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return keyed.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32))
+    return rows.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -153,25 +159,44 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": [x[0] for x in found], "spans": [[{"start": a, "end": b} for a, b in x[1]] for x in found]})
 
 
-def dedup_units(documents: DataFrame, min_words: int = MIN_WORDS, spans_col: str = "removed_spans") -> DataFrame:
+def dedup_units(documents: DataFrame, min_words: int = MIN_WORDS, spans_col: str = "removed_spans", line_words: int = LINE_WORDS) -> DataFrame:
     """All columns of `documents`, `text` without its repeated units, and `spans_col` appended: what was cut, as
     [start, end) in characters of the original text (a column of this name is replaced).
 
     Units are equal if their lower-cased words are; see above for what a unit is. Of equal units the
     first by doc_id (null first), text key and offset stays. Equal rows (same id and text) are one document: all of
     them keep or lose the same. Null texts stay null and empty texts empty, with no spans; no row is dropped, and an empty table
-    stays empty. Texts of any length are read whole. Other columns pass unchanged, whatever their names.
+    stays empty. Texts of any length are read whole. Other columns pass unchanged, whatever their names. Documents that lose nothing are not shuffled, but for
+    those that a bitmap takes for others.
     """
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    found = cut(unit_digests(keyed, min_words, repeated_bits(keyed, min_words)))
+    found = cut(unit_digests(keyed, min_words, line_words, repeated_bits(keyed, min_words, line_words)))
     place = F.struct("doc_id", "text_key", "start")
     first = found.groupBy(*DIGEST).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
     first = cut(first.filter("first <> last").select(*DIGEST, "first", "n"))
     repeats = spread_join(found, first.drop("n"), DIGEST, hot_keys(first, DIGEST)).filter(place > F.col("first"))
-    spans = repeats.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    own_id, own_key, own_spans, own_cut = (free_name(x, documents) for x in ("id", "key", "spans", "cut"))
-    spans = spans.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("spans").alias(own_spans))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (text_key(F.col("text")) == F.col(own_key))
-    marked = documents.join(spans, same, "left").withColumn(own_cut, F.pandas_udf(_cut, "text string, spans array<struct<start:int,end:int>>")(F.col("text").cast("string"), own_spans))
-    columns = [F.col(f"{own_cut}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c != spans_col]
-    return marked.select(*columns, F.col(f"{own_cut}.spans").alias(spans_col))
+    own_key, own_spans, own_cut = (free_name(x, documents) for x in ("key", "spans", "cut"))
+    row_key = lambda doc_id, key: F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")).cast("binary"), F.lit(b":"), key)))
+    spans = repeats.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias(own_spans))
+    spans = cut(spans.select(row_key(F.col("doc_id"), F.col("text_key")).alias(own_key), own_spans))
+    shared = bits_of(spans, F.pmod(F.xxhash64(own_key), F.lit(1 << FILTER_BITS)))
+
+    @F.pandas_udf("boolean")
+    def may_lose(bits):
+        x = bits.to_numpy(np.int64)
+        return pd.Series((shared.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1)
+
+    own_flag = free_name("may", documents)
+    told = documents.withColumn(own_key, row_key(F.col("doc_id").cast("long"), text_key(F.col("text"))))
+    told = told.withColumn(own_flag, may_lose(F.pmod(F.xxhash64(own_key), F.lit(1 << FILTER_BITS))))
+    names = [c for c in documents.columns if c != spans_col]
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in names])
+    losing = told.filter(F.col(own_flag)).select(own_key, row.alias(own_flag))
+    sizes = losing.groupBy(own_key).agg(F.count("*").alias("n"))
+    marked = spread_join(losing, spans, [own_key], hot_keys(sizes, [own_key]), "left")
+    marked = marked.withColumn(own_cut, F.pandas_udf(_cut, "text string, spans array<struct<start:int,end:int>>")(F.col(f"{own_flag}.text").cast("string"), own_spans))
+    kept = {c: F.col(own_flag)[c].alias(c) for c in names} | {"text": F.col(f"{own_cut}.text").alias("text")}
+    changed = marked.select(*[kept[c] for c in names], F.col(f"{own_cut}.spans").alias(spans_col))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    same = told.filter(~F.col(own_flag)).select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in names], none.alias(spans_col))
+    return same.unionByName(changed)

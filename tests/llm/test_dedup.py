@@ -165,7 +165,7 @@ def size_model(words):
     return sum(1 + sum("\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" for c in w) for w in words)
 
 
-def lines_model(rows, least=line_dedup.MIN_WORDS):
+def lines_model(rows, least=line_dedup.MIN_WORDS, line_least=line_dedup.LINE_WORDS):
     """Texts and spans by comparing word lists: no hashes, and runs found by trying all."""
     seen, out = set(), []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())):
@@ -178,7 +178,7 @@ def lines_model(rows, least=line_dedup.MIN_WORDS):
             for j in range(i, len(pieces)):
                 total = sum(sizes[i : j + 1])
                 shortest = total >= least and (total - sizes[j] < least or total - sizes[i] < least)
-                if shortest or (total >= least and begins_line and j == line_end):
+                if shortest or (total >= line_least and begins_line and j == line_end) or (j - i + 1 == len(pieces) and total < least):
                     own.append((pieces[i][0], pieces[j][1], tuple(w for p in pieces[i : j + 1] for w in p[2])))
                 elif total - sizes[i] - sizes[j] > least and j > line_end:
                     break
@@ -207,7 +207,7 @@ def test_units():
     assert sorted(line_dedup.units(text, 3)) == [(0, 21, "one two three four."), (0, 30, "one two three four. five six!"), (21, 38, "five six! a b c"), (32, 38, "a b c"), (32, 43, "a b c last")]
     for a, b, unit in line_dedup.units(text, 1):
         assert " ".join(text[a:b].lower().split()) == unit
-    assert line_dedup.units("too short", 3) == line_dedup.units("", 1) == []
+    assert line_dedup.units("too short", 3) == [(0, 9, "too short")] and line_dedup.units(" \n", 1) == []
 
 
 def test_cut_spans():
@@ -254,6 +254,21 @@ def test_dedup_of_short_lines_and_sentences(spark):
         assert kept == [around(1, passage), "own 2\nother 2", "own 3\nother 3"]
 
 
+def test_dedup_of_lines_and_of_short_texts(spark):
+    line = " ".join(f"w{k}" for k in range(14))
+    assert without_repeats(spark, f"one a\n{line}\ntwo b", f"three c\n{line}", f"{line}\nfour d") == [f"one a\n{line}\ntwo b", "three c", "four d"]
+    assert without_repeats(spark, "ten words or so", "Ten words  or so", "others") == ["ten words or so", "", "others"]
+
+
+def test_many_equal_rows(spark):
+    """Rows of one id and text are one document, however many; they lose the same, and their key is dealt over tasks."""
+    line = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, f"{line}\nfirst")] + [(2, f"own\n{line}")] * 600 + [(None, "x y z")] * 300 + [(k, f"text {k} alone") for k in range(3, 200)]
+    got = line_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "text").count().collect()
+    assert {(r.doc_id, r.text, r["count"]) for r in got if r.doc_id is None or r.doc_id < 3} == {(1, f"{line}\nfirst", 1), (2, "own", 600), (None, "x y z", 300)}
+    assert len(got) == 200
+
+
 def test_dedup_of_paragraphs(spark):
     paragraph = "to the sea we sail\nof the night we sing\nand so go we all"  # fifteen words in three lines
     assert without_repeats(spark, f"a b\n\n{paragraph}\n\nc", f"d\n\n{paragraph}\n \ne") == [f"a b\n\n{paragraph}\n\nc", "d\n\n \ne"]
