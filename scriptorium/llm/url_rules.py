@@ -64,14 +64,19 @@ def choose_bounds(keys: list[bytes], blocks: int) -> list[bytes]:
     return [keys[len(keys) * k // blocks] for k in range(1, blocks)] if keys else []
 
 
+def block_of(key: Column, row: Column, bounds: list[bytes]) -> Column:
+    """The block of a point. Rows without a key, and those of a key that stands at several bounds, are dealt by a hash of `row`, the number that
+    the row was given when it was read: a task that runs again deals them alike, in whatever order they reach it."""
+    below, upto = _count_below(bounds, key, False), _count_below(bounds, key, True)
+    scatter = F.xxhash64(row)
+    return F.when(key.isNull(), F.pmod(scatter, F.lit(len(bounds) + 1))).otherwise(upto - F.pmod(scatter, F.greatest(upto - below, F.lit(1)))).cast("int")
+
+
 def sweep(points: DataFrame, intervals: DataFrame, bounds: list[bytes], levels: int | None) -> DataFrame:
-    """`points` (with `__key`, binary; null lies in no interval) with `__open`: the rules of the intervals that hold the key. `intervals` are
+    """`points` (with `__key`, binary; null lies in no interval; and `__row`, long) with `__open`: the rules of the intervals that hold the key. `intervals` are
     (start, end, rule), nested or disjoint, each once. With `levels`, the stack as an array, outermost first, where
     `levels` is at least its greatest height; without, its top."""
-    below, upto = _count_below(bounds, F.col("__key"), False), _count_below(bounds, F.col("__key"), True)
-    scatter = F.xxhash64(F.monotonically_increasing_id())
-    block = F.when(F.col("__key").isNull(), F.pmod(scatter, F.lit(len(bounds) + 1))).otherwise(upto - F.pmod(scatter, F.greatest(upto - below, F.lit(1))))
-    points = points.withColumn("__block", block.cast("int"))
+    points = points.withColumn("__block", block_of(F.col("__key"), F.col("__row"), bounds))
     points = points.withColumns({"__key": F.coalesce("__key", F.lit(b"")), "__kind": F.lit(POINT), "__rule": F.lit(None).cast(intervals.schema["rule"].dataType)})
     low = F.least(_count_below(bounds, F.col("start"), False) + 1, _count_below(bounds, F.col("start"), True))
     told = intervals.withColumn("__block", F.explode(F.sequence(low, _count_below(bounds, F.col("end"), False))))
@@ -100,8 +105,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", block
 
     Null or malformed urls have an empty host and path and no rule. Repeated rows are all returned, and rows without an
     id are rows; other columns are ignored, whatever their names. Texts of any length count whole. Of two rules with one host and path,
-    block counts; a null host or path of a rule is empty. Empty pages give no rows; without rules all rows have the default.
-    `blocks` (as many as shuffle partitions, if not given) changes the plan, not the result.
+    block counts; of two rules of equal length that both fit (a longer host with a shorter path), that with the greater string. A null
+    host or path of a rule is empty. Empty pages give no rows; without rules all rows have the default.
+    `blocks` (as many as shuffle partitions, if not given) changes the plan, not the result. Rows are numbered where `pages` is read, so
+    it should come from files: those of a frame that is itself shuffled may get other numbers when a task runs again.
     """
     spark = pages.sparkSession
     blocks = blocks or min(MOST_BLOCKS, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -135,15 +142,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", block
     # SAMPLED keys a block, of KEY_BYTES at most, are all that reaches the driver
     sample = pages.select(F.substring("host", 1, KEY_BYTES).alias("host"), F.substring("path", 1, KEY_BYTES).alias("path"))
     sample = sample.orderBy(F.xxhash64(F.monotonically_increasing_id())).limit(SAMPLED * blocks)
-    drawn = spark.createDataFrame(sample.collect(), sample.schema)
+    drawn = spark.createDataFrame(sample.collect(), sample.schema).withColumn("__row", F.lit(0).cast("long"))
     bounds = choose_bounds(collected(host_key(F.col("host")).cast("binary"), drawn), blocks)
     path_bounds = choose_bounds(collected(F.col("__key"), by_host(drawn, bounds)), blocks)
 
-    grain = F.pmod(F.monotonically_increasing_id(), F.lit(GRAINS)).cast("int")
-    swept = sweep(by_host(pages.withColumn("__grain", grain), bounds), paths, path_bounds, None)
-    best = swept.groupBy("__id", "host", "path", "__grain").agg(
+    numbered = pages.withColumn("__row", F.monotonically_increasing_id())
+    swept = sweep(by_host(numbered, bounds), paths, path_bounds, None)
+    best = swept.withColumn("__grain", F.pmod("__row", F.lit(GRAINS)).cast("int")).groupBy("__id", "host", "path", "__grain").agg(
         F.sum(F.col("__rule_host").isNull().cast("long")).alias("rows"), F.max("__open").alias("best")
     )
-    return best.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select(
+    return best.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select(
         F.col("__id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )

@@ -163,6 +163,17 @@ def test_url_rules(spark):
     assert "Python" not in nodes and "Pandas" not in nodes and "Arrow" not in nodes
 
 
+def test_url_rows_are_dealt_alike_in_any_order(spark):
+    """A task that runs again may meet its rows in another order: each still goes to the block it went to before."""
+    rows = [(k, None if k % 3 else b"hot" if k % 2 else str(k).encode()) for k in range(3000)]
+    bounds, blocks = [b"2", b"hot", b"hot", b"hot", b"z"], []
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[0] * 7919 % 3001)):
+        points = spark.createDataFrame(order, "row long, key binary").repartition(3, "key")
+        blocks.append({r.row: r.block for r in points.select("row", url_rules.block_of(F.col("key"), F.col("row"), bounds).alias("block")).collect()})
+    assert blocks[0] == blocks[1] == blocks[2]
+    assert {blocks[0][k] for k, key in rows if key is None} == set(range(6)) and {blocks[0][k] for k, key in rows if key == b"hot"} == {2, 3, 4}
+
+
 def test_url_query(spark, sf_dir):
     assert_same(queries.op9_url_rules(spark, sf_dir), queries.ORACLES["op9_url_rules"], sf_dir)
 
