@@ -1,22 +1,21 @@
-"""Removal of repeated substrings by distributed prefix doubling over sampled positions.
+"""Removal of repeated substrings by names of growing lengths over sampled positions.
 
-A string of `LENGTH` bytes is a repeat if it also starts elsewhere. Spark sorts pairs (rank so far, name of a longer string at
-the position), numbers the sorted pairs anew, and drops positions once they are unique or past LENGTH bytes. A rank for every
-byte position, at every doubling, would move the corpus some forty times over (a row of 40 bytes for each byte), so the
-positions are sampled first and become single only where that is needed:
+This is not prefix doubling: nothing ranks positions by sorted pairs. Positions are grouped by names (hashes) of ever longer strings
+at them, and drop out once they are unique or past LENGTH bytes. Ranks of every byte position at every doubling would need a row of some 40 bytes for
+each byte of text, so the positions are sampled first and become single only where that is needed:
 
 1. Of each string of LENGTH bytes, the place of its least named substring of `GRAM` bytes is its anchor. Equal strings have their
-   anchors at equal offsets, and an anchor serves a run of consecutive strings. Anchors are ranked by their
-   GRAM bytes; those that stand nowhere else are unique, and so are all their strings.
-2. Pairs (rank, hull), a hull being all strings of an anchor's run together: if it repeats, all its strings do. Ranks with
+   anchors at equal offsets, and an anchor serves a run of consecutive strings. Anchors with equal GRAM bytes are a
+   family; those that stand nowhere else are unique, and so are all their strings.
+2. Within a family, hulls are grouped, a hull being all strings of an anchor's run together: if it repeats, all its strings do. Families with
    hulls that differ, one of them single, stay open, and of equal hulls one stays as a source.
-3. Open runs are cut at a fixed grid of `STEP` offsets. Pairs (rank, core), a core being the LENGTH - STEP + 1 bytes that all strings of
-   a cell share: unique ones drop out, and open ones are ranked anew, by pairs (core, hull of the cell).
-4. Pairs (rank, string of LENGTH bytes) for the single positions that are left.
+3. Open runs are cut at a fixed grid of `STEP` offsets. Within a family, cells are grouped by core, the LENGTH - STEP + 1 bytes that all strings of
+   a cell share: unique ones drop out, and open ones are families anew, by core, of which the cells' hulls are grouped.
+4. Within these families, the strings of LENGTH bytes of the single positions that are left are grouped.
 
 Names of 1, 2, 4, ... 128 bytes come by doubling where the text is read, a name being that of the pair of its halves' names.
 What decides a repeat is named twice with 64 bits, so equality is by 128 bits; texts are told apart by 128 bits (MD5 of
-id and text). A rank, hull or core that holds a great share of all rows is dealt over several tasks (`spread_join`).
+id and text). A family, hull or core that holds a great share of all rows is dealt over several tasks (`spread_join`).
 """
 
 from __future__ import annotations
@@ -166,19 +165,19 @@ class _Stored:
             drop_stored(self.spark, path)
 
 
-def _ranked(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups (keys..., n) with `ranked`: their place in Spark's sorted order of the keys."""
-    return groups.select(*keys, "n").orderBy(*keys).withColumn("ranked", F.monotonically_increasing_id())
+def _numbered(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups (keys..., n) with `number`, a short name of each, in no order. They are to be written once before the numbers are read."""
+    return groups.select(*keys, "n").withColumn("number", F.monotonically_increasing_id())
 
 
 def _hulls(rows: DataFrame, keys: list[str], weight, keep: _Stored) -> tuple[DataFrame, DataFrame]:
     """Of rows with `keys`, and HULL: the hulls that occur more than once (keys, HULL, n), one row for each hull of a
-    group that holds several hulls and among them a single one, with the group's new rank in place of the keys. Occurrences are sums of `weight`."""
+    group that holds several hulls and among them a single one, with the group's number, `family`, in place of the keys. Occurrences are sums of `weight`."""
     carried = [c for c in rows.columns if c not in (*keys, *HULL, "n")]
     hulls = keep(rows.groupBy(*keys, *HULL).agg(F.sum(weight).alias("n"), F.count("*").alias("n_rows"), F.min(F.struct(*carried)).alias("row")), "hulls")
     mixed = hulls.groupBy(*keys).agg(F.count("*").alias("n"), F.min("n").alias("m")).filter("n > 1 AND m = 1")
-    mixed = keep(_ranked(mixed, keys), "mixed")
-    open_rows = spread_join(hulls, mixed.drop("n"), keys, hot_keys(mixed, keys)).select(F.col("ranked").alias("rank"), "n", "row.*")
+    mixed = keep(_numbered(mixed, keys), "mixed")
+    open_rows = spread_join(hulls, mixed.drop("n"), keys, hot_keys(mixed, keys)).select(F.col("number").alias("family"), "n", "row.*")
     return keep(hulls.filter("n > 1").select(*keys, *HULL, F.col("n_rows").alias("n")), "repeated"), open_rows
 
 
@@ -202,12 +201,12 @@ def document_filter(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 HULL = ["hull", "hull2"]
-ITEM = ["rank", "n", "key", "place"]
+ITEM = ["family", "n", "key", "place"]
 
 
 def item_bytes(keyed: DataFrame, items: DataFrame) -> DataFrame:
     """`items` with `bytes`, the bytes under their runs, read from their documents."""
-    wanted = cut(items.groupBy("key").agg(F.collect_list(F.struct("rank", "n", "place")).alias("items")))
+    wanted = cut(items.groupBy("key").agg(F.collect_list(F.struct("family", "n", "place")).alias("items")))
     read = document_filter(keyed, wanted).join(wanted, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,11 +218,11 @@ def item_bytes(keyed: DataFrame, items: DataFrame) -> DataFrame:
                 own = [text[(p >> 16) - (p >> 8 & 255) : (p >> 16) - (p & 255) + LENGTH] for p in places]
                 one = pa.array([k] * len(rows), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["rank"] for x in rows], pa.int64()), pa.array([x["n"] for x in rows], pa.int64()), batch["key"].take(one), pa.array(places, pa.int64()), pa.array(own, pa.binary())],
+                    [pa.array([x["family"] for x in rows], pa.int64()), pa.array([x["n"] for x in rows], pa.int64()), batch["key"].take(one), pa.array(places, pa.int64()), pa.array(own, pa.binary())],
                     [*ITEM, "bytes"],
                 )
 
-    return read.mapInArrow(run, "rank long, n long, key binary, place long, bytes binary")
+    return read.mapInArrow(run, "family long, n long, key binary, place long, bytes binary")
 
 
 def cell_rows(items: DataFrame) -> DataFrame:
@@ -247,11 +246,11 @@ def cell_rows(items: DataFrame) -> DataFrame:
                 hulls = hulls_of(data, names, anchor - far, far - near + LENGTH, far << 8 | near)
                 own = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [part["rank"].take(own), pa.array(as_int64(core)), *hulls, part["n"].take(own), part["key"].take(own), part["place"].take(own), pa.array(_place(place[of] >> 16, far, near))],
-                    ["rank", "core", *HULL, "n", "key", "place", "cell"],
+                    [part["family"].take(own), pa.array(as_int64(core)), *hulls, part["n"].take(own), part["key"].take(own), part["place"].take(own), pa.array(_place(place[of] >> 16, far, near))],
+                    ["family", "core", *HULL, "n", "key", "place", "cell"],
                 )
 
-    return items.mapInArrow(run, "rank long, core long, hull long, hull2 long, n long, key binary, place long, cell long")
+    return items.mapInArrow(run, "family long, core long, hull long, hull2 long, n long, key binary, place long, cell long")
 
 
 def _laid_out(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,11 +278,11 @@ def string_rows(cells: DataFrame) -> DataFrame:
                 named = hulls_of(data, Names(data), base[of] + before[of] - offset, LENGTH + 0 * offset, offset)
                 own = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [part["rank"].take(own), *named, part["n"].take(own), part["key"].take(own), pa.array((place[of] >> 16) - offset)],
-                    ["rank", "name", "name2", "n", "key", "start"],
+                    [part["family"].take(own), *named, part["n"].take(own), part["key"].take(own), pa.array((place[of] >> 16) - offset)],
+                    ["family", "name", "name2", "n", "key", "start"],
                 )
 
-    return cells.mapInArrow(run, "rank long, name long, name2 long, n long, key binary, start long")
+    return cells.mapInArrow(run, "family long, name long, name2 long, n long, key binary, start long")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -301,25 +300,25 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     other columns are ignored."""
     keep = _Stored(documents.sparkSession)
     keyed = _keyed(documents).select("key", "text")
-    grams = keep(_ranked(anchor_rows(keyed, False).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), ["gram"]), "grams")
+    grams = keep(_numbered(anchor_rows(keyed, False).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), ["gram"]), "grams")
     anchors = spread_join(anchor_rows(keyed, True), grams.drop("n"), ["gram"], hot_keys(grams, ["gram"]))
-    anchors = keep(anchors.select(F.col("ranked").alias("rank"), *HULL, "key", "place"), "anchors")
-    repeated, items = _hulls(anchors, ["rank"], F.lit(1), keep)
+    anchors = keep(anchors.select(F.col("number").alias("family"), *HULL, "key", "place"), "anchors")
+    repeated, items = _hulls(anchors, ["family"], F.lit(1), keep)
     items = keep(item_bytes(keyed, items), "items")
     start, end = place_span(F.col("place"))
-    same = ["rank", *HULL]
+    same = ["family", *HULL]
     found = spread_join(anchors, repeated.drop("n"), same, hot_keys(repeated, same)).select("key", start.alias("start"), end.alias("end"))
 
     cells = keep(cell_rows(items), "cells")
-    repeated, open_cells = _hulls(cells, ["rank", "core"], F.col("n"), keep)
+    repeated, open_cells = _hulls(cells, ["family", "core"], F.col("n"), keep)
     start, end = place_span(F.col("cell"))
-    same = ["rank", "core", *HULL]
+    same = ["family", "core", *HULL]
     settled = spread_join(cells.filter("n = 1"), repeated.drop("n"), same, hot_keys(repeated, same))
     found = found.unionByName(settled.select("key", start.alias("start"), end.alias("end")))
 
     open_cells = open_cells.join(items.select("key", "place", "bytes"), ["key", "place"])
-    strings = keep(string_rows(open_cells.select("rank", "n", "key", "place", "cell", "bytes")), "strings")
-    same = ["rank", "name", "name2"]
+    strings = keep(string_rows(open_cells.select("family", "n", "key", "place", "cell", "bytes")), "strings")
+    same = ["family", "name", "name2"]
     repeated = keep(strings.groupBy(*same).agg(F.sum("n").alias("m"), F.count("*").alias("n")).filter("m > 1").select(*same, "n"), "names")
     last = spread_join(strings.filter("n = 1").drop("n"), repeated.drop("n"), same, hot_keys(repeated, same))
     found = found.unionByName(last.select("key", "start", (F.col("start") + LENGTH).alias("end")))
