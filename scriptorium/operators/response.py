@@ -101,9 +101,10 @@ def quadratic_slopes(runs: DataFrame, grid: dict[str, list[float]]) -> DataFrame
 
 def slope_ratios(slopes: DataFrame) -> DataFrame:
     """(a, b, ratio) of all pairs of parameters: 1 on the diagonal, 0 where b's slope is 0; four decimals."""
-    a, b = slopes.select(F.col("param").alias("a"), F.col("slope").alias("sa")), slopes.select(F.col("param").alias("b"), F.col("slope").alias("sb"))
-    ratio = F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.bround(F.coalesce(F.try_divide("sa", "sb"), F.lit(0.0)), 4))
-    return a.crossJoin(b).select("a", "b", ratio.alias("ratio"))  # parameters by parameters
+    every = slopes.agg(F.collect_list(F.struct("param", "slope")).alias("every"))  # as many as there are parameters; the slopes are computed once
+    pairs = every.select("every", F.explode("every").alias("x")).select("x", F.explode("every").alias("y"))
+    ratio = F.when(F.col("x.param") == F.col("y.param"), F.lit(1.0)).otherwise(F.bround(F.coalesce(F.try_divide("x.slope", "y.slope"), F.lit(0.0)), 4))
+    return pairs.select(F.col("x.param").alias("a"), F.col("y.param").alias("b"), ratio.alias("ratio"))
 
 
 def ratio_matrix(ratios: DataFrame, params: list[str]) -> DataFrame:

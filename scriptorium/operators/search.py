@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import bound
 from scriptorium.sources.shared import cut
 
 # Limits of each parameter, and the steps that a search starts with.
@@ -75,11 +76,10 @@ def probes(centres: DataFrame, settings: SearchSettings) -> DataFrame:
             kind = "diagonal" if len(moved) == 2 else "coord"
             options.append(F.struct(F.lit(len(options)).alias("ordinal"), F.lit(f"{kind} {mark} {name}").alias("note"), *[new[p].alias(p) for p in PARAMS]))
     centre = F.struct(*[clamp(p, F.col(p)).alias(p) for p in PARAMS])
-    each = centres.select(*keys, centre.alias("__centre"), F.explode(F.array(*options)).alias("o"))
-    place = F.struct(*[F.col(f"o.{p}") for p in PARAMS])
-    differs = place != F.struct(*[F.col(f"__centre.{p}") for p in PARAMS])
-    first = Window.partitionBy(*keys, *[F.col(f"o.{p}") for p in PARAMS]).orderBy("o.ordinal")
-    return each.filter(differs).withColumn("__k", F.row_number().over(first)).filter("__k = 1").select(*keys, "o.*")
+    place = lambda o: F.struct(*[o[p].alias(p) for p in PARAMS])
+    # a centre's options are few, so they are told apart within its row
+    fresh = lambda all_: F.filter(all_, lambda o, k: (place(o) != centre) & ~F.exists(F.slice(all_, F.lit(1), k), lambda e: place(e) == place(o)))
+    return centres.select(*keys, F.explode(bound(F.array(*options), fresh)).alias("o")).select(*keys, "o.*")
 
 
 def pattern_search(

@@ -99,6 +99,32 @@ def crops(prepared: DataFrame, segments: DataFrame, settings: LineSettings) -> D
     return joined.mapInPandas(run, "stem string, seg_idx int, pair boolean, glyph binary")
 
 
+def batch_scorer(predict: Callable[[np.ndarray], np.ndarray], names: list[str], canvas: int = LineSettings.canvas, batch: int = 64) -> Scorer:
+    """A scorer of a function from images (n, canvas, canvas), numbers from 0 to 255, to logits (n, classes), called with `batch` images at most.
+
+    The likeliest class is told by its name in `names` and in percent with two decimals, the lower number where equal. A crop without an image has no prediction: null in, null out; and a class
+    beyond `names` has none either. An order of crops isn't assumed, so batches may be cut anywhere."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            chars, confs = np.full(len(rows), None, object), np.full(len(rows), np.nan)
+            able = np.flatnonzero(rows["glyph"].notna().to_numpy())
+            for at in range(0, len(able), batch):
+                own = able[at : at + batch]
+                images = np.stack([np.frombuffer(x, np.uint8).reshape(canvas, canvas) for x in rows["glyph"].iloc[own]])
+                logits = np.asarray(predict(images), float)
+                shares = np.exp(logits - logits.max(1, keepdims=True))
+                shares /= shares.sum(1, keepdims=True)
+                for k, best in zip(own, shares.argmax(1), strict=True):
+                    if best < len(names):
+                        chars[k] = names[best]
+                confs[own] = np.where(shares.argmax(1) < len(names), np.round(shares.max(1) * 100, 2), np.nan)
+            told = pd.Series(confs).astype("Float64").where(~np.isnan(confs), pd.NA)
+            yield pd.DataFrame({"stem": rows["stem"].to_numpy(), "seg_idx": rows["seg_idx"].to_numpy(), "pair": rows["pair"].to_numpy(), "char": chars, "conf": told})
+
+    return lambda crops: crops.select("stem", "seg_idx", "pair", "glyph").mapInPandas(run, "stem string, seg_idx int, pair boolean, char string, conf double")
+
+
 def read_lines(images: DataFrame, scorer: Scorer, edges: DataFrame, settings: LineSettings | None = None) -> DataFrame:
     """(stem, predicted_text, n_segments, n_words, status) of each image. edges: (base, compound), as of `recognise.validated`.
 
@@ -115,11 +141,13 @@ def read_segments(prepared: DataFrame, segments: DataFrame, scorer: Scorer, edge
     scored = scorer(crops(prepared, segments, settings)).groupBy("stem", "seg_idx").agg(
         F.max(F.when(~F.col("pair"), told)).alias("own"), F.max(F.when(F.col("pair"), told)).alias("both")
     )
-    each = segments.select("stem", "seg_idx", "word_index").join(scored, ["stem", "seg_idx"]).select(
+    # a segment that the scorer tells nothing of is a gap, and one without a word is of word 0
+    words = segments.select("stem", "seg_idx", F.coalesce("word_index", F.lit(0)).alias("word_index"))
+    each = words.join(scored, ["stem", "seg_idx"], "left").select(
         "stem", "seg_idx", "word_index", F.col("own.char").alias("base"), F.col("own.conf").alias("base_conf"),
         F.col("both.char").alias("merged"), F.col("both.conf").alias("merged_conf"),
     )
-    found = recognise.recognised(each, edges, "stem").join(segments.select("stem", F.col("seg_idx").alias("idx"), "word_index"), ["stem", "idx"])
+    found = recognise.recognised(each, edges, "stem").join(words.withColumnRenamed("seg_idx", "idx"), ["stem", "idx"])
     texts = recognise.assembled(found, "stem", "idx", "char", "word_index")
     counted = segments.groupBy("stem").agg(F.count("*").alias("n_segments"))
     return prepared.select("stem", "status").join(texts, "stem", "left").join(counted, "stem", "left").select(
@@ -213,15 +241,16 @@ def search_and_train(
 ) -> dict:
     """The run from a grid's fact table (stem, parameters, cer) to a parameter model: the grid's analysis gives the search its settings and each
     image its anchor; all images climb together from there; then the model learns the best parameters from the images'
-    `statistics` (stem, `features`), if given. Returns found, hops (the log), climb, summary, profiles and model."""
+    `statistics` (stem, `features`), if given. Returns found, hops (the log), climb, summary, profiles, model and statistics (an image's with its climb, a row each)."""
     tiebreak = "multi_seg_threshold"
     settings = settings_of(analyse(fact, grid, tiebreak))
     start = cut(response.anchors(fact, response.census(fact, list(grid)), list(grid), settings.tiebreak or tiebreak))
     found, hops = search.pattern_search_log(start, score, settings, max_hops, min_delta)
     out = {
         "found": found, "hops": hops, "climb": search.climb_summary(found, start), "summary": search.improvement_summary(found, start, min_delta),
-        "profiles": response.profiles(found, list(grid)), "model": None,
+        "profiles": response.profiles(found, list(grid)), "model": None, "statistics": None,
     }
     if statistics is not None:
+        out["statistics"] = statistics.join(out["climb"], "stem")
         out["model"] = train_parameter_model(statistics.join(found, "stem"), features or [c for c in statistics.columns if c != "stem"], grid)
     return out

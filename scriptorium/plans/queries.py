@@ -515,7 +515,45 @@ def made_up_rate(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cer", rate.cast("double"))
 
 
-@query()
+def _legal_sql(p, value):
+    low, high = search.LIMITS[p]
+    v = f"least(greatest({value}, {low:.0f}), {high:.0f})"
+    if p not in search.ODD:
+        return f"round_even({v}, {0 if p == 'window_pad' else 1})"
+    n = f"greatest(round_even({v}, 0), 1)"
+    return f"CASE WHEN {n} % 2 = 1 THEN {n} WHEN abs({v} - greatest({n} - 1, 1)) <= abs({v} - {n} - 1) THEN greatest({n} - 1, 1) ELSE {n} + 1 END"
+
+
+def _each(form):
+    return ", ".join(form.format(p=p) for p in PARAMS)
+
+
+# A row for each step of each stem's search: c_ the sweep's centre, b_ the best point, t_ the steps, e_ the probe of ordinal k; n counts a sweep's evaluations.
+_MOVES = {(k, p): f"c_{p} {'+-'[k % 2]} t_{p}" for k, p in enumerate(x for x in search.INFLUENCE for _ in "+-")}
+_RATE_SQL = "abs({0}window_pad - 9 - stem % 5) + abs({0}multi_seg_threshold - 96 - (stem % 5) * 0.5) * 2 + abs({0}smoothing_k - 5) + abs({0}close_k - 3)"
+SEARCH_SQL = f"""
+WITH RECURSIVE start AS (
+  SELECT p_partkey AS stem, {", ".join(f"CAST({response.upper_median(v)} AS DOUBLE) AS b_{p}" for p, v in response.FULL_GRID.items())} FROM part
+), walk AS (
+  SELECT stem, -1 AS k, {_each("b_{p}")}, {_each("b_{p} AS c_{p}")}, {_each("b_{p} AS e_{p}")}, {", ".join(f"CAST({v} AS DOUBLE) AS t_{p}" for p, v in search.STEPS.items())},
+         {_RATE_SQL.format("b_")} AS cer, CAST(0 AS DOUBLE) AS e_cer, 0 AS hops, 0 AS n, false AS gained, false AS tried, false AS took, true AS live FROM start
+  UNION ALL
+  SELECT stem, CASE WHEN k = 7 THEN -1 ELSE k END, {_each("b_{p}")}, {_each("CASE WHEN k = 7 THEN b_{p} ELSE c_{p} END")}, {_each("e_{p}")}, {_each("CASE WHEN k = 7 AND NOT gained THEN t_{p} / 2 ELSE t_{p} END")},
+         cer, e_cer, hops, CASE WHEN k = 7 THEN 0 ELSE n END, gained AND k < 7, tried, took, k < 7 OR (n > 0 AND hops < 10 AND (gained OR t_multi_seg_threshold / 2 >= {search.SETTLED_STEP}))
+  FROM (
+    SELECT stem, k, {_each("CASE WHEN took THEN e_{p} ELSE b_{p} END AS b_{p}")}, {_each("c_{p}")}, {_each("e_{p}")}, {_each("t_{p}")}, CASE WHEN took THEN e_cer ELSE cer END AS cer, e_cer,
+           hops + CAST(tried AS INTEGER) AS hops, n + CAST(tried AS INTEGER) AS n, gained OR took AS gained, tried, took
+    FROM (SELECT *, tried AND cer - e_cer > 0.1 AS took FROM (
+      SELECT *, hops < 10 AND ({" OR ".join(f"e_{p} <> c_{p}" for p in PARAMS)}) AS tried, {_RATE_SQL.format("e_")} AS e_cer FROM (
+        SELECT stem, k + 1 AS k, {_each("b_{p}")}, {_each("c_{p}")}, {_each("t_{p}")}, cer, hops, n, gained,
+               {", ".join(f"CASE k + 1 {' '.join(f'WHEN {k} THEN {_legal_sql(p, move)}' for (k, q), move in _MOVES.items() if q == p)} ELSE {_legal_sql(p, f'c_{p}')} END AS e_{p}" for p in PARAMS)}
+        FROM walk WHERE live)))
+  )
+)
+"""
+
+
+@query(SEARCH_SQL + f"SELECT stem, {_each('b_{p} AS {p}')}, cer AS best_cer, hops FROM walk WHERE NOT live")
 def q38_pattern_search(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stem"))
     start = parts.withColumns({p: F.lit(response.upper_median(v)) for p, v in response.FULL_GRID.items()})

@@ -8,7 +8,7 @@ from scriptorium.functions import text as T
 from scriptorium.operators import dataset, lexicon, metrics, recognise, response, scan, search
 from scriptorium.plans import flows
 from scriptorium.plans.queries import (
-    CENSUS_SQL, CHECK_SQL, CORR_SQL, FACT_SQL, ORACLES, PAIR_SQL, PARAMS, UNITS, VARIANTS, anchors, asked_prefixes, fact, made_up_rate, query, rated_pairs, runs, scored, six,
+    CENSUS_SQL, CHECK_SQL, CORR_SQL, FACT_SQL, ORACLES, PAIR_SQL, PARAMS, SEARCH_SQL, UNITS, VARIANTS, anchors, asked_prefixes, fact, made_up_rate, query, rated_pairs, runs, scored, six,
 )
 from scriptorium.session import table
 from scriptorium.sources import prefix_index, readers, shared, sinks
@@ -114,9 +114,14 @@ def q68_segment_detail(spark, sf_dir):
     return sinks.segment_detail(results)
 
 
-@query()
+HOP_NOTES = " ".join(f"WHEN {k} THEN 'coord {sign} {p}'" for k, (p, sign) in enumerate((p, sign) for p in search.INFLUENCE for sign in "+-"))
+
+
+@query(SEARCH_SQL + f"""
+SELECT stem, hops AS hop_number, 'climb' AS phase, {", ".join(f"e_{p} AS {p}" for p in PARAMS)}, round_even(e_cer, 4) AS cer, took AS accepted, CASE CASE WHEN k < 0 THEN 7 ELSE k END {HOP_NOTES} END AS note FROM walk WHERE tried
+""")
 def q69_hop_log(spark, sf_dir):
-    """Every evaluation of a search over all parts, with a made-up rate; tested against a search in plain Python."""
+    """Every evaluation of a search over all parts, with a made-up rate; also tested against a search in plain Python."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stem"))
     start = made_up_rate(parts.withColumns({p: F.lit(v) for p, v in MIDDLE.items()}))
     return search.pattern_search_log(start, made_up_rate)[1]

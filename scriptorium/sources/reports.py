@@ -61,10 +61,10 @@ def sensitivity_report(told: dict[str, DataFrame], grid: dict[str, list[float]],
     return "\n".join(out) + "\n"
 
 
-def write_reports(results: DataFrame, folder: str, by_image: bool = False, title: str = "Batch") -> str:
+def write_reports(results: DataFrame, folder: str, by_image: bool = False, title: str = "Batch", seconds: float | None = None, settings: dict | None = None) -> str:
     """Writes, below `folder`, segments and summary (CSV), pages (HTML, a line of text an image), and returns the batch's text.
     `results` is that of `image_pages` with status. `by_image` gives each image a folder of its own, for small batches; else the report is flat.
-    Tables are written by the tasks; only the one-row summary reaches the driver."""
+    Tables are written by the tasks; only the one-row summary reaches the driver. `seconds` and `settings` of the run are told in the text, if given."""
 
     def save(rows: DataFrame, name: str, form: str) -> None:
         out = rows.write.mode("overwrite")
@@ -81,4 +81,4 @@ def write_reports(results: DataFrame, folder: str, by_image: bool = False, title
     save(image_summary(results), "summary", "csv")
     pages = image_pages(results)
     save(pages.withColumn("html", F.regexp_replace("html", r"[\r\n]+", " ")), "pages", "text")
-    return text_report(batch_summary(results), title)
+    return text_report(batch_summary(results), title, seconds, settings)

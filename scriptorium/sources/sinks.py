@@ -52,9 +52,12 @@ def batch_summary(rated: DataFrame) -> DataFrame:
     )
 
 
-def text_report(summary: DataFrame, title: str) -> str:
-    """A one-row summary as lines of text."""
+def text_report(summary: DataFrame, title: str, seconds: float | None = None, settings: dict | None = None) -> str:
+    """A one-row summary as lines of text: with `seconds`, those that the run took and those of an image (n_images of the summary, 1 at least); with `settings`, the run's."""
     row = summary.first().asDict()
+    if seconds is not None:
+        row |= {"seconds": float(seconds), "seconds_an_image": seconds / max(row.get("n_images") or 0, 1)}
+    row |= settings or {}
     return "\n".join([title, "=" * len(title), *(f"{k:<16} {'-' if v is None else round(v, 2) if isinstance(v, float) else v}" for k, v in row.items())])
 
 

@@ -48,6 +48,50 @@ def test_grid_analysis_and_inference(spark):
     assert found.filter("stem = 'a'").first().cer == 0.0
 
 
+def test_batches_of_a_scorer(spark):
+    """A model is asked in batches, of crops with an image alone; null in, null out, and unknown classes are nulls."""
+    shades = [0, 10, 20, None, 30, 40, 50]
+    rows = [("a", k, k % 2 == 1, None if x is None else bytes([x] * 16)) for k, x in enumerate(shades)]
+    rows = spark.createDataFrame(rows, "stem string, seg_idx int, pair boolean, glyph binary").coalesce(1)
+
+    def predict(images):
+        assert len(images) <= 4
+        of = images[:, 0, 0] // 10
+        return np.where(np.arange(6) == of[:, None], 5.0, 0.0)
+
+    found = flows.batch_scorer(predict, list("vwxyz"), 4, batch=4)(rows)
+    assert found.schema.simpleString() == "struct<stem:string,seg_idx:int,pair:boolean,char:string,conf:double>"
+    share = round(float(np.exp(5) / (np.exp(5) + 5)) * 100, 2)
+    told = [("v", share), ("w", share), ("x", share), (None, None), ("y", share), ("z", share), (None, None)]
+    assert sorted(tuple(r) for r in found.collect()) == [("a", k, k % 2 == 1, *t) for k, t in enumerate(told)]
+    assert flows.batch_scorer(predict, ["v"], 4)(rows.limit(0)).count() == 0
+
+
+def test_segments_without_word_or_prediction(spark):
+    """A segment of no word is of word 0, and one without a prediction is a gap that is counted but not read."""
+    prepared = flows.prepare(lines(spark).filter("stem = 'a'"), SMALL)
+    rows = [("a", 0, 10, 14, None, "valley"), ("a", 1, 20, 24, 0, "valley"), ("a", 2, 60, 64, 1, "valley")]
+    segments = spark.createDataFrame(rows, "stem string, seg_idx int, x_start int, x_end int, word_index int, method string")
+    edges = spark.createDataFrame([("a", None)], "base string, compound string")
+    silent = lambda crops: scorer(crops).filter("seg_idx <> 1 OR pair")
+    whole, part = (flows.read_segments(prepared, segments, s, edges, SMALL).first() for s in (scorer, silent))
+    assert (whole.predicted_text, whole.n_words, whole.n_segments) == ("aa a", 2, 3)
+    assert (part.predicted_text, part.n_words, part.n_segments) == ("a a", 2, 3)
+
+
+def test_equal_probes(spark):
+    """Of equal probes the first stays, and none equals its centre; equal centres have each their own."""
+    at = {"smoothing_k": 9.0, "close_k": 1.0, "window_pad": 2.0, "multi_seg_threshold": 100.0}
+    centres = spark.createDataFrame([(1,), (1,), (2,)], "stem int").withColumns({p: F.lit(v) for p, v in at.items()})
+    pair = search.SearchSettings(diagonals=(("window_pad", "close_k"),), steps={**search.STEPS, "close_k": 0.2})
+    got = search.probes(centres, pair).filter("stem = 2").orderBy("ordinal").collect()
+    # the pair up is the pad alone, as so small a step leaves close_k
+    assert [(r.note, r.smoothing_k, r.close_k, r.window_pad, r.multi_seg_threshold) for r in got] == [
+        ("diagonal + (window_pad,close_k)", 9.0, 1.0, 6.0, 100.0), ("coord - multi_seg_threshold", 9.0, 1.0, 2.0, 99.0), ("coord - smoothing_k", 7.0, 1.0, 2.0, 100.0),
+    ]
+    assert search.probes(centres, pair).filter("stem = 1").count() == 6
+
+
 def climb_model(stem, start, rate, steps, order, max_hops=10, min_delta=0.1):
     """One image's search in plain Python, of single parameters in `order`: its end and its log."""
     legal = {"smoothing_k": (1, 9), "close_k": (1, 9), "window_pad": (2, 40), "multi_seg_threshold": (80, 100)}
@@ -107,5 +151,6 @@ def test_search_and_train(spark, sf_dir):
     n = statistics.count()
     found = flows.search_and_train(fact, plans.made_up_rate, response.FULL_GRID, statistics, max_hops=4)
     assert found["hops"].groupBy("stem").count().filter("count > 4").isEmpty() and found["found"].count() == found["climb"].count() == n
+    assert found["statistics"].count() == n and {"f1", "continuous_gain", "window_pad"} <= set(found["statistics"].columns)
     assert found["summary"].first().n_images == n and found["profiles"].agg(F.sum("n_stems").alias("n")).first().n == n
     assert set(response.FULL_GRID) <= set(found["model"].predict(statistics).columns)

@@ -34,6 +34,10 @@ def test_reports_are_written(spark, tmp_path):
         assert spark.read.csv(f"{folder}/summary", header=True).filter("stem = 'c'").count() == 1
         assert spark.read.text(f"{folder}/pages").count() == 2
     assert reports.write_reports(results(spark).limit(0), str(tmp_path / "none")).startswith("Batch")
+    told = reports.write_reports(results(spark), str(tmp_path / "timed"), seconds=5, settings={"window_pad": 12})
+    assert "seconds          5.0" in told and "seconds_an_image 2.5" in told and "window_pad       12" in told
+    none = reports.write_reports(results(spark).limit(0), str(tmp_path / "empty"), seconds=3)
+    assert "seconds_an_image 3.0" in none
 
 
 def test_sensitivity_report(spark):
