@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,23 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of an Arrow batch where whole texts pass (see `small_batches`).
+BATCH = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
+    """What runs meanwhile hands at most `rows` rows at once to Python. Spark counts a batch in rows and not in bytes, and its 10,000
+    are 34 MB of texts of 3.4 KB, which a task holds several times over, in buffers outside the JVM's heap and in Python. The results are the same."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given, before = spark.conf.get(name, None), int(spark.conf.get(name))
+    spark.conf.set(name, min(rows, before) if before > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if given is None else spark.conf.set(name, given)
+
+
 def text_key(text) -> F.Column:
     """128 bits that stand for a text (MD5); null and empty text have the same key."""
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))

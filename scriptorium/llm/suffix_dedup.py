@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import as_int64, cut, drop_stored, hot_keys, mix, spread_join, stored
+from scriptorium.llm.common import as_int64, cut, drop_stored, hot_keys, mix, small_batches, spread_join, stored
 
 LENGTH, GRAM, STEP = 200, 64, 16
 #: Bytes of text that a task names at once; a longer text goes in parts.
@@ -293,6 +293,12 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
+    """`spans_found`, all of which runs here, with texts in small batches."""
+    with small_batches(documents.sparkSession):
+        return spans_found(documents)
+
+
+def spans_found(documents: DataFrame) -> DataFrame:
     """(key, spans) of the documents with repeats: `spans` is an array of disjoint (start, end) in bytes,
     in order, that covers exactly the bytes in a string of LENGTH bytes that also starts elsewhere, in the same document or
     another. `key` is MD5 of id and text. Null text counts as empty. Rows equal in id and text have one row here; each is
@@ -382,11 +388,13 @@ def repeat_digests(documents: DataFrame) -> DataFrame:
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     spans = repeated_spans(documents).select("key", "spans", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"))
     raw = F.col("text").cast("binary")
-    base = cut(_keyed(documents).select("doc_id", "key", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole")))
+    with small_batches(documents.sparkSession):
+        base = cut(_keyed(documents).select("doc_id", "key", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole")))
     hot = hot_keys(base.groupBy("key").agg(F.count("*").alias("n")), ["key"])
     sizes = base.select("key", "n_bytes").distinct()
     partly = spans.join(sizes, "key").filter("n_removed < n_bytes").select("key", "spans")
-    kept = remove_repeats(documents, partly).select("key", F.sha2("kept", 256).alias("kept"))
+    with small_batches(documents.sparkSession):
+        kept = cut(remove_repeats(documents, partly).select("key", F.sha2("kept", 256).alias("kept")))
     told = spans.join(kept, "key", "left").select("key", "n_removed", "n_spans", F.coalesce("kept", F.lit(EMPTY_SHA256)).alias("kept"))
     return spread_join(base, told, ["key"], hot, "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256")

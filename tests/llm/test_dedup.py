@@ -362,3 +362,27 @@ def test_parts_of_long_texts():
         assert found == Counter({(k, p): 1 for k, n in ((1, 2500), (3, 900)) for p in range(n - 199)})
     finally:
         suffix_dedup.PART = old
+
+
+def test_op6_texts_in_small_batches(spark, tmp_path):
+    """3,000 rows of one partition reach Python 1,000 at a time at most, wherever op6 reads them, and the session's own setting is as before."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", str(tmp_path)
+
+    def noted(batches):
+        for batch in batches:
+            with open(f"{seen}/{random.SystemRandom().getrandbits(64)}-{batch.num_rows}", "w"):
+                yield batch
+
+    passage = "".join(f"{k} words " for k in range(40))
+    rows = [(k, f"own text {k} " * 3 + (passage if k % 1000 < 2 else "")) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).mapInArrow(noted, "doc_id long, text string")
+    for given in (None, "2000", "300"):
+        spark.conf.unset(name) if given is None else spark.conf.set(name, given)
+        try:
+            found = suffix_dedup.repeat_digests(frame)
+            assert spark.conf.get(name, None) == given
+            assert sorted(tuple(r) for r in found.collect()) == sorted(repeats_model(rows))
+        finally:
+            spark.conf.unset(name)
+        sizes = [int(p.name.split("-")[1]) for p in tmp_path.iterdir()]
+        assert sizes and max(sizes) <= 1000
