@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import bound
@@ -63,23 +63,40 @@ def settings_from(r: dict[str, float], ratios: dict[tuple[str, str], float]) ->
     return SearchSettings(influence, steps, tuple(pairs), min((p for p in PARAMS if p in r), key=r.get, default="multi_seg_threshold"))
 
 
+def _moves(settings: SearchSettings) -> list[tuple[tuple[str, ...], int, str]]:
+    """(parameters moved, sign, note) of a sweep's probes by ordinal: pairs together, then parameters alone, each up and down."""
+    moves = [((a, b), f"({a},{b})") for a, b in settings.diagonals] + [((p,), p) for p in settings.influence]
+    return [(moved, sign, f"{'diagonal' if len(moved) == 2 else 'coord'} {mark} {name}") for moved, name in moves for sign, mark in ((1, "+"), (-1, "-"))]
+
+
+def _note(ordinal: Column, settings: SearchSettings) -> Column:
+    return F.get(F.array(*[F.lit(note) for *_, note in _moves(settings)]), ordinal)
+
+
+def _with_options(rows: DataFrame, settings: SearchSettings) -> DataFrame:
+    """`rows` with `__options`, a row's probes as an array of (ordinal, parameters), made legal; of equal ones the first, none equal to the row's own point.
+
+    All probes are put together from three legal values of each parameter, computed once in columns of their own, and are told apart by plain
+    comparisons: within a lambda or an array function Spark interprets an expression anew for each element."""
+    step = {p: F.col(f"step_{p}") if f"step_{p}" in rows.columns else F.lit(settings.steps[p]) for p in PARAMS}
+    legal = {f"__{at}_{p}": clamp(p, F.col(p) + sign * step[p]) if sign else clamp(p, F.col(p)) for p in PARAMS for at, sign in (("at", 0), ("up", 1), ("down", -1))}
+    places = [{p: F.col(f"__{('up' if sign > 0 else 'down') if p in moved else 'at'}_{p}") for p in PARAMS} for moved, sign, _ in _moves(settings)]
+    same = lambda x, y: reduce(lambda a, b: a & b, [x[p] == y[p] for p in PARAMS])
+    earlier = [{p: F.col(f"__at_{p}") for p in PARAMS}]
+    options = []
+    for k, place in enumerate(places):
+        new = ~reduce(lambda a, b: a | b, [same(place, x) for x in earlier])
+        options.append(F.when(new, F.struct(F.lit(k).alias("ordinal"), *[place[p].alias(p) for p in PARAMS])))
+        earlier.append(place)
+    return rows.withColumns(legal).withColumn("__options", F.array_compact(F.array(*options))).drop(*legal)
+
+
 def probes(centres: DataFrame, settings: SearchSettings) -> DataFrame:
     """(centre's key columns, ordinal, note, parameters) of each centre's probes: pairs together, then parameters alone, each
     up and down by its step (columns step_<param>, else the settings'), made legal; of equal ones the first, none equal to the centre."""
     keys = [c for c in centres.columns if c not in PARAMS and not c.startswith("step_")]
-    step = {p: F.col(f"step_{p}") if f"step_{p}" in centres.columns else F.lit(settings.steps[p]) for p in PARAMS}
-    moves = [((a, b), f"({a},{b})") for a, b in settings.diagonals] + [((p,), p) for p in settings.influence]
-    options = []
-    for moved, name in moves:
-        for sign, mark in ((1, "+"), (-1, "-")):
-            new = {p: clamp(p, F.col(p) + sign * step[p]) if p in moved else clamp(p, F.col(p)) for p in PARAMS}
-            kind = "diagonal" if len(moved) == 2 else "coord"
-            options.append(F.struct(F.lit(len(options)).alias("ordinal"), F.lit(f"{kind} {mark} {name}").alias("note"), *[new[p].alias(p) for p in PARAMS]))
-    centre = F.struct(*[clamp(p, F.col(p)).alias(p) for p in PARAMS])
-    place = lambda o: F.struct(*[o[p].alias(p) for p in PARAMS])
-    # a centre's options are few, so they are told apart within its row
-    fresh = lambda all_: F.filter(all_, lambda o, k: (place(o) != centre) & ~F.exists(F.slice(all_, F.lit(1), k), lambda e: place(e) == place(o)))
-    return centres.select(*keys, F.explode(bound(F.array(*options), fresh)).alias("o")).select(*keys, "o.*")
+    found = _with_options(centres, settings).select(*keys, F.explode("__options").alias("o"))
+    return found.select(*keys, "o.ordinal", _note(F.col("o.ordinal"), settings).alias("note"), *[f"o.{p}" for p in PARAMS])
 
 
 def pattern_search(
@@ -100,60 +117,70 @@ def pattern_search_log(
     falls under SETTLED_STEP, its probes run out, or it has had `max_hops` evaluations. `score` maps
     (stem, ordinal, note, parameters) to the same rows with `cer` (null for a failure). All images advance together: a sweep is one plan, and
     there are at most max_hops sweeps with evaluations, each after the last one's rows are cut from their lineage. No point of an image is scored twice: its points so far,
-    max_hops and the start at most, stay with its state, and a later sweep that comes back to one takes its rate from there. It counts as an evaluation all the same, as it does in the log.
+    max_hops and the start at most, stay in its row, and a later sweep that comes back to one takes its rate from there. It counts as an evaluation all the same, as it does in the log.
+
+    An image is one row throughout. Only the probes to be scored leave it, and their rates come back as one row of sums an image, made
+    where the scorer's rows are, so a sweep shuffles one short row and the state of each image that still moves; those at rest stay where they are.
     """
     settings = settings or SearchSettings()
     steps = {f"step_{p}": F.lit(float(settings.steps[p])) for p in PARAMS}
-    state = start.select("stem", *PARAMS, F.col("cer").cast("double").alias("best_cer")).withColumns(steps)
-    point = lambda rate: F.struct(*[F.col(p).cast("double").alias(p) for p in PARAMS], F.col(rate).cast("double").alias("cer"))
-    state = cut(state.withColumn("hops", F.lit(0)).withColumn("live", F.lit(True)).withColumn("seen", F.array(point("best_cer"))))
-    logs = []
-    while not state.filter("live").isEmpty():
-        centres = state.filter("live").select("stem", *PARAMS, *steps)
-        tried = probes(centres, settings)
-        budget = Window.partitionBy("stem").orderBy("ordinal")
-        names = tried.columns
-        tried = tried.join(state.select("stem", "hops", "seen"), "stem").withColumn("__n", F.row_number().over(budget) + F.col("hops"))
-        here = F.filter("seen", lambda s: reduce(lambda a, b: a & b, [s[p] == F.col(p) for p in PARAMS]))
-        tried = tried.filter(F.col("__n") <= max_hops).withColumn("__seen", F.get(here, F.lit(0)))
-        fresh = cut(score(tried.filter("__seen IS NULL").select(*names)).select(*names, F.col("cer").cast("double").alias("cer")))
-        tried = tried.filter("__seen IS NOT NULL").select(*names, "__seen.cer").unionByName(fresh)
-        got = tried.groupBy("stem").agg(
-            F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ordinal", "cer", *PARAMS, "note"))).alias("tried")
-        )
-        joined = state.join(got, "stem", "left")
-        now = F.struct(F.col("best_cer").alias("cer"), *[F.col(p).cast("double").alias(p) for p in PARAMS])
+    point = ", ".join(f"{p}: double" for p in PARAMS)
+    no_past = F.array().cast(f"array<struct<ordinal: int, {point}, cer: double, took: boolean>>")
+    no_probes = F.array().cast(f"array<struct<ordinal: int, {point}, known: boolean, cer: double>>")
+
+    def with_probes(rows: DataFrame) -> DataFrame:
+        """`tried`: the next sweep's probes of images that still move, as many as they have hops left, with the rates of those that were scored before."""
+        own = F.slice("__options", F.lit(1), F.greatest(F.lit(max_hops) - F.col("hops"), F.lit(0)))
+        seen = lambda o: F.get(F.filter("past", lambda s: reduce(lambda a, b: a & b, [s[p] == o[p] for p in PARAMS])), F.lit(0))
+        told = lambda o, s: F.struct(o["ordinal"].alias("ordinal"), *[o[p].alias(p) for p in PARAMS], s.isNotNull().alias("known"), s["cer"].alias("cer"))
+        tried = F.when(F.col("live"), F.transform(own, lambda o: bound(seen(o), lambda s: told(o, s)))).otherwise(no_probes)
+        return _with_options(rows, settings).withColumn("tried", tried).drop("__options")
+
+    begin = start.select("stem", *[F.col(p).cast("double").alias(p) for p in PARAMS], F.col("cer").cast("double").alias("best_cer")).withColumns(steps)
+    first = F.struct(F.lit(None).cast("int").alias("ordinal"), *PARAMS, F.col("best_cer").alias("cer"), F.lit(None).cast("boolean").alias("took"))
+    begin = begin.withColumns({"hops": F.lit(0), "live": F.col("stem").isNotNull() & (F.lit(max_hops) > 0), "past": F.array(first)})
+    # a row is few bytes and much work, so the rows of a small file go to all cores
+    begin = begin.repartition(2 * start.sparkSession.sparkContext.defaultParallelism, "stem")
+    state, rested = cut(with_probes(begin)), []
+    while True:
+        rested.append(state.filter("NOT live").drop("tried"))
+        live = state.filter("live")
+        if live.isEmpty():
+            break
+        asked = live.select("stem", F.explode(F.filter("tried", lambda t: ~t["known"])).alias("t"))
+        asked = asked.select("stem", "t.ordinal", _note(F.col("t.ordinal"), settings).alias("note"), *[f"t.{p}" for p in PARAMS])
+        # a rate for each ordinal, and which were rated: sums of fixed size, so rows of an image meet before they are shuffled
+        rates = [F.max(F.when(F.col("ordinal") == k, F.col("cer").cast("double"))).alias(f"__cer{k}") for k in range(len(_moves(settings)))]
+        rated = score(asked).groupBy(F.col("stem").alias("__stem")).agg(F.bit_or(F.expr("shiftleft(1L, ordinal)")).alias("__rated"), *rates)
+        joined = live.join(rated, F.col("stem") == F.col("__stem"), "left")
+        has = lambda t: t["known"] | (F.expr("coalesce(__rated, 0L)").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), t["ordinal"])) != 0)
+        rate = lambda t: F.when(t["known"], t["cer"]).otherwise(F.get(F.array(*[f"__cer{k}" for k in range(len(rates))]), t["ordinal"]))
+        got = F.transform(F.filter("tried", has), lambda t: F.struct(t["ordinal"].alias("ordinal"), *[t[p].alias(p) for p in PARAMS], rate(t).alias("cer")))
+        now = F.struct(F.col("best_cer").alias("cer"), *PARAMS)
         gains = lambda best, t: F.coalesce(best["cer"] - t["cer"] > min_delta, F.lit(False))
         taken = lambda t: F.struct(t["cer"].alias("cer"), *[t[p].alias(p) for p in PARAMS])
-        none = F.array().cast("array<boolean>")
-        # as many probes as an image has hops left: the flags are few
-        fold = lambda s, t: F.struct(F.when(gains(s["best"], t), taken(t)).otherwise(s["best"]).alias("best"), F.concat(s["took"], F.array(gains(s["best"], t))).alias("took"))
-        done = F.aggregate(F.coalesce("tried", F.array().cast(got.schema["tried"].dataType)), F.struct(now.alias("best"), none.alias("took")), fold)
-        joined = cut(joined.withColumn("__done", done))
-        logs.append(
-            joined.filter("tried IS NOT NULL").select("stem", "hops", F.posexplode(F.arrays_zip("tried", F.col("__done.took").alias("took"))).alias("k", "t")).select(
-                "stem", (F.col("hops") + F.col("k") + 1).cast("int").alias("hop_number"), F.lit("climb").alias("phase"), *[F.col(f"t.tried.{p}").alias(p) for p in PARAMS],
-                F.bround("t.tried.cer", 4).alias("cer"), F.col("t.took").alias("accepted"), F.col("t.tried.note").alias("note"),
-            )
-        )
-        joined = joined.withColumn("__best", F.col("__done.best")).withColumn("__gain", F.col("__best.cer") < F.col("best_cer"))
-        joined = joined.withColumn("hops", F.col("hops") + F.coalesce("n", F.lit(0)).cast("int"))
-        told = F.transform("tried", lambda t: F.struct(*[t[p].alias(p) for p in PARAMS], t["cer"].alias("cer")))
-        joined = joined.withColumn("seen", F.concat("seen", F.coalesce(told, F.array().cast(state.schema["seen"].dataType))))
-        dry = F.col("live") & ~F.col("__gain")
-        for name in steps:
-            joined = joined.withColumn(name, F.when(dry, F.col(name) * 0.5).otherwise(F.col(name)))
-        settled = dry & (F.col(f"step_{settings.tiebreak}") < SETTLED_STEP)
-        alive = F.col("live") & F.col("n").isNotNull() & (F.col("hops") < max_hops) & ~settled
-        state = joined.select("stem", *[F.col(f"__best.{p}").alias(p) for p in PARAMS], F.col("__best.cer").alias("best_cer"), *steps, "hops", alias_bool(alive), "seen")
-    found = state.select("stem", *PARAMS, "best_cer", "hops")
-    if not logs:  # nothing was tried
-        blank = start.filter(F.lit(False)).select(
-            "stem", F.lit(0).alias("hop_number"), F.lit("climb").alias("phase"), *[F.col(p).cast("double").alias(p) for p in PARAMS],
-            F.col("cer").cast("double").alias("cer"), F.lit(False).alias("accepted"), F.lit("").alias("note"),
+        entry = lambda t, took: F.struct(*[t[c].alias(c) for c in ("ordinal", *PARAMS, "cer")], took.alias("took"))
+        # as many probes as an image has hops left: they are few
+        fold = lambda s, t: bound(gains(s["best"], t), lambda took: F.struct(F.when(took, taken(t)).otherwise(s["best"]).alias("best"), F.concat(s["told"], F.array(entry(t, took))).alias("told")))
+        done = F.aggregate(got, F.struct(now.alias("best"), no_past.alias("told")), fold)
+        joined = joined.select("stem", "best_cer", *steps, "hops", "past", done.alias("__done"))
+        n, best = F.size("__done.told"), F.col("__done.best")
+        dry = ~(best["cer"] < F.col("best_cer"))
+        step = {name: F.when(dry, F.col(name) * 0.5).otherwise(F.col(name)).alias(name) for name in steps}
+        settled = dry & (step[f"step_{settings.tiebreak}"] < SETTLED_STEP)
+        alive = (n > 0) & (F.col("hops") + n < max_hops) & ~settled
+        state = joined.select(
+            "stem", *[best[p].alias(p) for p in PARAMS], best["cer"].alias("best_cer"), *step.values(), (F.col("hops") + n).alias("hops"), alias_bool(alive),
+            F.concat("past", "__done.told").alias("past"),
         )
-        return found, blank
-    return found, reduce(DataFrame.unionByName, logs)
+        state = cut(with_probes(state))
+    ended = reduce(DataFrame.unionByName, rested)
+    hop = ended.select("stem", F.posexplode("past").alias("hop_number", "t")).filter("hop_number > 0")  # the first is the start
+    log = hop.select(
+        "stem", "hop_number", F.lit("climb").alias("phase"), *[f"t.{p}" for p in PARAMS],
+        F.bround("t.cer", 4).alias("cer"), F.col("t.took").alias("accepted"), _note(F.col("t.ordinal"), settings).alias("note"),
+    )
+    return ended.select("stem", *PARAMS, "best_cer", "hops"), log
 
 
 def alias_bool(condition: Column) -> Column:

@@ -275,3 +275,17 @@ def test_sinks(spark, tmp_path):
     assert "n_images" in sinks.text_report(sinks.batch_summary(rated), "Report")
     good, bad = sinks.split_rejects(rated)
     assert good.count() == 1 and bad.count() == 0
+
+
+def test_pattern_search_uses_all_cores(spark):
+    """A start of one partition, as a small file is, is dealt over all cores before the first sweep."""
+    start = spark.range(400, numPartitions=1).select(F.col("id").alias("stem"), *[F.lit(v).alias(p) for p, v in zip(search.PARAMS, (3.0, 3.0, 8.0, 97.0), strict=True)], F.lit(50.0).alias("cer"))
+    spread = []
+
+    def rate(rows):
+        spread.append(rows.rdd.getNumPartitions())
+        return rows.withColumn("cer", F.abs(F.col("window_pad") - 20 - F.col("stem") % 3))
+
+    found = search.pattern_search(start, rate)
+    assert spread[0] >= spark.sparkContext.defaultParallelism  # later sweeps are dealt by their bytes
+    assert found.count() == 400 and found.filter("hops <= 10 AND best_cer < 12").count() == 400
